@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import vocabulary as V
-from larder.functions.text import empty_to_null, mapped, strip
+from larder.functions.text import empty_to_null, let, mapped, strip
 
 _UNITS = {spelling: unit for unit, text in V.UNIT_SPELLINGS.items() for spelling in text.split()}
 
@@ -17,73 +17,88 @@ def parse_lines(df: DataFrame, line: str = "raw_text") -> DataFrame:
     Blank lines get nulls and ``optional = false``. The end of a range is read and dropped, so
     ``2-3 Eier`` has quantity 2.
     """
-    keep = df.columns
-    text = strip(F.col(line))
-    marked = F.col("_text").rlike(V.OPTIONAL_MARKER)
-    without = strip(F.regexp_replace("_text", V.OPTIONAL_MARKER, ""))
-    without = F.regexp_replace(without, r"(?U)^[:,]\s*", "")
-    without = F.regexp_replace(without, r"(?U)\s*[:,]\s*$", "")
-    without = strip(F.regexp_replace(without, r"(?U)\s{2,}", " "))
-
-    amount = F.regexp_extract("_body", V.QUANTITY, 1)
-    fraction = F.regexp_extract("_body", V.QUANTITY, 2)
-    value = F.coalesce(F.replace(amount, F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0)) + F.coalesce(
-        mapped(fraction, V.FRACTIONS), F.lit(0.0)
-    )
-    return (
-        df.withColumn("_text", text)
-        .withColumn("optional", F.coalesce(marked, F.lit(False)))
-        .withColumn("_body", F.when(F.col("optional"), without).otherwise(F.col("_text")))
-        .withColumn("_body", empty_to_null(F.regexp_replace("_body", V.VAGUE_QUANTITY, "")))
-        .withColumn("_matched", F.col("_body").rlike(V.QUANTITY))
-        .withColumn("quantity", F.when(F.col("_matched") & (value > 0), value))
-        .withColumn("_rest", strip(F.regexp_extract("_body", V.QUANTITY, 4)))
-        .withColumn("_spoon", F.regexp_extract("_rest", V.SPOON_UNIT, 0))
-        .withColumn("_word", F.regexp_extract("_rest", r"(?U)^(\S+)", 1))
-        .withColumn("_word_unit", mapped(F.lower(F.rtrim(F.col("_word"), F.lit("."))), _UNITS))
-        .withColumn(
-            "unit",
-            F.when(
-                F.col("_matched"),
-                F.when(
-                    F.col("_spoon") != "", F.when(F.col("_spoon").rlike(V.TABLE_SPOON_END), "EL").otherwise("TL")
-                ).otherwise(F.col("_word_unit")),
-            ),
-        )
-        .withColumn(
-            "_after",
-            F.when(F.col("_spoon") != "", F.substr("_rest", F.length("_spoon") + 1)).when(
-                F.col("_word_unit").isNotNull(), F.substr("_rest", F.length("_word") + 1)
-            ),
-        )
-        .withColumn(
-            "_name",
-            F.when(F.col("_after").isNull(), F.col("_rest")).otherwise(
-                strip(F.regexp_replace(strip(F.col("_after")), V.FRENCH_PREPOSITION, ""))
-            ),
+    keep = [c for c in df.columns if c not in PARSED]
+    return df.withColumn("_parsed", parsed_line(F.col(line))).select(*keep, *[f"_parsed.{c}" for c in PARSED])
+
+
+PARSED = ["quantity", "unit", "ingredient", "prep_note", "optional"]
+
+
+def parsed_line(line: Column) -> Column:
+    """Struct of the parts of one ingredient line."""
+    return let(strip(line), lambda text: let(F.coalesce(text.rlike(V.OPTIONAL_MARKER), F.lit(False)), lambda optional: (
+        let(_body(text, optional), lambda body: _fields(body, optional))
+    )))
+
+
+def _body(text: Column, optional: Column) -> Column:
+    """Line without optional marker and vague quantity words; null when nothing is left."""
+    plain = strip(F.regexp_replace(text, V.OPTIONAL_MARKER, ""))
+    plain = F.regexp_replace(plain, r"(?U)^[:,]\s*", "")
+    plain = F.regexp_replace(plain, r"(?U)\s*[:,]\s*$", "")
+    plain = strip(F.regexp_replace(plain, r"(?U)\s{2,}", " "))
+    return empty_to_null(F.regexp_replace(F.when(optional, plain).otherwise(text), V.VAGUE_QUANTITY, ""))
+
+
+def _fields(body: Column, optional: Column) -> Column:
+    """Fields of a line; a body the quantity pattern does not fit is the ingredient as it stands."""
+
+    def build(quantity: Column, unit: Column, ingredient: Column, note: Column) -> Column:
+        return F.struct(
+            quantity.alias("quantity"),
+            unit.alias("unit"),
+            ingredient.alias("ingredient"),
+            note.alias("prep_note"),
+            optional.alias("optional"),
         )
-        .withColumn("_bracket", F.col("_name").rlike(V.BRACKET_NOTE))
-        .withColumn("_comma", F.instr("_name", F.lit(",")))
-        .withColumn(
-            "ingredient",
-            F.when(~F.col("_matched"), F.col("_body"))
-            .when(F.col("_bracket"), strip(F.regexp_extract("_name", V.BRACKET_NOTE, 1)))
-            .when(F.col("_comma") > 0, strip(F.substr("_name", F.lit(1), F.col("_comma") - 1)))
-            .otherwise(F.col("_name")),
+
+    none = F.lit(None).cast("string")
+    rest = F.regexp_extract(body, V.QUANTITY, 4)
+    measured = let(_measure(rest), lambda m: let(_name_and_note(m["name"]), lambda n: build(
+        _quantity(body), m["unit"], n["name"], n["note"]
+    )))
+    return F.when(body.rlike(V.QUANTITY), measured).otherwise(build(F.lit(None).cast("double"), none, body, none))
+
+
+def _quantity(body: Column) -> Column:
+    """Number plus fraction; null when there is neither, or when they add up to zero."""
+    amount = F.replace(F.regexp_extract(body, V.QUANTITY, 1), F.lit(","), F.lit(".")).try_cast("double")
+    fraction = mapped(F.regexp_extract(body, V.QUANTITY, 2), V.FRACTIONS)
+    return let(
+        F.coalesce(amount, F.lit(0.0)) + F.coalesce(fraction, F.lit(0.0)), lambda value: F.when(value > 0, value)
+    )
+
+
+def _measure(text: Column) -> Column:
+    """Unit at the start of a text and what follows it: a French spoon unit, else the first word."""
+
+    def parts(rest: Column, spoon: Column, word: Column, unit: Column) -> Column:
+        after = F.when(spoon != "", F.substr(rest, F.length(spoon) + 1)).when(
+            unit.isNotNull(), F.substr(rest, F.length(word) + 1)
         )
-        .withColumn(
-            "prep_note",
-            F.when(
-                F.col("_matched"),
-                empty_to_null(
-                    F.when(F.col("_bracket"), strip(F.regexp_extract("_name", V.BRACKET_NOTE, 2))).when(
-                        F.col("_comma") > 0, strip(F.substr("_name", F.col("_comma") + 1))
-                    )
-                ),
-            ),
+        spoon_unit = F.when(spoon.rlike(V.TABLE_SPOON_END), "EL").otherwise("TL")
+        name = strip(F.regexp_replace(strip(after), V.FRENCH_PREPOSITION, ""))
+        return F.struct(
+            F.when(spoon != "", spoon_unit).otherwise(unit).alias("unit"), F.coalesce(name, rest).alias("name")
         )
-        .select(*[c for c in keep if c not in _PARSED], *_PARSED)
-    )
+
+    return let(text, lambda rest: let(F.regexp_extract(rest, V.SPOON_UNIT, 0), lambda spoon: (
+        let(F.regexp_extract(rest, r"(?U)^(\S+)", 1), lambda word: (
+            let(mapped(F.lower(F.rtrim(word, F.lit("."))), _UNITS), lambda unit: parts(rest, spoon, word, unit))
+        ))
+    )))
 
 
-_PARSED = ["quantity", "unit", "ingredient", "prep_note", "optional"]
+def _name_and_note(text: Column) -> Column:
+    """Name and note, apart by brackets at the end, else by the first comma."""
+    comma = F.instr(text, F.lit(","))
+    bracket = F.endswith(text, F.lit(")")) & text.rlike(V.BRACKET_NOTE)
+    name = (
+        F.when(bracket, strip(F.regexp_extract(text, V.BRACKET_NOTE, 1)))
+        .when(comma > 0, strip(F.substr(text, F.lit(1), comma - 1)))
+        .otherwise(text)
+    )
+    note = F.when(bracket, strip(F.regexp_extract(text, V.BRACKET_NOTE, 2))).when(
+        comma > 0, strip(F.substr(text, comma + 1))
+    )
+    return F.struct(name.alias("name"), empty_to_null(note).alias("note"))

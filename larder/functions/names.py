@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larder.functions import vocabulary as V
-from larder.functions.text import any_of, empty_to_null, normalise_title, strip
+from larder.functions.text import any_of, strip
 
 
 def _fold(text: str) -> str:
@@ -41,19 +41,20 @@ def clean_name(raw: Column) -> Column:
 
 
 def without_prefix(text: Column, pattern: str) -> Column:
-    """Drop a leading quantity; null when nothing is dropped or nothing is left."""
-    shorter = strip(F.regexp_replace(text, pattern, ""))
-    return F.when((shorter != "") & (shorter != text), shorter)
-
-
-def lookup_texts(cleaned: Column) -> Column:
-    """Normalised texts to try in order: the name, without quantity and unit, without a bare count."""
-    lowered = F.lower(cleaned)
-    return F.array(
-        empty_to_null(normalise_title(cleaned)),
-        empty_to_null(normalise_title(without_prefix(lowered, V.QUANTITY_UNIT_PREFIX))),
-        empty_to_null(normalise_title(without_prefix(lowered, V.BARE_COUNT_PREFIX))),
-    )
+    """Drop a leading quantity."""
+    return strip(F.regexp_replace(text, pattern, ""))
+
+
+def lookup_texts(cleaned: Column, lowered: Column, without_unit: Column, without_count: Column) -> Column:
+    """Texts to try in order: the name, without quantity and unit, without a bare count.
+
+    The shortened ones only count when something was dropped and something is left.
+    """
+
+    def shortened(text: Column) -> Column:
+        return F.when((text != "") & (text != lowered), text)
+
+    return F.array(cleaned, shortened(without_unit), shortened(without_count))
 
 
 def strip_german(text: Column) -> Column:
@@ -72,22 +73,27 @@ def strip_french(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, _FRENCH_LEADING, ""), _FRENCH_TRAILING, "")
 
 
-def _without_ending(word: Column, ending: str, min_length: int, replacement: str = "") -> Column:
-    stem = F.substr(word, F.lit(1), F.length(word) - len(ending))
-    whole = F.concat(stem, F.lit(replacement)) if replacement else stem
-    return F.when(F.endswith(word, F.lit(ending)) & (F.length(word) > min_length), whole)
+def _singulars(word: Column, endings: list[tuple[str, str, int]]) -> Column:
+    """Array of shorter forms, one place per ``(ending, replacement, least remaining length)``."""
+    rules = F.array(
+        *[F.struct(F.lit(e).alias("end"), F.lit(r).alias("put"), F.lit(n).alias("rest")) for e, r, n in endings]
+    )
+
+    def shorter(rule: Column) -> Column:
+        cut = F.length(word) - F.length(rule["end"])
+        return F.when(
+            F.endswith(word, rule["end"]) & (cut >= rule["rest"]), F.concat(F.substr(word, F.lit(1), cut), rule["put"])
+        )
 
+    return F.transform(rules, shorter)
 
-def german_singulars(word: Column) -> list[Column]:
-    return [_without_ending(word, ending, len(ending) + 2) for ending in V.GERMAN_PLURAL_ENDINGS]
 
+def german_singulars(word: Column) -> Column:
+    return _singulars(word, [(ending, "", 3) for ending in V.GERMAN_PLURAL_ENDINGS])
 
-def french_singulars(word: Column) -> list[Column]:
-    return [
-        _without_ending(word, "s", 3),
-        _without_ending(word, "x", 3),
-        _without_ending(word, "aux", 4, "al"),
-    ]
+
+def french_singulars(word: Column) -> Column:
+    return _singulars(word, [("s", "", 3), ("x", "", 3), ("aux", "al", 2)])
 
 
 def match_candidates(text: Column, german: Column, context: Column, context_bare: Column, french: Column) -> Column:
@@ -99,17 +105,19 @@ def match_candidates(text: Column, german: Column, context: Column, context_bare
     """
     in_context = context != text
     last = F.when(text.contains("-"), F.element_at(F.split(text, "-"), -1))
-    with_context = [context, context_bare, *french_singulars(context), *french_singulars(context_bare)]
-    ordered = [
-        text,
-        german,
-        *german_singulars(text),
-        *german_singulars(german),
-        *[F.when(in_context, c) for c in with_context],
-        french,
-        *french_singulars(french),
-        *french_singulars(text),
-        last,
-        *german_singulars(last),
-    ]
-    return F.filter(F.array(*ordered), lambda c: c.isNotNull() & (c != ""))
+    none = F.array().cast("array<string>")
+    ordered = F.concat(
+        F.array(text, german),
+        german_singulars(text),
+        german_singulars(german),
+        F.when(
+            in_context,
+            F.concat(F.array(context, context_bare), french_singulars(context), french_singulars(context_bare)),
+        ).otherwise(none),
+        F.array(french),
+        french_singulars(french),
+        french_singulars(text),
+        F.array(last),
+        F.coalesce(german_singulars(last), none),
+    )
+    return F.filter(ordered, lambda c: c.isNotNull() & (c != ""))

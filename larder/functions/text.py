@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 # Letters that decompose: Latin-1 Supplement to Latin Extended-B, Latin Extended Additional.
 _FOLDED_RANGES = ((0x00A0, 0x0250), (0x1E00, 0x1F00), (0x2000, 0x2070), (0xFF01, 0xFF5F))
@@ -46,6 +47,15 @@ def strip_accents(text: Column) -> Column:
     return F.translate(F.when(rare, expanded).otherwise(text), source, target)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use the result several times.
+
+    Keeps the expression small even after Spark pushes a filter on it towards the scan, which would
+    otherwise copy every intermediate step into each of its uses.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def squeeze(text: Column) -> Column:
     """Collapse runs of whitespace to one blank and trim."""
     return F.trim(F.regexp_replace(text, WHITESPACE, " "))
@@ -53,7 +63,7 @@ def squeeze(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim any Unicode whitespace at both ends."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def normalise_title(text: Column) -> Column:

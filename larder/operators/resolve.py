@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import names as N
+from larder.functions import vocabulary as V
 from larder.functions.text import normalise_title
 from larder.plans.joins import join_dimension, salted_join
 
@@ -33,12 +34,20 @@ def resolve_names(names: DataFrame, index: DataFrame, column: str = "ingredient"
     Names are made distinct before candidates are built. Candidates of a name keep its
     partition, so the best one is picked without another shuffle when the index is broadcast.
     """
-    distinct = names.select(F.col(column).alias("name")).filter("name is not null").distinct()
+    distinct = names.select(F.col(column).alias("name")).distinct()
+    # Staged column by column: every text is computed once per row, not once per use.
     texts = (
-        distinct.withColumn("_texts", N.lookup_texts(N.clean_name(F.col("name"))))
-        .select("name", F.posexplode_outer("_texts").alias("_round", "_t"))
-        # A cleaned name without letters has no first text, and then no other round counts.
-        .filter("_t is not null or _round = 0")
+        distinct.withColumn("_clean", N.clean_name(F.col("name")))
+        .withColumn("_low", F.lower("_clean"))
+        .withColumn("_no_unit", N.without_prefix(F.col("_low"), V.QUANTITY_UNIT_PREFIX))
+        .withColumn("_no_count", N.without_prefix(F.col("_low"), V.BARE_COUNT_PREFIX))
+        .select(
+            "name",
+            F.posexplode(
+                N.lookup_texts(F.col("_clean"), F.col("_low"), F.col("_no_unit"), F.col("_no_count"))
+            ).alias("_round", "_raw"),
+        )
+        .withColumn("_t", normalise_title(F.col("_raw")))
         .withColumn("_g", N.strip_german(F.col("_t")))
         .withColumn("_c", N.strip_french_context(F.col("_t")))
         .withColumn("_cf", N.strip_french(F.col("_c")))

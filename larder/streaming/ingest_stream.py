@@ -6,12 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from larder.operators.ingest import dispositions
 from larder.schemas import RAW_RECIPE
 
-RECORD_STREAM = RAW_RECIPE.add("source_id", "int").add("position", "bigint").add("error", "string")
+RECORD_STREAM = T.StructType(
+    [
+        *RAW_RECIPE.fields,
+        T.StructField("source_id", T.IntegerType()),
+        T.StructField("position", T.LongType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
 
 
 def record_stream(spark: SparkSession, folder: str, max_files_per_batch: int = 1_000) -> DataFrame:
