@@ -133,10 +133,6 @@ def pairing_tag_ranking(b: Bindings) -> DataFrame:
 def promotion_value_ranking(b: Bindings) -> DataFrame:
     promos = b.promotions()
     offers = P.best_offers(promos, promos.selectExpr("id as promotion_id", "ingredient_id").distinct(), PROMOTIONS_AS_OF)
-    return R_promotions(b, offers)
-
-
-def R_promotions(b: Bindings, offers: DataFrame) -> DataFrame:
     return P.suggest_for_promotions(b.recipes(), b.recipe_ingredients(), offers, limit=30).select(
         "recipe_id", "title", "n_on_offer", F.round("value", 3).alias("value")
     )
@@ -1024,7 +1020,7 @@ def windowed_tool_events(b: Bindings) -> DataFrame:
     query.awaitTermination()
     return b.spark.table(name).select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "tool", "calls", "errors",
-        F.round("avg_ms", 4).alias("avg_ms"), "max_ms",
+        F.round(F.col("avg_ms") * F.col("calls"), 2).alias("total_ms"), "max_ms",
     )
 
 
