@@ -106,10 +106,16 @@ def content_hash(language: Column, title: Column, ingredients: Column, steps: Co
     )
 
 
-def mapped(value: Column, table: dict[str, str]) -> Column:
+def mapped(value: Column, table: dict[str, object]) -> Column:
     """Look a value up in a small fixed table; null when absent."""
-    pairs = [F.lit(x) for pair in table.items() for x in pair]
-    return F.element_at(F.create_map(*pairs), value)
+    entries = ", ".join(f"{_literal(x)}" for pair in table.items() for x in pair)
+    return F.element_at(F.expr(f"map({entries})"), value)
+
+
+def _literal(value: object) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
 
 
 def first_mapped(items: Column, table: dict[str, str]) -> Column:
