@@ -194,7 +194,7 @@ def ingredient_rows(records: DataFrame, index: DataFrame) -> DataFrame:
     lines = records.select("recipe_id", F.posexplode(flat).alias("_pos", "_line")).select(
         "recipe_id", (F.col("_pos") + 1).alias("seq"), "_line.group_label", "_line.raw_text"
     )
-    resolved = R.resolve_lines(parse_lines(lines), index)
+    resolved = R.resolve_lines(parse_lines(lines).checkpoint(), index)
     return resolved.select(
         "recipe_id",
         "seq",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larder.functions import vocabulary as V
 from larder.operators.search import top
 from larder.plans.joins import join_dimension
+from larder.session import ensure_checkpoint_dir
 
 
 def available_keys(
@@ -40,7 +41,6 @@ def part_keys(recipe_ingredients: DataFrame, ingredients: DataFrame) -> DataFram
 
 def pantry_coverage(parts: DataFrame, available: DataFrame) -> DataFrame:
     """Per recipe: number of parts, covered parts and missing parts; repeated parts count each time."""
-    # Count each (recipe, part) once before availability is looked up.
     at_hand = available.select("key", F.lit(True).alias("at_hand"))
     return (
         join_dimension(parts.select("recipe_id", "key"), at_hand, "key", "left")
@@ -74,25 +74,27 @@ def suggest_for_pantry(
         candidates = candidates.filter(F.col("total_minutes") <= max_total_minutes)
     candidates = candidates.select(F.col("id").alias("recipe_id"), "title", "total_minutes")
 
-    available = available_keys(pantry, ingredients, extras, staples)
-    parts = part_keys(recipe_ingredients.select("recipe_id", "ingredient_id", "raw_text", *line_order), ingredients)
+    ensure_checkpoint_dir(recipes.sparkSession)
+    # Both are small next to the lines and used more than once, so each is computed once.
+    available = available_keys(pantry, ingredients, extras, staples).checkpoint()
+    lines = recipe_ingredients.select("recipe_id", "ingredient_id", "raw_text", *line_order)
     coverage = F.round(F.col("covered") / F.col("ingredient_count"), 3)
     scored = (
-        pantry_coverage(parts, available)
+        pantry_coverage(part_keys(lines, ingredients), available)
         .filter(F.col("missing") <= missing_ok)
         .join(candidates, "recipe_id")
         .withColumn("coverage_score", coverage)
         .withColumn("score", F.round(F.col("coverage_score") - F.col("missing") * F.lit(0.1), 3))
     )
-    order = [F.col("score").desc(), F.col("recipe_id")]
-    winners = top(scored, order, limit)
+    winners = top(scored, [F.col("score").desc(), F.col("recipe_id")], limit).checkpoint()
 
-    ids = winners.filter("missing > 0").select("recipe_id")
-    # With a limit the winners are at most that many rows; without one the join is left to Spark.
-    ids = F.broadcast(ids) if limit is not None else ids
-    winner_parts = parts.join(ids, "recipe_id", "left_semi")
+    incomplete = winners.filter("missing > 0").select("recipe_id")
+    # Only lines of winners are read again; with a limit these are few recipes.
+    open_lines = (
+        lines.join(F.broadcast(incomplete) if limit is not None else incomplete, "recipe_id", "left_semi")
+    )
     gaps = (
-        join_dimension(winner_parts, available, "key", "left_anti")
+        join_dimension(part_keys(open_lines, ingredients), available, "key", "left_anti")
         .groupBy("recipe_id")
         .agg(F.array_sort(F.collect_list(F.struct(*line_order, "key"))).alias("_gaps"))
         .select("recipe_id", F.transform("_gaps", lambda g: g["key"]).alias("missing_ingredients"))

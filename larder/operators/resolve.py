@@ -72,8 +72,9 @@ def resolve_names(names: DataFrame, index: DataFrame, column: str = "ingredient"
 def resolve_lines(lines: DataFrame, index: DataFrame, column: str = "ingredient") -> DataFrame:
     """Add ``ingredient_key`` and ``ingredient_id`` to parsed lines.
 
-    The mapping of distinct names joins back salted, because one frequent name may occur in a
-    large share of all lines.
+    The lines are read twice, so hand over a written or checkpointed frame when parsing them is
+    expensive. The mapping of distinct names joins back salted, because one frequent name may
+    occur in a large share of all lines.
     """
     found = resolve_names(lines, index, column).select(
         F.col("name").alias(column), F.col("key").alias("ingredient_key"), F.col("id").alias("ingredient_id")

@@ -21,9 +21,12 @@ class Bindings:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        if table not in self._raw:
+            self._raw[table] = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        return self._raw[table]
 
     def recipes(self) -> DataFrame:
         return self.raw("orders").selectExpr(

@@ -26,6 +26,12 @@ def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     return df.count() <= max_rows
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for CPU-heavy work on a scan of few files; a scan with enough splits is left alone."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def join_dimension(
     fact: DataFrame,
     dimension: DataFrame,

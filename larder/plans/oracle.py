@@ -173,6 +173,21 @@ pp as (
   from orders left join prof on rid = o_orderkey left join wr on wr.rid = o_orderkey)"""
 
 
+_INGESTED = f"""r as (
+  select o_orderkey as o, o_custkey % 5 + 1 as source_id, o_custkey % 211 as ware, o_orderkey % 11 as t,
+    case when o_orderkey % 6 <= 1 then o_orderkey % 6 else 2 end as second, o_orderkey % 4 as step,
+    case when o_orderkey % 10 = 0 and o_orderkey % 9 <> 0 then 'known' when o_orderkey % 97 = 0 then 'error'
+      when o_orderkey % 13 = 0 then 'language' end as own from orders),
+firsts as (select min(struct_pack(s := source_id, o := o)).o as o from r where own is null group by t, second, ware, step),
+fresh as (
+  select r.*, (select max(o_orderkey) from orders where o_orderkey % 10 = 0) + row_number() over (order by source_id, o) as id,
+    nullif(o % 70, 0) as minutes from r where o in (from firsts)),
+cat as (select p_partkey % 211 as ware, min(p_partkey) as ware_id from part where p_partkey % 211 < 100 group by 1),
+x as (select fresh.*, ware_id, {_COURSE} as course, {_CUISINE.format(", case when o % 6 = 0 then 'asian' end")} as cuisine,
+  {_METHOD} as cooking_method from fresh left join cat using (ware))
+"""
+
+
 def statements() -> dict[str, str]:
     decided = _DECIDED.format(language="lang not in ('de', 'en', 'fr')")
     decided_all = _DECIDED.format(language="false")
@@ -484,6 +499,18 @@ s as (select source_id, id, case when status = 'active' and source_id in (select
 select source_id, status, count(*) as n, sum(id) as ids from s group by all""",
         "interrupted_runs": """select event_id as id, event_type as source, case when event_type = 'click' and value > 10 then 'crashed' when value > 10 then 'running' else 'success' end as status,
   case when event_type = 'click' and value > 10 then round(date_diff('microsecond', ts, timestamp '2024-02-01') / 1e6, 2) end as duration_seconds from events""",
+        "ingested_recipes": f"""with {_INGESTED}
+select id, source_id, case when o % 9 = 0 then 'japanische-suppe-' else 'teller-' end || o || '-de' as source_external_id,
+  {_FOLD.format(_TITLES + "[t + 1]")} as title_normalised, 4 as servings, minutes as prep_minutes, minutes as total_minutes, course, cuisine,
+  case when o % 5 = 0 or minutes > 60 then 'advanced' when minutes > 30 then 'medium' when minutes > 0 then 'easy' end as difficulty,
+  cooking_method, case when ware_id is not null then 'beef' end as primary_protein,
+  case when course in ('starter', 'side') then 'light' else 'medium' end as weight_class,
+  concat_ws('|', case when ware_id is not null then 'dairy-free' end, case when minutes <= 30 then 'quick' end) as dietary_flags,
+  case when ware_id is not null then 'grain' else '' end as food_groups from x""",
+        "ingested_lines": f"""with {_INGESTED}
+select id as recipe_id, 1 as seq, null as ingredient_id, 2 as quantity, 'EL' as unit, '2 EL Sojasauce' as raw_text from x
+union all select id, 2, null, [1, 200, null][second + 1], ['Stück', 'g', null][second + 1], ['1 Stück Ingwer', '200 g Linsen', 'Wasser'][second + 1] from x
+union all select id, 3, ware_id, 200, 'g', '200 g Ware ' || ware from x""",
         "page_titles": """select page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1),
   '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))) as digest from pages""",
         "page_list_items": """with i as (select page_id, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) as x from pages),

@@ -26,7 +26,7 @@ from larder.operators import search as S
 from larder.operators import tags as TG
 from larder.operators import trends as T
 from larder.plans.bindings import Bindings
-from larder.plans.joins import dense_ids, group_ordinals, join_dimension
+from larder.plans.joins import dense_ids, group_ordinals, join_dimension, spread
 from larder.session import ensure_checkpoint_dir
 from larder.sources import pages as PG
 from larder.sources import sitemaps as SM
@@ -562,8 +562,8 @@ _UNIT = "case l_linenumber % 4 when 0 then 'g' when 1 then 'EL' when 2 then 'dl'
 
 def _text_lines(b: Bindings) -> DataFrame:
     parts = b.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    lines = b.raw("lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_tax"
+    lines = spread(
+        b.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_tax")
     )
     return join_dimension(lines, parts, "l_partkey").selectExpr(
         "l_orderkey as recipe_id",
@@ -598,7 +598,9 @@ def parsed_lines(b: Bindings) -> DataFrame:
 
 @_query
 def resolved_lines(b: Bindings) -> DataFrame:
-    resolved = N.resolve_lines(parse_lines(_text_lines(b)), N.alias_index(_name_catalogue(b)))
+    ensure_checkpoint_dir(b.spark)
+    parsed = parse_lines(_text_lines(b)).select("recipe_id", "seq", "part", "ingredient").checkpoint()
+    resolved = N.resolve_lines(parsed, N.alias_index(_name_catalogue(b)))
     return resolved.select("recipe_id", "seq", "part", "ingredient", "ingredient_key", "ingredient_id")
 
 
@@ -744,7 +746,8 @@ def _food_catalogue(b: Bindings) -> DataFrame:
 
 
 def _food_lines(b: Bindings) -> DataFrame:
-    return b.raw("lineitem").selectExpr(
+    lines = b.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return spread(lines).selectExpr(
         "l_orderkey as recipe_id",
         "l_linenumber as seq",
         "case when l_linenumber > 3 then l_partkey end as ingredient_id",
@@ -861,7 +864,11 @@ def interrupted_runs(b: Bindings) -> DataFrame:
 def _ingested(b: Bindings) -> I.IngestRows:
     return I.ingest(
         _records(b).drop("recipe_id"),
-        b.recipes().select("id", "source_url", F.lit(None).cast("string").alias("content_hash")).filter("id % 10 = 0"),
+        b.recipes().filter("id % 10 = 0").select(
+            "id",
+            F.concat(F.lit("https://shop.example.org/de/rezepte/teller-"), F.col("id").cast("string")).alias("source_url"),
+            F.lit(None).cast("string").alias("content_hash"),
+        ),
         b.tags(),
         _ware_catalogue(b),
         datetime(2024, 1, 1),
