@@ -16,7 +16,7 @@ _BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _FOLDED_RANGES = ((0x00A0, 0x0250), (0x1E00, 0x1F00), (0x2000, 0x2070), (0xFF01, 0xFF5F))
 _COMBINING_RANGE = (0x0300, 0x0370)
 # Characters whose decomposition is longer than one character.
-_EXPANDED = "¼½¾⅓⅔⅕⅖⅗⅘⅙⅚⅛⅜⅝⅞ĲĳŉǄǅǆǇǈǉǊǋǌﬀﬁﬂﬃﬄ…"
+_EXPANDED = "¼½¾⅓⅔⅕⅖⅗⅘⅙⅚⅛⅜⅝⅞ĲĳĿŀŉǄǅǆǇǈǉǊǋǌǱǲǳẚﬀﬁﬂﬃﬄ…"
 
 
 def _fold(text: str) -> str:
