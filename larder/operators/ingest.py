@@ -22,7 +22,8 @@ from larder.operators import classify as C
 from larder.operators import resolve as R
 from larder.operators.changes import max_id
 from larder.operators.tags import classification_tags, keyword_tags
-from larder.plans.joins import dense_ids, join_dimension
+from larder.plans.joins import dense_ids, join_dimension, salted_join
+from larder.session import ensure_checkpoint_dir
 
 # Navigation phrases and limits of the line-quality heuristics.
 NAVIGATION_PHRASES = ["hauptmenü", "menu schliessen", "jetzt entdecken", "jetzt weiterstöbern", "werbung buchen"]
@@ -53,29 +54,37 @@ def with_hash(records: DataFrame) -> DataFrame:
     )
 
 
-def dispositions(
+def decide(
     records: DataFrame,
     recipes: DataFrame,
     languages: Sequence[str] | None = None,
     limit_per_source: int | None = None,
 ) -> DataFrame:
-    """Add ``content_hash`` and ``disposition`` to ``records(source_id, position, error, …)``.
+    """``(source_id, position, content_hash, error, disposition)`` of ``records(source_id, position, error, …)``.
 
-    ``position`` orders the records of a source. With a limit, everything behind the last new
-    record allowed for a source is ``over_limit``; run sources one after the other then, if they
-    may share content. Duplicates are settled over all given records.
+    Works on keys and hashes only, so that the texts are not shuffled. ``position`` orders the
+    records of a source. With a limit, everything behind the last new record allowed for a source is
+    ``over_limit``; run sources one after the other then, if they may share content. Duplicates are
+    settled over all given records.
     """
-    hashed = with_hash(records)
-    seen_urls = hashed.select("source_url").distinct().join(
-        recipes.select("source_url").distinct(), "source_url", "left_semi"
-    )
-    flagged = join_dimension(hashed, seen_urls.withColumn("_seen", F.lit(True)), "source_url", "left")
-    error = F.col("error").isNotNull() if "error" in records.columns else F.lit(False)
+    error = F.col("error") if "error" in records.columns else F.lit(None).cast("string")
     wrong_language = ~F.col("language").isin(list(languages)) if languages else F.lit(False)
     empty = (F.coalesce(F.size("ingredients_raw"), F.lit(0)) < 1) & (F.coalesce(F.size("steps_raw"), F.lit(0)) < 1)
-    own = F.when(F.col("_seen"), "known").when(error, "error").when(wrong_language, "language").when(empty, "invalid")
-    checked = flagged.withColumn("_own", own).drop("_seen")
-
+    fault = F.when(error.isNotNull(), "error").when(wrong_language, "language").when(empty, "invalid")
+    narrow = with_hash(records).select(
+        "source_id", "position", "source_url", "content_hash", error.alias("error"), fault.alias("_fault")
+    )
+    seen_urls = (
+        records.select("source_url")
+        .distinct()
+        .join(recipes.select("source_url").distinct(), "source_url", "left_semi")
+        .withColumn("_seen", F.lit(True))
+    )
+    checked = (
+        salted_join(narrow, seen_urls, ["source_url"], "left", salt_by=["source_id", "position"])
+        .withColumn("_own", F.when(F.col("_seen"), "known").otherwise(F.col("_fault")))
+        .drop("_seen", "_fault", "source_url")
+    )
     first = (
         checked.filter("_own is null")
         .groupBy("content_hash")
@@ -104,7 +113,13 @@ def dispositions(
             .withColumn("disposition", F.when(behind, "over_limit").otherwise(F.col("disposition")))
             .drop("_last")
         )
-    return decided.drop("_own", "_new")
+    return decided.select("source_id", "position", "content_hash", "error", "disposition")
+
+
+def accepted(records: DataFrame, decided: DataFrame) -> DataFrame:
+    """Whole records that are new, with their hash; the only step that shuffles the texts."""
+    keys = decided.filter("disposition = 'new'").drop("disposition", "error")
+    return records.drop("content_hash").join(keys, ["source_id", "position"])
 
 
 def audit(decided: DataFrame) -> DataFrame:
@@ -311,24 +326,26 @@ def ingest(
     limit_per_source: int | None = None,
 ) -> IngestRows:
     """Rows to append for a batch of raw records, and what became of every record."""
-    decided = dispositions(records, recipes, languages, limit_per_source)
-    # The accepted records, with their ids, are materialised once and feed all tables.
-    accepted = dense_ids(
-        decided.filter("disposition = 'new'"),
+    ensure_checkpoint_dir(records.sparkSession)
+    decided = decide(records, recipes, languages, limit_per_source).checkpoint()
+    ids = dense_ids(
+        decided.filter("disposition = 'new'").select("source_id", "position"),
         [F.col("source_id"), F.col("position")],
         max_id(recipes) + 1,
         "recipe_id",
-    ).checkpoint()
-    lines = ingredient_rows(accepted, R.alias_index(catalogue)).checkpoint()
-    new_recipes = recipe_rows(accepted, lines, catalogue, now).checkpoint()
-    from_keywords = keyword_tags(accepted.select("recipe_id", "keywords"), tags)
+    )
+    # The accepted records, with their ids, are materialised once and feed all tables.
+    taken = accepted(records, decided).join(ids, ["source_id", "position"]).checkpoint()
+    lines = ingredient_rows(taken, R.alias_index(catalogue)).checkpoint()
+    new_recipes = recipe_rows(taken, lines, catalogue, now).checkpoint()
+    from_keywords = keyword_tags(taken.select("recipe_id", "keywords"), tags)
     known_tags = tags.select("id", "key", "display", "facet").unionByName(from_keywords.tags)
     from_classes = classification_tags(new_recipes, known_tags)
     return IngestRows(
         decided=decided,
         recipes=new_recipes,
-        recipe_steps=step_rows(accepted),
-        recipe_images=image_rows(accepted),
+        recipe_steps=step_rows(taken),
+        recipe_images=image_rows(taken),
         recipe_ingredients=lines,
         tags=from_keywords.tags.unionByName(from_classes.tags),
         recipe_tags=from_keywords.links.unionByName(from_classes.links),

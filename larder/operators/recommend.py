@@ -86,7 +86,8 @@ def suggest_for_pantry(
         .withColumn("coverage_score", coverage)
         .withColumn("score", F.round(F.col("coverage_score") - F.col("missing") * F.lit(0.1), 3))
     )
-    winners = top(scored, [F.col("score").desc(), F.col("recipe_id")], limit).checkpoint()
+    winners = scored if limit is None else top(scored, [F.col("score").desc(), F.col("recipe_id")], limit)
+    winners = winners.checkpoint()
 
     incomplete = winners.filter("missing > 0").select("recipe_id")
     # Only lines of winners are read again; with a limit these are few recipes.

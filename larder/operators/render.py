@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import strip
-from larder.plans.joins import group_ordinals
+from larder.plans.joins import group_ordinals, join_dimension
 
 # Section names and header labels in output order.
 SECTIONS = ["title", "description", "metadata", "source", "ingredients", "steps", "notes", "cook log"]
@@ -132,7 +132,7 @@ def dossier_lines(recipes: DataFrame, recipe_ingredients: DataFrame, recipe_step
     for part in parts[1:]:
         children = children.unionByName(part)
     # Children of unknown recipes have no dossier.
-    return _header_lines(recipes).unionByName(children.join(known, "recipe_id", "left_semi"))
+    return _header_lines(recipes).unionByName(join_dimension(children, known, "recipe_id", "left_semi"))
 
 
 def dossier_documents(lines: DataFrame, lines_per_part: int = 5_000) -> DataFrame:

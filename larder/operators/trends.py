@@ -7,7 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators.search import top
+from larder.operators.search import top, with_titles
+from larder.plans.joins import join_dimension
 
 
 def monday_week(day: Column) -> Column:
@@ -42,13 +43,10 @@ def top_recipes(cook_log: DataFrame, recipes: DataFrame, limit: int | None = 10)
     counts = cook_log.groupBy("recipe_id").agg(
         F.count(F.lit(1)).alias("cook_count"), F.max("cooked_on").alias("last_cooked")
     )
-    titles = recipes.select(F.col("id").alias("recipe_id"), "title")
-    ranked = top(counts, [F.col("cook_count").desc(), F.col("recipe_id")], limit)
-    return (
-        ranked.join(titles, "recipe_id", "left")
-        .select("recipe_id", "title", "cook_count", "last_cooked")
-        .orderBy(F.col("cook_count").desc(), "recipe_id")
-    )
+    order = [F.col("cook_count").desc(), F.col("recipe_id")]
+    return with_titles(top(counts, order, limit), recipes, limit).select(
+        "recipe_id", "title", "cook_count", "last_cooked"
+    ).orderBy(*order)
 
 
 def cooking_frequency(
@@ -81,7 +79,7 @@ def cook_history(
         events = events.filter(F.col("recipe_id") == recipe_id)
     titles = recipes.select(F.col("id").alias("recipe_id"), "title")
     # Reduced to known recipes before the top-k; recipe ids are unique, so no row is repeated.
-    known = events.join(titles, "recipe_id")
+    known = join_dimension(events, titles, "recipe_id")
     order = [F.col("cooked_on").desc_nulls_last(), F.col("logged_at").desc_nulls_last(), F.col("id").desc()]
     return top(known, order, limit)
 

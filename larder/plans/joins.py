@@ -49,14 +49,20 @@ def join_dimension(
 
 
 def salted_join(
-    fact: DataFrame, dimension: DataFrame, keys: Sequence[str], how: str = "inner", *, salts: int = DEFAULT_SALTS
+    fact: DataFrame,
+    dimension: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    *,
+    salts: int = DEFAULT_SALTS,
+    salt_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Shuffle join with every key spread over ``salts`` buckets.
 
-    The salt is a hash of the fact row's own columns: a task that is run again after an executor
-    was lost puts each row into the same bucket.
+    The salt is a hash of the fact row's own columns (``salt_by``, or all): a task that is run again
+    after an executor was lost puts each row into the same bucket.
     """
-    columns = [F.col(f"`{name}`") for name in fact.columns if _hashable(fact, name)]
+    columns = [F.col(f"`{name}`") for name in salt_by or fact.columns if _hashable(fact, name)]
     salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int"))
     salted_dimension = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_fact.join(salted_dimension, [*keys, "_salt"], how).drop("_salt")

@@ -815,7 +815,7 @@ def _stored_recipes(b: Bindings) -> DataFrame:
 
 @_query
 def ingest_dispositions(b: Bindings) -> DataFrame:
-    return I.dispositions(_document_records(b), _stored_recipes(b), languages=["de", "en", "fr"]).select(
+    return I.decide(_document_records(b), _stored_recipes(b), languages=["de", "en", "fr"]).select(
         "source_id", "position", "disposition"
     )
 
@@ -823,19 +823,19 @@ def ingest_dispositions(b: Bindings) -> DataFrame:
 @_query
 def ingest_capped(b: Bindings) -> DataFrame:
     """With a cap on new records per source; sources share no content because the language is hashed."""
-    return I.dispositions(_document_records(b), _stored_recipes(b), limit_per_source=50).select(
+    return I.decide(_document_records(b), _stored_recipes(b), limit_per_source=50).select(
         "source_id", "position", "disposition"
     )
 
 
 @_query
 def ingest_audit(b: Bindings) -> DataFrame:
-    return I.audit(I.dispositions(_document_records(b), _stored_recipes(b), languages=["de", "en", "fr"]))
+    return I.audit(I.decide(_document_records(b), _stored_recipes(b), languages=["de", "en", "fr"]))
 
 
 @_query
 def ingest_errors(b: Bindings) -> DataFrame:
-    decided = I.dispositions(_document_records(b), _stored_recipes(b))
+    decided = I.decide(_document_records(b), _stored_recipes(b))
     return I.error_summary(decided.withColumn("error", F.concat("error", F.lit(" "), F.col("position").cast("string"))))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from larder.operators.ingest import dispositions
+from larder.operators.ingest import accepted, decide
 from larder.schemas import RAW_RECIPE
 
 RECORD_STREAM = T.StructType(
@@ -41,10 +41,8 @@ def start_ingest(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         stored = _stored(batch.sparkSession, target).filter(F.col("batch") != batch_id)
-        decided = dispositions(batch, stored, languages)
-        decided.filter("disposition = 'new'").drop("disposition").write.mode("overwrite").parquet(
-            f"{target.rstrip('/')}/batch={batch_id}"
-        )
+        fresh = accepted(batch, decide(batch, stored, languages))
+        fresh.write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={batch_id}")
 
     return (
         records.writeStream.foreachBatch(write)
