@@ -151,7 +151,7 @@ def list_pins(pins: DataFrame, recipes: DataFrame, include_done: bool = False) -
     return (
         join_dimension(df, titles, "recipe_id")
         .select("id", "recipe_id", "title", "pinned_at", "target_date", "note", "status")
-        .orderBy(F.col("target_date").asc_nulls_last(), F.col("pinned_at"), F.col("id"))
+        .orderBy(F.col("target_date").asc_nulls_last(), F.col("pinned_at").asc_nulls_last(), F.col("id"))
     )
 
 
