@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import vocabulary as V
 from larder.operators.search import top
-from larder.plans.joins import join_dimension
+from larder.plans.joins import MAX_BROADCAST_ROWS, join_dimension
 from larder.session import ensure_checkpoint_dir
 
 
@@ -90,10 +90,9 @@ def suggest_for_pantry(
     winners = winners.checkpoint()
 
     incomplete = winners.filter("missing > 0").select("recipe_id")
-    # Only lines of winners are read again; with a limit these are few recipes.
-    open_lines = (
-        lines.join(F.broadcast(incomplete) if limit is not None else incomplete, "recipe_id", "left_semi")
-    )
+    # Only lines of winners are read again; a small limit bounds the winners and with them the broadcast.
+    few = limit is not None and limit <= MAX_BROADCAST_ROWS
+    open_lines = lines.join(F.broadcast(incomplete) if few else incomplete, "recipe_id", "left_semi")
     gaps = (
         join_dimension(part_keys(open_lines, ingredients), available, "key", "left_anti")
         .groupBy("recipe_id")

@@ -516,6 +516,18 @@ union all select id, 3, ware_id, 200, 'g', '200 g Ware ' || ware from x""",
         "page_list_items": """with i as (select page_id, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) as x from pages),
 c as (select page_id, list_transform(x, lambda v: trim(regexp_replace(replace(regexp_replace(v, '<[^>]*>', '', 'g'), '&amp;', '&'), '\\s+', ' ', 'g'))) as x from i)
 select page_id, len(x) as n, array_to_string(x, '|') as items from c""",
+        "page_records": """with i as (select page_id, url, html, list_transform(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1),
+  lambda v: trim(regexp_replace(replace(regexp_replace(v, '<[^>]*>', '', 'g'), '&amp;', '&'), '\\s+', ' ', 'g'))) as x from pages)
+select page_id, case when contains(url, '/de/') then 'de' when contains(url, '/fr/') then 'fr' when contains(url, '/it/') then 'it' else 'de' end as language,
+  len(list_filter(x, lambda v: regexp_matches(v, '(g |kg |dl |l |EL |TL |Stk|Prise)') and length(v) <= 200
+    and not regexp_matches(lower(v), '(hauptmenü|menu schliessen|jetzt entdecken|jetzt weiterstöbern|werbung buchen|shop)'))) as n_lines,
+  0 as n_steps, 0 as n_keywords, '' as category, '' as cuisine, case when not contains(html, '<h1>') then 'no recipe title' end as error from i""",
+        "markup_records": """with t as (select doc_id, lang, source, regexp_replace(text, '[<>&]', ' ', 'g') as text from documents),
+l as (select *, list_filter(list_transform(string_split(text, chr(10)), lambda v: trim(regexp_replace(v, '\\s+', ' ', 'g'))), lambda v: v <> '' and length(v) <= 200
+  and not regexp_matches(lower(v), '(hauptmenü|menu schliessen|jetzt entdecken|jetzt weiterstöbern|werbung buchen|shop)')) as x from t)
+select doc_id, 'Text & ' || lang as title, source as category, 'thai' as cuisine, 'Thai|' || lang as keywords,
+  cast(trim(regexp_replace(regexp_replace('1 ' || split_part(text, '.', 1), '\\s+', ' ', 'g'), '^[0-9]+ *', '')) <> '' as int) as n_steps,
+  len(x) as n_lines, sha256(array_to_string(x, '|')) as lines, case when len(x) > 0 then 'Teil' else '' end as labels from l""",
         "structured_records": """select doc_id, source as title, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as n_lines,
   sha256(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), '|')) as lines,
   cast(trim(split_part(text, '.', 1), ' ' || chr(10)) <> '' as int) as n_steps, cast(doc_id as varchar) as yield_amount, lang || '|' || source as keywords,

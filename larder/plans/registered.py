@@ -926,6 +926,25 @@ def page_records(b: Bindings) -> DataFrame:
     )
 
 
+@_query
+def markup_records(b: Bindings) -> DataFrame:
+    """Records read from markup that is written from the documents: one list item per line of text."""
+    text = F.regexp_replace("text", "[<>&]", " ")
+    items = F.array_join(F.transform(F.split(text, "\n"), lambda x: F.concat(F.lit("<li><b>"), x, F.lit("</b></li>"))), "")
+    html = F.concat(
+        F.lit('<html><head><meta name="keywords" content="Thai, '), F.col("lang"), F.lit('"></head><body><nav class="breadcrumb"><a href="/">Home</a><a>'),
+        F.col("source"), F.lit("</a></nav><h1> Text &amp; <i>"), F.col("lang"), F.lit('</i></h1><section class="ingredients"><h3>Zutaten</h3><h4>Teil</h4><ul>'),
+        items, F.lit('</ul></section><div class="recipe-step">1 '), F.substring_index(text, ".", 1), F.lit("</div></body></html>"),
+    )
+    pages = b.raw("documents").select("doc_id", F.lit("u").alias("url"), F.col("lang").alias("language"), html.alias("html"))
+    raw = PG.from_markup(pages)
+    return raw.select(
+        "doc_id", "title", "category", "cuisine", _joined("keywords"), F.size("steps_raw").alias("n_steps"),
+        F.size("ingredients_raw").alias("n_lines"), F.sha2(F.array_join("ingredients_raw", "|"), 256).alias("lines"),
+        F.array_join(F.transform("ingredient_groups", lambda g: g["label"]), "|").alias("labels"),
+    )
+
+
 def _structured_pages(b: Bindings) -> DataFrame:
     """Pages that carry a structured recipe, written from the documents."""
     doc = F.to_json(
@@ -1016,7 +1035,11 @@ def windowed_tool_events(b: Bindings) -> DataFrame:
     schema = b.raw("events").schema
     raw = event_stream(b.spark, f"{b.folder}/events.parquet*", schema)
     events = raw.selectExpr(
-        "event_type as tool", "cast(ts as timestamp) as started_at", "value as duration_ms", "event_type <> 'error' as success"
+        "event_type as tool",
+        # Wall-clock times are UTC, whatever the session's time zone.
+        "timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz '1970-01-01 00:00:00', ts)) as started_at",
+        "value as duration_ms",
+        "event_type <> 'error' as success",
     )
     name = f"tool_events_{uuid.uuid4().hex}"
     query = (
@@ -1026,7 +1049,7 @@ def windowed_tool_events(b: Bindings) -> DataFrame:
     )
     query.awaitTermination()
     return b.spark.table(name).select(
-        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "tool", "calls", "errors",
+        F.date_from_unix_date((F.unix_seconds("window_start") / 86400).cast("int")).cast("string").alias("day"), "tool", "calls", "errors",
         F.round(F.col("avg_ms") * F.col("calls"), 2).alias("total_ms"), "max_ms",
     )
 
