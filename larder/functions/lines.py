@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import vocabulary as V
 from larder.functions.text import empty_to_null, let, mapped, strip
 
+_APART = "\uffff"
 _UNITS = {spelling: unit for unit, text in V.UNIT_SPELLINGS.items() for spelling in text.split()}
 
 
@@ -52,20 +53,25 @@ def _fields(body: Column, optional: Column) -> Column:
             optional.alias("optional"),
         )
 
+    def measured(parts: Column) -> Column:
+        return let(_measure(parts[2]), lambda m: let(_name_and_note(m["name"]), lambda n: build(
+            _quantity(parts[0], parts[1]), m["unit"], n["name"], n["note"]
+        )))
+
     none = F.lit(None).cast("string")
-    rest = F.regexp_extract(body, V.QUANTITY, 4)
-    measured = let(_measure(rest), lambda m: let(_name_and_note(m["name"]), lambda n: build(
-        _quantity(body), m["unit"], n["name"], n["note"]
-    )))
-    return F.when(body.rlike(V.QUANTITY), measured).otherwise(build(F.lit(None).cast("double"), none, body, none))
+    # One pass of the pattern puts number, fraction and rest apart; the separator is no character.
+    pieces = F.split(F.regexp_replace(body, V.QUANTITY, f"$1{_APART}$2{_APART}$4"), _APART, 3)
+    return let(pieces, lambda parts: F.when(F.size(parts) == 3, measured(parts)).otherwise(
+        build(F.lit(None).cast("double"), none, body, none)
+    ))
 
 
-def _quantity(body: Column) -> Column:
+def _quantity(amount: Column, fraction: Column) -> Column:
     """Number plus fraction; null when there is neither, or when they add up to zero."""
-    amount = F.replace(F.regexp_extract(body, V.QUANTITY, 1), F.lit(","), F.lit(".")).try_cast("double")
-    fraction = mapped(F.regexp_extract(body, V.QUANTITY, 2), V.FRACTIONS)
+    number = F.replace(amount, F.lit(","), F.lit(".")).try_cast("double")
+    part = mapped(fraction, V.FRACTIONS)
     return let(
-        F.coalesce(amount, F.lit(0.0)) + F.coalesce(fraction, F.lit(0.0)), lambda value: F.when(value > 0, value)
+        F.coalesce(number, F.lit(0.0)) + F.coalesce(part, F.lit(0.0)), lambda value: F.when(value > 0, value)
     )
 
 
