@@ -124,6 +124,12 @@ def first_mapped(items: Column, table: dict[str, str]) -> Column:
     return F.get(hits, 0)
 
 
+def count_contained(text: Column, words: Sequence[str]) -> Column:
+    """How many of the words occur in the text."""
+    listed = F.expr(f"array({', '.join(_literal(w) for w in words)})")
+    return F.size(F.filter(listed, lambda w: F.contains(text, w)))
+
+
 def any_of(words: Sequence[str]) -> str:
     """Regex alternation of literal words, longest first."""
     ordered = sorted(set(words), key=lambda w: (-len(w), w))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import vocabulary as V
-from larder.functions.text import any_of, empty_to_null, first_mapped, mapped, strip
+from larder.functions.text import any_of, count_contained, empty_to_null, first_mapped, let, mapped, strip
 from larder.functions.urls import slug_words
 from larder.plans.joins import join_dimension
 
@@ -57,18 +57,20 @@ def explicit_cuisine(raw: Column) -> Column:
 
 
 def cuisine_from_url(url: Column) -> Column:
-    return _first_pattern(slug_words(url), V.CUISINE_URL_PATTERNS)
+    return let(slug_words(url), lambda slug: _first_pattern(slug, V.CUISINE_URL_PATTERNS))
 
 
 def cuisine_from_lines(lines: Column) -> Column:
     """First cuisine of which enough distinctive ingredients occur in the lines of one record."""
-    text = F.array_join(F.transform(lines, F.lower), " ")
-    result = None
-    for value, words in V.CUISINE_INGREDIENTS:
-        found = sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
-        hit = found >= V.CUISINE_MIN_INGREDIENTS
-        result = F.when(hit, value) if result is None else result.when(hit, value)
-    return result
+
+    def first(text: Column) -> Column:
+        result = None
+        for value, words in V.CUISINE_INGREDIENTS:
+            hit = count_contained(text, words) >= V.CUISINE_MIN_INGREDIENTS
+            result = F.when(hit, value) if result is None else result.when(hit, value)
+        return result
+
+    return let(F.array_join(F.transform(lines, F.lower), " "), first)
 
 
 def cuisine(raw: Column, title: Column, keywords: Column, url: Column, lines: Column | None = None) -> Column:
@@ -76,7 +78,7 @@ def cuisine(raw: Column, title: Column, keywords: Column, url: Column, lines: Co
     layers = [
         explicit_cuisine(raw),
         _first_pattern(title, V.CUISINE_PATTERNS),
-        _first_pattern(F.array_join(keywords, " "), V.CUISINE_PATTERNS),
+        let(F.array_join(keywords, " "), lambda joined: _first_pattern(joined, V.CUISINE_PATTERNS)),
         cuisine_from_url(url),
     ]
     if lines is not None:
@@ -119,16 +121,17 @@ def cooking_method(steps: Column, keywords: Column) -> Column:
         F.lit(" "),
         F.lower(F.array_join(F.coalesce(keywords, F.array().cast("array<string>")), " ")),
     )
-    scores = [
-        F.struct(
-            sum((F.contains(text, F.lit(p)).cast("int") for p in patterns), F.lit(0)).alias("n"),
-            F.lit(-place).alias("place"),
-            F.lit(method).alias("method"),
-        )
-        for place, (method, patterns) in enumerate(V.METHOD_PATTERNS.items())
-    ]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["n"] > 0, best["method"])
+
+    def best(text: Column) -> Column:
+        scores = [
+            F.struct(
+                count_contained(text, patterns).alias("n"), F.lit(-place).alias("place"), F.lit(method).alias("method")
+            )
+            for place, (method, patterns) in enumerate(V.METHOD_PATTERNS.items())
+        ]
+        return let(F.array_max(F.array(*scores)), lambda top: F.when(top["n"] > 0, top["method"]))
+
+    return let(text, best)
 
 
 def tokens(text: Column) -> Column:
