@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import vocabulary as V
 from larder.operators.search import top
-from larder.plans.joins import MAX_BROADCAST_ROWS, join_dimension
+from larder.plans.joins import MAX_BROADCAST_ROWS, fits_broadcast, join_dimension
 from larder.session import ensure_checkpoint_dir
 
 
@@ -29,21 +29,21 @@ def available_keys(
     return stocked.distinct()
 
 
-def part_keys(recipe_ingredients: DataFrame, ingredients: DataFrame) -> DataFrame:
+def part_keys(recipe_ingredients: DataFrame, ingredients: DataFrame, fits: bool | None = None) -> DataFrame:
     """``(recipe_id, seq, key)``: catalogue key of each line, else its lower-case text."""
     keys = ingredients.select(F.col("id").alias("ingredient_id"), "key")
     return (
-        join_dimension(recipe_ingredients, keys, "ingredient_id", "left")
+        join_dimension(recipe_ingredients, keys, "ingredient_id", "left", fits=fits)
         .withColumn("key", F.coalesce("key", F.lower("raw_text")))
         .filter("key is not null and key != ''")
     )
 
 
-def pantry_coverage(parts: DataFrame, available: DataFrame) -> DataFrame:
+def pantry_coverage(parts: DataFrame, available: DataFrame, fits: bool | None = None) -> DataFrame:
     """Per recipe: number of parts, covered parts and missing parts; repeated parts count each time."""
     at_hand = available.select("key", F.lit(True).alias("at_hand"))
     return (
-        join_dimension(parts.select("recipe_id", "key"), at_hand, "key", "left")
+        join_dimension(parts.select("recipe_id", "key"), at_hand, "key", "left", fits=fits)
         .groupBy("recipe_id")
         .agg(F.count(F.lit(1)).alias("ingredient_count"), F.count("at_hand").alias("covered"))
         .withColumn("missing", F.col("ingredient_count") - F.col("covered"))
@@ -77,10 +77,11 @@ def suggest_for_pantry(
     ensure_checkpoint_dir(recipes.sparkSession)
     # Both are small next to the lines and used more than once, so each is computed once.
     available = available_keys(pantry, ingredients, extras, staples).checkpoint()
+    few_keys, few_available = fits_broadcast(ingredients), fits_broadcast(available)
     lines = recipe_ingredients.select("recipe_id", "ingredient_id", "raw_text", *line_order)
     coverage = F.round(F.col("covered") / F.col("ingredient_count"), 3)
     scored = (
-        pantry_coverage(part_keys(lines, ingredients), available)
+        pantry_coverage(part_keys(lines, ingredients, few_keys), available, few_available)
         .filter(F.col("missing") <= missing_ok)
         .join(candidates, "recipe_id")
         .withColumn("coverage_score", coverage)
@@ -94,7 +95,7 @@ def suggest_for_pantry(
     few = limit is not None and limit <= MAX_BROADCAST_ROWS
     open_lines = lines.join(F.broadcast(incomplete) if few else incomplete, "recipe_id", "left_semi")
     gaps = (
-        join_dimension(part_keys(open_lines, ingredients), available, "key", "left_anti")
+        join_dimension(part_keys(open_lines, ingredients, few_keys), available, "key", "left_anti", fits=few_available)
         .groupBy("recipe_id")
         .agg(F.array_sort(F.collect_list(F.struct(*line_order, "key"))).alias("_gaps"))
         .select("recipe_id", F.transform("_gaps", lambda g: g["key"]).alias("missing_ingredients"))

@@ -40,10 +40,14 @@ def join_dimension(
     *,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
     salts: int = DEFAULT_SALTS,
+    fits: bool | None = None,
 ) -> DataFrame:
-    """Join a large fact table to a dimension with unique keys; supports inner, left, left_semi, left_anti."""
+    """Join a large fact table to a dimension with unique keys; supports inner, left, left_semi, left_anti.
+
+    ``fits`` hands over the result of an earlier :func:`fits_broadcast` of the same dimension.
+    """
     keys = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(dimension, max_broadcast_rows):
+    if fits_broadcast(dimension, max_broadcast_rows) if fits is None else fits:
         return fact.join(F.broadcast(dimension), keys, how)
     return salted_join(fact, dimension, keys, how, salts=salts)
 
@@ -100,7 +104,7 @@ def group_ordinals(
     # One row per (partition, group): a hot group has at most as many rows here as there are partitions.
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    match = (F.col("r._part") == F.col("o._part")) & F.lit(True)
+    match = F.col("r._part") == F.col("o._part")
     for g in group:
         match = match & F.col(f"r.{g}").eqNullSafe(F.col(f"o.{g}"))
     return placed.alias("r").join(offsets.alias("o"), match).select(
