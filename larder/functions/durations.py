@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -22,6 +23,13 @@ MAX_MINUTES = 10_080
 MAX_SMALLINT = 32_767
 
 
+def utc_literal(moment: datetime) -> Column:
+    """Zone-free timestamp literal in UTC; a moment without zone is taken as UTC already."""
+    if moment.tzinfo is not None:
+        moment = moment.astimezone(timezone.utc)
+    return F.expr(f"timestamp_ntz '{moment:%Y-%m-%d %H:%M:%S.%f}'")
+
+
 def _number(text: Column, pattern: str, group: int) -> Column:
     return empty_to_null(F.regexp_extract(text, pattern, group)).try_cast("decimal(38,0)")
 

@@ -164,7 +164,7 @@ def close_interrupted(runs: DataFrame, source: str, finished_at: datetime) -> Da
     )
     return (
         runs.withColumn("_stale", stale)
-        .withColumn("finished_at", F.when(F.col("_stale"), F.lit(finished_at).cast("timestamp_ntz")).otherwise(F.col("finished_at")))
+        .withColumn("finished_at", F.when(F.col("_stale"), D.utc_literal(finished_at)).otherwise(F.col("finished_at")))
         .withColumn("duration_seconds", F.when(F.col("_stale"), seconds).otherwise(F.col("duration_seconds")))
         .withColumn("status", F.when(F.col("_stale"), "crashed").otherwise(F.col("status")))
         .select(*runs.columns)
@@ -291,8 +291,8 @@ def recipe_rows(records: DataFrame, lines: DataFrame, catalogue: DataFrame, now:
         F.lit(False).alias("starred"),
         F.lit(0).alias("times_cooked"),
         F.lit(None).cast("timestamp_ntz").alias("last_cooked_at"),
-        F.lit(now).cast("timestamp_ntz").alias("scraped_at"),
-        F.lit(now).cast("timestamp_ntz").alias("updated_at"),
+        D.utc_literal(now).alias("scraped_at"),
+        D.utc_literal(now).alias("updated_at"),
         "content_hash",
         F.lit("active").alias("status"),
         "primary_protein",

@@ -421,7 +421,7 @@ def _pins(b: Bindings) -> DataFrame:
     return b.recipes().filter("starred").select(
         "id",
         F.col("id").alias("recipe_id"),
-        F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("pinned_at"),
+        D.utc_literal(datetime(2024, 1, 1)).alias("pinned_at"),
         F.when(F.col("id") % 3 == 0, F.col("last_cooked_at").cast("date")).alias("target_date"),
         F.lit(None).cast("string").alias("note"),
         F.when(F.col("id") % 4 == 0, "cooked").when(F.col("id") % 7 == 0, "dismissed").otherwise("pinned").alias("status"),
@@ -488,7 +488,7 @@ def own_recipes(b: Bindings) -> DataFrame:
         F.when(F.col("conv_id") % 3 > 0, F.col("turn") + 10).cast("int").alias("prep_minutes"),
         F.when(F.col("conv_id") % 2 > 0, F.col("turn") + 20).cast("int").alias("cook_minutes"),
         F.lit("easy").alias("difficulty"),
-        F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("entered_at"),
+        D.utc_literal(datetime(2024, 1, 1)).alias("entered_at"),
     )
     added = CH.add_own_recipes(b.recipes(), entries, 6)
     steps = added.recipe_steps.groupBy(F.col("recipe_id").alias("id")).agg(F.max("step_no").alias("n_steps"))

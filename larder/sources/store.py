@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.functions.durations import utc_literal
 from larder.operators.changes import max_id
 from larder.operators.ingest import IngestRows, error_summary, ingest, soft_delete
 from larder.plans.joins import dense_ids
@@ -51,8 +52,8 @@ def run_ingest(
         .join(error_summary(rows.decided), "source_id", "left")
         .join(sources.select(F.col("id").alias("source_id"), F.col("key").alias("source")), "source_id", "left")
         .withColumn("soft_deleted", F.coalesce("soft_deleted", F.lit(0)))
-        .withColumn("started_at", F.lit(started_at).cast("timestamp_ntz"))
-        .withColumn("finished_at", F.lit(finished_at).cast("timestamp_ntz"))
+        .withColumn("started_at", utc_literal(started_at))
+        .withColumn("finished_at", utc_literal(finished_at))
         .withColumn("duration_seconds", F.lit(round((finished_at - started_at).total_seconds(), 2)))
         .withColumn("limit", F.lit(limit_per_source).cast("int"))
     )
