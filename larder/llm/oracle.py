@@ -16,6 +16,19 @@ select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint
 from w left join kept using (doc_id)
 """
 
+_OP8 = r"""
+with a as (select page_id, coalesce(url, '') as u from pages),
+s as (select page_id, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from a),
+rules(verdict, h, p) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+        ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fit as (select page_id, host, path, h || p as rule, verdict from s join rules
+        on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)),
+best as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict from fit group by page_id)
+select s.page_id, s.host, s.path, rule, coalesce(verdict, 'allow') as verdict from s left join best using (page_id)
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op10_substring_dedup": _OP10}
+    return {"op8_url_filters": _OP8, "op10_substring_dedup": _OP10}

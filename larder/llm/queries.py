@@ -7,10 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm.quality import fit_quality, score_quality
 from larder.llm.substrings import drop_repeated_passages
+from larder.llm.textrules import judge_texts
+from larder.llm.urlrules import judge_urls
+from larder.llm.warc import archived_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +24,44 @@ def dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("recipe_id"), "text")
 
 
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages under the names of the page tables."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("source_url"), "html")
+
+
+def fold(folds: int) -> Column:
+    """The fold of a dossier: CRC-32 of its id as text."""
+    return F.crc32(F.col("recipe_id").cast("string").cast("binary")) % folds
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dossiers(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        F.col("doc_id").alias("recipe_id"), F.col("quality").alias("good")
+    )
+    weights = fit_quality(docs, labels.filter(fold(3) != 1))
+    return score_quality(docs, weights).select(
+        F.col("recipe_id").alias("doc_id"),
+        (fold(3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_texts(dossiers(spark, sf_dir)).withColumnRenamed("recipe_id", "doc_id")
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(fetched_pages(spark, sf_dir))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(fetched_pages(spark, sf_dir)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(dossiers(spark, sf_dir)).select(
         F.col("recipe_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
@@ -27,4 +69,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_substring_dedup,)}
+    return {
+        f.__name__: f
+        for f in (
+            op5_quality_classifier,
+            op6_quality_rules,
+            op8_url_filters,
+            op9_warc,
+            op10_substring_dedup,
+        )
+    }
