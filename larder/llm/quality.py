@@ -1,5 +1,8 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader.
 
+The n-grams are taken from two spellings of a text: its words, and the shape of each word (capitals, digits, marks, and
+whether the text has already had the word after the same word). Shapes carry over to words never seen in training.
+
 The classifier learns from a bounded sample of labelled dossiers, in one task and in a fixed order. Its weights are one array of
 ``2 ** bits`` numbers (1 MB), whatever the size of the corpus; each task of the scoring job gets a copy and scores
 its dossiers as sparse dot products.
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.blocks import pack, unpack
-from larder.llm.words import Words
+from larder.llm.words import Words, mix
 
 BITS = 18
 #: Labelled dossiers that are learnt from, at most: those with the smallest hash of their id.
@@ -43,7 +46,11 @@ def fit_quality(
     texts = dossiers.select(F.col("recipe_id").cast("long"), F.col("text").cast("string"))
     chosen = texts.join(F.broadcast(sample), "recipe_id").select("recipe_id", "good", "text")
     features = chosen.mapInArrow(partial(_features, bits), _FEATURES)
-    learnt = features.groupBy(F.lit(0).alias("all")).applyInArrow(partial(_learn, bits, epochs), "weights binary").first()
+
+    def learn(table):
+        return _learn(bits, epochs, table)
+
+    learnt = features.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "weights binary").first()
     size = (1 << bits) + 1
     return np.frombuffer(learnt["weights"], dtype=np.float32) if learnt else np.zeros(size, dtype=np.float32)
 
@@ -57,19 +64,60 @@ def score_quality(dossiers: DataFrame, weights: np.ndarray) -> DataFrame:
     return texts.mapInArrow(partial(_score, texts.sparkSession.sparkContext.broadcast(weights)), "recipe_id long, score double")
 
 
+def _shapes(texts: Words) -> np.ndarray:
+    """A number for the shape of each word."""
+
+    def per_word(marks: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(marks) + 1, dtype=np.int64)
+        np.cumsum(marks, out=total[1:])
+        return total[texts.ends] - total[texts.starts]
+
+    data = texts.data
+    capitals = (data >= 0x41) & (data <= 0x5A)
+    digits = (data >= 0x30) & (data <= 0x39)
+    small = ((data >= 0x61) & (data <= 0x7A)) | (data >= 0x80)
+    marks = ~(capitals | digits | small)
+    last = data[texts.ends - 1].astype(np.uint64)
+    shape = np.where(marks[texts.ends - 1], last, 0).astype(np.uint64)
+    for part, most in ((capitals, 2), (digits, 1), (small, 2), (marks, 3)):
+        shape = shape * np.uint64(most + 1) + np.minimum(per_word(part), most).astype(np.uint64)
+    at = texts.window_starts(2)
+    pairs, owner = texts.window_hashes(at, 2), texts.texts_of_words()[at]
+    order = np.lexsort((at, pairs, owner))
+    known = np.zeros(len(shape), dtype=np.uint64)
+    same = (pairs[order][1:] == pairs[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    known[at[order[1:][same]] + 1] = 1
+    return shape * np.uint64(2) + known
+
+
 def _grams(texts: Words, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text the distinct cells of its n-grams: text number, cell and value; values of a text have norm 1."""
+    """Per text the distinct cells of its n-grams: text number, cell and value; either spelling of a text has norm 1."""
     owner = texts.texts_of_words()
-    keys = []
-    for size in _GRAM_SIZES:
-        at = texts.window_starts(size)
-        cells = texts.window_hashes(at, size, 1) >> np.uint64(64 - bits)
-        keys.append((owner[at].astype(np.uint64) << np.uint64(bits)) | cells)
-    keys, counts = np.unique(np.concatenate(keys), return_counts=True)
-    text = (keys >> np.uint64(bits)).astype(np.int64)
-    values = np.sqrt(counts.astype(np.float64))
-    norms = np.sqrt(np.bincount(text, weights=values * values, minlength=len(texts.counts)))
-    return text, (keys & np.uint64((1 << bits) - 1)).astype(np.int64), values / norms[text]
+    shapes = mix(_shapes(texts) + np.uint64(1))
+    mask = np.uint64((1 << bits) - 1)
+    out = []
+    for hashes in (texts.hashes, shapes):
+        keys = []
+        for size in _GRAM_SIZES:
+            at = texts.window_starts(size)
+            gram = hashes[at]
+            for k in range(1, size):
+                gram = mix(gram ^ np.uint64(size)) + hashes[at + k]
+            cells = mix(gram) >> np.uint64(64 - bits)
+            keys.append((owner[at].astype(np.uint64) << np.uint64(bits)) | cells)
+        keys, counts = np.unique(np.concatenate(keys), return_counts=True)
+        text = (keys >> np.uint64(bits)).astype(np.int64)
+        values = np.sqrt(counts.astype(np.float64))
+        norms = np.sqrt(np.bincount(text, weights=values * values, minlength=len(texts.counts)))
+        out.append((text, keys & mask, values / norms[text]))
+    text, cells, values = (np.concatenate(c) for c in zip(*out, strict=True))
+    order = np.argsort((text.astype(np.uint64) << np.uint64(bits)) | cells, kind="stable")
+    text, cells, values = text[order], cells[order], values[order]
+    if len(text) == 0:
+        return text, cells.astype(np.int64), values
+    new = np.ones(len(text), dtype=bool)  # a cell that both spellings hit counts once, with both values
+    new[1:] = (text[1:] != text[:-1]) | (cells[1:] != cells[:-1])
+    return text[new], cells[new].astype(np.int64), np.add.reduceat(values, np.flatnonzero(new))
 
 
 def _features(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

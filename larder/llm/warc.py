@@ -47,8 +47,7 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     keyed = pages.select(F.col("page_id").cast("long"), F.sha1(html).alias("sha1"), F.octet_length(html).alias("size"))
     keyed = keyed.filter(F.col("page_id").isNotNull() & (F.col("size") >= least_bytes)).select("page_id", "sha1")
     groups = keyed.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
-    groups = groups.join(F.broadcast(keyed.agg(F.count("*").alias("rows"))), F.col("n") <= F.col("rows"))
-    is_hot = F.col("n") * _HOT_SHARE > F.col("rows")
+    is_hot = F.col("n") * _HOT_SHARE > pages.count()
     hot, others = groups.filter(is_hot).select("sha1", "refers_to"), groups.filter(~is_hot).select("sha1", "refers_to")
     beside = keyed.join(F.broadcast(hot), "sha1", "left_anti").join(others, "sha1")
     return keyed.join(F.broadcast(hot), "sha1").unionByName(beside).filter("page_id < refers_to").distinct()
