@@ -5,11 +5,13 @@ Each query maps the given tables to dossiers or pages, calls one operator and ma
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm.packing import pack_dossiers
 from larder.llm.quality import fit_quality, score_quality
 from larder.llm.substrings import drop_repeated_passages
 from larder.llm.textrules import judge_texts
@@ -52,6 +54,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_texts(dossiers(spark, sf_dir)).withColumnRenamed("recipe_id", "doc_id")
 
 
+def tokenizer_path() -> str:
+    """The byte-level BPE file: ``LARDER_TOKENIZER``, else that of the installed package of public tokenizers."""
+    if given := os.environ.get("LARDER_TOKENIZER"):
+        return given
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_dossiers(dossiers(spark, sf_dir), tokenizer_path()).withColumnRenamed("recipe_id", "doc_id")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(fetched_pages(spark, sf_dir))
 
@@ -74,6 +89,7 @@ def queries() -> dict[str, Query]:
         for f in (
             op5_quality_classifier,
             op6_quality_rules,
+            op7_packing,
             op8_url_filters,
             op9_warc,
             op10_substring_dedup,
