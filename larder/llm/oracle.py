@@ -29,6 +29,24 @@ best as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, l
 select s.page_id, s.host, s.path, rule, coalesce(verdict, 'allow') as verdict from s left join best using (page_id)
 """
 
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+_OP2 = f"""
+with d as (select doc_id, {_WORDS} as ws from documents),
+b as (select item_id, ws, least(10, len(ws)) as n from (select item_id, {_WORDS} as ws from benchmark) where len(ws) > 0),
+win as (select distinct item_id, n, array_to_string(ws[i:i + n - 1], ' ') as k
+        from (select item_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) as i from b)),
+dw as (select doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') as k
+       from (select doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) as i from d, (select distinct n from win))),
+hit as (select doc_id, dw.n, i, item_id from dw join win using (n, k)),
+cov as (select doc_id, count(distinct i + o) as n_hit from hit, range(10) as r(o) where o < n group by doc_id),
+its as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids
+        from hit group by doc_id)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from d left join cov using (doc_id) left join its using (doc_id)
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op8_url_filters": _OP8, "op10_substring_dedup": _OP10}
+    return {"op2_benchmark_decontamination": _OP2, "op8_url_filters": _OP8, "op10_substring_dedup": _OP10}

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm.leaks import mark_leaks
 from larder.llm.packing import pack_dossiers
 from larder.llm.quality import fit_quality, score_quality
 from larder.llm.substrings import drop_repeated_passages
@@ -36,6 +37,18 @@ def fold(folds: int) -> Column:
     return F.crc32(F.col("recipe_id").cast("string").cast("binary")) % folds
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = mark_leaks(dossiers(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return marks.select(
+        F.col("recipe_id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dossiers(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
@@ -87,6 +100,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
+            op2_benchmark_decontamination,
             op5_quality_classifier,
             op6_quality_rules,
             op7_packing,
