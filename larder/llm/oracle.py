@@ -47,6 +47,18 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from d left join cov using (doc_id) left join its using (doc_id)
 """
 
+_OP4 = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) as k
+        from (select doc_id, ws, unnest(generate_series(1, len(ws) - 49)) as i from w)),
+m as (select k, min(doc_id) as first from win group by k),
+rep as (select doc_id, i, first from win join m using (k) where first < doc_id),
+edge as (select *, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as e from rep),
+run as (select *, sum(e) over (partition by doc_id order by i) as r from edge)
+select doc_id, (min(i) - 1)::bigint as start_word, (max(i) + 50 - min(i))::bigint as n_words, min(first) as first_doc_id
+from run group by doc_id, r
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": _OP2, "op8_url_filters": _OP8, "op10_substring_dedup": _OP10}
+    return {"op2_benchmark_decontamination": _OP2, "op4_suffix_array_dedup": _OP4, "op8_url_filters": _OP8, "op10_substring_dedup": _OP10}

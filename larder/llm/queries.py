@@ -15,6 +15,7 @@ from larder.llm.leaks import mark_leaks
 from larder.llm.packing import pack_dossiers
 from larder.llm.quality import fit_quality, score_quality
 from larder.llm.substrings import drop_repeated_passages
+from larder.llm.suffixes import repeated_passages
 from larder.llm.textrules import judge_texts
 from larder.llm.urlrules import judge_urls
 from larder.llm.warc import archived_pages
@@ -49,6 +50,17 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per repeated passage of a document."""
+    found = repeated_passages(dossiers(spark, sf_dir)).select("recipe_id", F.explode("spans").alias("span"))
+    return found.select(
+        F.col("recipe_id").alias("doc_id"),
+        F.col("span.start").cast("long").alias("start_word"),
+        F.col("span.size").cast("long").alias("n_words"),
+        F.col("span.first_recipe_id").alias("first_doc_id"),
+    )
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dossiers(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
@@ -101,6 +113,7 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             op2_benchmark_decontamination,
+            op4_suffix_array_dedup,
             op5_quality_classifier,
             op6_quality_rules,
             op7_packing,

@@ -44,7 +44,7 @@ def drop_repeated_passages(dossiers: DataFrame, words: int = 13, block_bytes: in
     bits = min(width, blocks.slice_bits(windows))
     heavy = combine(blocks.send(partial(_sketch, words, width, bits)), _merge)
     exact = blocks.receive(heavy, partial(_candidates, words, width, bits), "slice int, block int, payload binary")
-    first = combine(exact, _first_ids)
+    first = combine(exact, first_ids)
     return blocks.receive(first, partial(_keep, words), RESULT)
 
 
@@ -104,7 +104,7 @@ def _candidates(words: int, width: int, bits: int, block: int, table: pa.Table,
     return messages(block, ((s, pack(one[a:b], two[a:b], ids[a:b])) for s, a, b in cut(one, bits)))
 
 
-def _first_ids(slice_number: int, blocks: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
+def first_ids(slice_number: int, blocks: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
     """Windows that stand in another block under a smaller id, with the smallest id of all."""
     (one, two, ids), _, begins = gather(payloads, 3)
     ids = ids.astype(np.int64)
