@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.leaks import mark_leaks
+from larder.llm.nearcopies import near_copies
 from larder.llm.packing import pack_dossiers
 from larder.llm.quality import fit_quality, score_quality
 from larder.llm.substrings import drop_repeated_passages
@@ -38,6 +39,11 @@ def fold(folds: int) -> Column:
     return F.crc32(F.col("recipe_id").cast("string").cast("binary")) % folds
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document; ``doc_id`` differs from ``class_id`` in those to drop."""
+    return near_copies(dossiers(spark, sf_dir)).withColumnRenamed("recipe_id", "doc_id")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = mark_leaks(dossiers(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return marks.select(
@@ -112,6 +118,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
+            op1_minhash_near_dedup,
             op2_benchmark_decontamination,
             op4_suffix_array_dedup,
             op5_quality_classifier,

@@ -19,12 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.skew import with_group
 from larder.llm.words import utf8
 from larder.session import ensure_checkpoint_dir
 
 CHUNK_BYTES = 1 << 16
-#: A payload that holds more than this share of all pages counts as hot; so at most 1000 are.
-_HOT_SHARE = 1000
 ROWS_PER_BATCH = 64
 
 CHUNKS = "record_id string, chunk_no int, last boolean, header binary, content binary, sha1 binary"
@@ -46,11 +45,8 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long"), F.sha1(html).alias("sha1"), F.octet_length(html).alias("size"))
     keyed = keyed.filter(F.col("page_id").isNotNull() & (F.col("size") >= least_bytes)).select("page_id", "sha1")
-    groups = keyed.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
-    is_hot = F.col("n") * _HOT_SHARE > pages.count()
-    hot, others = groups.filter(is_hot).select("sha1", "refers_to"), groups.filter(~is_hot).select("sha1", "refers_to")
-    beside = keyed.join(F.broadcast(hot), "sha1", "left_anti").join(others, "sha1")
-    return keyed.join(F.broadcast(hot), "sha1").unionByName(beside).filter("page_id < refers_to").distinct()
+    groups = keyed.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("group_rows"))
+    return with_group(keyed, groups.filter("group_rows > 1"), ["sha1"], pages.count()).filter("page_id < refers_to").distinct()
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
