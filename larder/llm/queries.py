@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm.language import score_dossiers, train_language_model
 from larder.llm.leaks import mark_leaks
 from larder.llm.nearcopies import near_copies
 from larder.llm.packing import pack_dossiers
@@ -56,6 +57,20 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dossiers(spark, sf_dir)
+    model = train_language_model(docs.filter(fold(5) != 1))
+    return score_dossiers(docs, model).select(
+        F.col("recipe_id").alias("doc_id"),
+        (fold(5) == 1).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per repeated passage of a document."""
     found = repeated_passages(dossiers(spark, sf_dir)).select("recipe_id", F.explode("spans").alias("span"))
@@ -120,6 +135,7 @@ def queries() -> dict[str, Query]:
         for f in (
             op1_minhash_near_dedup,
             op2_benchmark_decontamination,
+            op3_lm_scoring,
             op4_suffix_array_dedup,
             op5_quality_classifier,
             op6_quality_rules,
