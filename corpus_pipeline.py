@@ -1,16 +1,108 @@
-"""The corpus pipeline: stages from raw documents to packed sequences."""
+"""The corpus pipeline: quality, near copies, repeated passages, benchmark leaks, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. Between stages the documents are
+written to the shared folder, so a lost executor repeats one stage at most.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larder.llm.leaks import mark_leaks
+from larder.llm.nearcopies import near_copies
+from larder.llm.packing import pack_dossiers
+from larder.llm.quality import fit_quality, keep_good
+from larder.llm.queries import tokenizer_path
+from larder.llm.suffixes import without_repeated_passages
+from larder.session import ensure_checkpoint_dir
+
+#: Ids up to which a list of dropped documents is broadcast (8 MB); a longer one is joined by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def _id() -> Column:
+    """The number that a decision on a document carries; documents without an id get one from their text, after all others."""
+    from_text = F.pmod(F.xxhash64("text"), F.lit(1 << 61)) + F.lit(1 << 62)
+    return F.coalesce(F.col("doc_id").cast("long"), from_text)
+
+
+def _dossiers(docs: DataFrame) -> DataFrame:
+    return docs.select(_id().alias("recipe_id"), "text")
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` but for those whose id is in ``dropped`` (``recipe_id``)."""
+    folder = _folder(docs.sparkSession)
+    dropped.select(F.col("recipe_id").alias("dropped_id")).distinct().write.parquet(folder)
+    dropped = docs.sparkSession.read.parquet(folder)
+    dropped = F.broadcast(dropped) if dropped.count() <= MAX_BROADCAST_IDS else dropped
+    return docs.join(dropped, _id() == F.col("dropped_id"), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the classifier rejects. It learns from all labels of these documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = labels.select(F.col("doc_id").alias("recipe_id"), F.col("quality").alias("good"))
+    return keep_good(docs, fit_quality(docs.select(F.col("doc_id").alias("recipe_id"), "text"), labels))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each class of near copies, and of repeated rows one."""
+    again = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again_id"))
+    if not again.isEmpty():
+        same = F.col("doc_id").eqNullSafe(F.col("again_id"))
+        once = docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+        docs = docs.join(again, same, "left_anti").unionByName(once)
+    classes = near_copies(_dossiers(docs))
+    return _without(docs, classes.filter("class_id != recipe_id"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of 50 words and more that an earlier document holds; drop documents of which nothing is left."""
+    named = docs.withColumn("recipe_id", F.col("doc_id"))
+    cut = without_repeated_passages(named).drop("recipe_id")
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a passage of the benchmark."""
+    marks = mark_leaks(_dossiers(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, marks.filter("contaminated"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document, with its sequence and place."""
+    named = docs.select(F.col("doc_id").alias("recipe_id"), "text")
+    return pack_dossiers(named, tokenizer_path()).withColumnRenamed("recipe_id", "doc_id")
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontaminate", decontaminate),
+    ("packing", packing),
+]
 
-STAGES: list = []
+#: Classifier, sampling and tokenizer have no SQL; the stages are tested against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), _folder(spark)
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.schema(docs.schema).parquet(f"{folder}/{k}-{name}")
     return docs

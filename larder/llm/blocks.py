@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes of a block. At 100 TB use 512 MB, and executors with memory for ten times that.
@@ -30,10 +30,11 @@ _ARROW_MESSAGES = pa.schema([("slice", pa.int32()), ("block", pa.int32()), ("pay
 
 
 class Blocks:
-    """Dossiers as ``(block, recipe_id, text)``, dealt by block; other columns are left out."""
+    """Dossiers as ``(block, recipe_id, text)``, dealt by block; other columns are left out unless ``carried``."""
 
-    def __init__(self, dossiers: DataFrame, block_bytes: int = BLOCK_BYTES):
-        texts = dossiers.select(F.col("recipe_id").cast("long"), F.col("text").cast("string"))
+    def __init__(self, dossiers: DataFrame, block_bytes: int = BLOCK_BYTES, carried: Column | None = None):
+        more = [] if carried is None else [carried.alias("carried")]
+        texts = dossiers.select(F.col("recipe_id").cast("long"), F.col("text").cast("string"), *more)
         size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
         self.rows, self.bytes = size["n"], size["b"] or 0
         self.count = max(1, -(-(self.bytes + 16 * self.rows) // block_bytes))

@@ -64,6 +64,12 @@ def score_quality(dossiers: DataFrame, weights: np.ndarray) -> DataFrame:
     return texts.mapInArrow(partial(_score, texts.sparkSession.sparkContext.broadcast(weights)), "recipe_id long, score double")
 
 
+def keep_good(dossiers: DataFrame, weights: np.ndarray, least: float = 0.5) -> DataFrame:
+    """The rows of ``dossiers``, with all their columns, whose ``text`` scores at least ``least``."""
+    model = dossiers.sparkSession.sparkContext.broadcast(weights)
+    return dossiers.mapInArrow(partial(_kept, model, least), dossiers.schema)
+
+
 def _shapes(texts: Words) -> np.ndarray:
     """A number for the shape of each word."""
 
@@ -168,12 +174,24 @@ def _learn(bits: int, epochs: int, table: pa.Table) -> pa.Table:
     return pa.table({"weights": pa.array([final.tobytes()], pa.binary())})
 
 
+def _scores(w: np.ndarray, texts: pa.Array) -> np.ndarray:
+    bits = (len(w) - 1).bit_length() - 1
+    out = [np.zeros(0)]
+    for low in range(0, len(texts), 200):
+        part = texts.slice(low, 200)
+        text, cells, values = _grams(Words(part), bits)
+        out.append(_sigmoid(np.bincount(text, weights=values * w[cells], minlength=len(part)) + 0.2 * w[-1]))
+    return np.concatenate(out)
+
+
 def _score(weights, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     w = weights.value.astype(np.float64)
-    bits = (len(w) - 1).bit_length() - 1
     for batch in batches:
-        for low in range(0, batch.num_rows, 200):
-            part = batch.slice(low, 200)
-            text, cells, values = _grams(Words(part.column("text")), bits)
-            sums = np.bincount(text, weights=values * w[cells], minlength=part.num_rows) + 0.2 * w[-1]
-            yield pa.RecordBatch.from_arrays([part.column("recipe_id"), pa.array(_sigmoid(sums), pa.float64())], ["recipe_id", "score"])
+        scores = pa.array(_scores(w, batch.column("text")), pa.float64())
+        yield pa.RecordBatch.from_arrays([batch.column("recipe_id"), scores], ["recipe_id", "score"])
+
+
+def _kept(weights, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    w = weights.value.astype(np.float64)
+    for batch in batches:
+        yield batch.filter(pa.array(_scores(w, batch.column("text")) >= least))

@@ -23,6 +23,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from larder.llm.blocks import BLOCK_BYTES, Blocks, combine, cut, gather, ids_of, lookup, messages, pack, unpack
 from larder.llm.substrings import first_ids
@@ -52,13 +53,33 @@ def repeated_passages(
     without the spans, null where there is none. A null, empty or shorter text has no spans. Rows of one id do not repeat each other; a
     missing id comes after all others.
     """
-    blocks = Blocks(dossiers, block_bytes)
+    return _repeated(Blocks(dossiers, block_bytes), words, gram, hot, RESULT)
+
+
+def without_repeated_passages(
+    dossiers: DataFrame, words: int = WORDS, gram: int = GRAM, hot: int = HOT_DOSSIERS, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """``dossiers`` with all their columns, ``text`` cut by the passages of :func:`repeated_passages`.
+
+    A dossier of which nothing but blanks is left is dropped; null, empty and blank texts stay as they are.
+    """
+    columns = dossiers.columns
+    rest = F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"])
+    blocks = Blocks(dossiers, block_bytes, rest)
+    carried = blocks.frame.schema["carried"].dataType.simpleString()
+    found = _repeated(blocks, words, gram, hot, f"{RESULT}, text string, carried {carried}")
+    kept = found.filter("kept_text is null or kept_text rlike '[^ \\\\x09-\\\\x0D]'")
+    text = F.coalesce("kept_text", "text").alias("text")
+    return kept.select(*[text if c == "text" else F.col(f"carried.`{c}`").alias(c) for c in columns])
+
+
+def _repeated(blocks: Blocks, words: int, gram: int, hot: int, schema: str) -> DataFrame:
     minimisers = max(1, blocks.bytes // 6 // ((words - gram + 2) // 2))
     bits = max(4, int(np.ceil(np.log2(max(1, minimisers / SLICE_SUFFIXES)))))
     shared = combine(blocks.send(partial(_anchors, words, gram, bits)), partial(_shared, hot))
     suffixes = blocks.receive(shared, partial(_suffixes, words, gram, bits), "slice int, block int, payload binary")
     answers = combine(suffixes, partial(_matches, words, gram, bits))
-    return blocks.receive(answers, partial(_spans, words, gram, bits), RESULT)
+    return blocks.receive(answers, partial(_spans, words, gram, bits), schema)
 
 
 def minimisers(texts: Words, words: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,6 +278,12 @@ def _matches(
             yield block, b"\x00" + pack(content[row[some]], left[some], smallest[some])
 
 
+def _nullable(rows: pa.ChunkedArray) -> pa.StructArray:
+    """The same structs with fields that may be null, as Spark declares them."""
+    rows = rows.combine_chunks()
+    return pa.StructArray.from_arrays(rows.flatten(), fields=[f.with_nullable(True) for f in rows.type])
+
+
 def _spans(words: int, gram: int, bits: int, block: int, table: pa.Table, answers: list[bytes]) -> pa.Table:
     places = _Places(words, gram, table)
     texts, ids = places.texts, places.ids
@@ -332,6 +359,7 @@ def _spans(words: int, gram: int, bits: int, block: int, table: pa.Table, answer
             low = texts.ends[ends[r] - 1]
         parts.append(texts.data[low : texts.offsets[k + 1]].tobytes())
         kept.append(b"".join(parts).decode())
+    carried = {"text": table["text"], "carried": _nullable(table["carried"])} if "carried" in table.column_names else {}
     span = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("first_recipe_id", pa.int64())])
     return pa.table(
         {
@@ -340,5 +368,6 @@ def _spans(words: int, gram: int, bits: int, block: int, table: pa.Table, answer
             "n_repeated": pa.array(counts, pa.int64()),
             "spans": pa.array(spans, pa.list_(span)),
             "kept_text": pa.array(kept, pa.string()),
+            **carried,
         }
     )
