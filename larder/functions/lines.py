@@ -9,7 +9,6 @@ from larder.functions import vocabulary as V
 from larder.functions.text import empty_to_null, let, mapped, strip
 
 _APART = "\uffff"
-_UNITS = {spelling: unit for unit, text in V.UNIT_SPELLINGS.items() for spelling in text.split()}
 
 
 def parse_lines(df: DataFrame, line: str = "raw_text") -> DataFrame:
@@ -90,7 +89,7 @@ def _measure(text: Column) -> Column:
 
     return let(text, lambda rest: let(F.regexp_extract(rest, V.SPOON_UNIT, 0), lambda spoon: (
         let(F.regexp_extract(rest, r"(?U)^(\S+)", 1), lambda word: (
-            let(mapped(F.lower(F.rtrim(word, F.lit("."))), _UNITS), lambda unit: parts(rest, spoon, word, unit))
+            let(mapped(F.lower(F.rtrim(word, F.lit("."))), V.UNITS), lambda unit: parts(rest, spoon, word, unit))
         ))
     )))
 

@@ -16,11 +16,9 @@ def _fold(text: str) -> str:
     return "".join(c for c in decomposed if not unicodedata.combining(c))
 
 
-_GERMAN = any_of(
-    _fold(stem + ending)
-    for endings, stems in V.GERMAN_QUALIFIERS.items()
-    for stem in stems
-    for ending in (endings.split() or [""])
+_GERMAN = (
+    f"(?:{any_of(_fold(stem) for stem in V.GERMAN_ADJECTIVE_STEMS)})(?:{any_of(V.GERMAN_ADJECTIVE_ENDINGS)})"
+    f"|{any_of(_fold(word) for word in V.GERMAN_UNINFLECTED)}"
 )
 _FRENCH = any_of(_fold(word) for word in V.FRENCH_QUALIFIERS)
 _GERMAN_LEADING = f"^(?:(?:{_GERMAN}) +|bio- *)+"

@@ -17,8 +17,6 @@ from larder.functions.text import any_of, count_contained, empty_to_null, first_
 from larder.functions.urls import slug_words
 from larder.plans.joins import join_dimension
 
-_COURSES = {name: course for course, names in V.COURSE_NAMES.items() for name in names}
-_DIFFICULTIES = {name: level for level, names in V.DIFFICULTY_NAMES.items() for name in names}
 _PROTEINS = list(V.PROTEIN_KEYWORDS)
 _CATALOGUE_PROTEINS = sorted(set(V.PROTEIN_OF_SUB_CATEGORY.values()))
 
@@ -42,8 +40,8 @@ def _first_pattern(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
 def course(category: Column, title: Column, keywords: Column) -> Column:
     """Explicit category, else course words in the keywords, title patterns, food keywords."""
     return F.coalesce(
-        mapped(_key(category), _COURSES),
-        first_mapped(_keys(keywords), _COURSES),
+        mapped(_key(category), V.COURSES),
+        first_mapped(_keys(keywords), V.COURSES),
         _first_pattern(title, V.COURSE_TITLE_PATTERNS),
         first_mapped(_keys(keywords), V.COURSE_FOOD_KEYWORDS),
     )
@@ -89,7 +87,7 @@ def cuisine(raw: Column, title: Column, keywords: Column, url: Column, lines: Co
 def difficulty(raw: Column, total_minutes: Column) -> Column:
     """Explicit level, else by total time."""
     return F.coalesce(
-        mapped(_key(raw), _DIFFICULTIES),
+        mapped(_key(raw), V.DIFFICULTIES),
         F.when(total_minutes <= V.EASY_MINUTES, "easy")
         .when(total_minutes <= V.MEDIUM_MINUTES, "medium")
         .when(total_minutes.isNotNull(), "advanced"),
@@ -104,7 +102,7 @@ def classification(df: DataFrame) -> DataFrame:
         course(F.col("category"), F.col("title"), keywords).alias("_course"),
         cuisine(F.col("cuisine"), F.col("title"), keywords, F.col("source_url")).alias("_cuisine"),
         F.coalesce(
-            difficulty(F.col("difficulty"), F.lit(None).cast("int")), first_mapped(_keys(keywords), _DIFFICULTIES)
+            difficulty(F.col("difficulty"), F.lit(None).cast("int")), first_mapped(_keys(keywords), V.DIFFICULTIES)
         ).alias("_difficulty"),
     ).select(
         *[c for c in df.columns if c not in ("course", "cuisine", "difficulty")],

@@ -22,7 +22,7 @@ from larder.operators import classify as C
 from larder.operators import resolve as R
 from larder.operators.changes import max_id
 from larder.operators.tags import classification_tags, keyword_tags
-from larder.plans.joins import dense_ids, join_dimension, salted_join
+from larder.plans.joins import dense_ids, join_dimension
 from larder.session import ensure_checkpoint_dir
 
 # Navigation phrases and limits of the line-quality heuristics.
@@ -81,19 +81,23 @@ def decide(
         .withColumn("_seen", F.lit(True))
     )
     checked = (
-        salted_join(narrow, seen_urls, ["source_url"], "left", salt_by=["source_id", "position"])
+        narrow.join(seen_urls, "source_url", "left")
         .withColumn("_own", F.when(F.col("_seen"), "known").otherwise(F.col("_fault")))
-        .drop("_seen", "_fault", "source_url")
+        .drop("_seen", "_fault")
     )
+    # A URL is taken once, by its first record; then a text is.
+    by_url = F.coalesce("source_url", F.concat_ws(":", F.lit("#"), "source_id", "position"))
     first = (
         checked.filter("_own is null")
-        .groupBy("content_hash")
-        .agg(F.min(F.struct("source_id", "position")).alias("first"))
+        .groupBy(by_url.alias("url"))
+        .agg(F.min(F.struct("source_id", "position", "content_hash")).alias("r"))
+        .groupBy("r.content_hash")
+        .agg(F.min(F.struct("r.source_id", "r.position")).alias("first"))
     )
     fresh = first.join(
         recipes.select("content_hash").filter("content_hash is not null").distinct(), "content_hash", "left_anti"
     ).select("first.source_id", "first.position", F.lit(True).alias("_new"))
-    decided = checked.join(fresh, ["source_id", "position"], "left").withColumn(
+    decided = checked.drop("source_url").join(fresh, ["source_id", "position"], "left").withColumn(
         "disposition", F.coalesce("_own", F.when(F.col("_new"), "new"), F.lit("duplicate"))
     )
     if limit_per_source is not None:

@@ -129,21 +129,17 @@ def freshness(days_since: Column, after_days: int) -> Column:
 def suggest_rotation(
     recipes: DataFrame, as_of: date, *, min_rating: int = 4, not_cooked_in_days: int = 90, limit: int | None = 5
 ) -> DataFrame:
-    """Well-rated active recipes that were not cooked lately.
-
-    Candidates are the first ``5 * limit`` by rating and by longest ago, then ranked by score.
-    """
+    """Well-rated active recipes that were not cooked lately, ranked by score; all of them are scored."""
     rated = recipes.filter((F.col("owner_rating") >= min_rating) & (F.col("status") == "active")).select(
         "id", "title", "owner_rating", "times_cooked", "last_cooked_at"
     )
     order = [F.col("owner_rating").desc(), F.col("last_cooked_at").asc_nulls_first(), F.col("id")]
-    candidates = top(rated, order, None if limit is None else limit * 5)
     days = F.datediff(F.lit(as_of), F.col("last_cooked_at").cast("date"))
     score = (F.col("owner_rating") - 1) / F.lit(4.0) * F.lit(0.6) + freshness(
         F.col("days_since_cooked"), not_cooked_in_days
     ) * F.lit(0.4)
     return top(
-        candidates.withColumn("days_since_cooked", days).withColumn("score", F.round(score, 3)),
+        rated.withColumn("days_since_cooked", days).withColumn("score", F.round(score, 3)),
         [F.col("score").desc(), *order],
         limit,
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import names as N
 from larder.functions import vocabulary as V
 from larder.functions.text import normalise_title
-from larder.plans.joins import join_dimension, salted_join
+from larder.plans.joins import join_dimension
 
 
 def alias_index(catalogue: DataFrame, order: str = "id") -> DataFrame:
@@ -72,13 +72,13 @@ def resolve_names(names: DataFrame, index: DataFrame, column: str = "ingredient"
 def resolve_lines(lines: DataFrame, index: DataFrame, column: str = "ingredient") -> DataFrame:
     """Add ``ingredient_key`` and ``ingredient_id`` to parsed lines.
 
-    The lines are read twice, so hand over a written or checkpointed frame when parsing them is
-    expensive. The mapping of distinct names joins back salted, because one frequent name may
-    occur in a large share of all lines.
+    The lines are read several times, so hand over a written or checkpointed frame when parsing them is
+    expensive. The mapping of distinct names is broadcast if small, else joined with
+    salts, because one frequent name may occur in a large share of all lines.
     """
     found = resolve_names(lines, index, column).select(
         F.col("name").alias(column), F.col("key").alias("ingredient_key"), F.col("id").alias("ingredient_id")
     )
     base = lines.drop("ingredient_key", "ingredient_id")
-    return salted_join(base, found, [column], "left")
+    return join_dimension(base, found, column, "left")
 

@@ -12,8 +12,6 @@ from larder.functions.text import mapped, strip, tag_slug
 from larder.operators.changes import max_id
 from larder.plans.joins import dense_ids, join_dimension
 
-_FACETS = {keyword: facet for facet, keywords in V.FACET_KEYWORDS.items() for keyword in keywords}
-
 
 class TagRows(NamedTuple):
     tags: DataFrame
@@ -56,7 +54,7 @@ def keyword_mentions(records: DataFrame, recipe: str = "recipe_id", keywords: st
             "pos",
             F.coalesce(canonical, slug).alias("key"),
             F.coalesce(canonical, strip(word)).alias("display"),
-            F.coalesce(mapped(F.lower(strip(word)), _FACETS), F.lit(V.DEFAULT_FACET)).alias("facet"),
+            F.coalesce(mapped(F.lower(strip(word)), V.FACETS), F.lit(V.DEFAULT_FACET)).alias("facet"),
         )
     )
 

@@ -85,12 +85,10 @@ order by score desc, id {f"limit {limit}" if limit else ""}"""
 
 
 def _rotation(min_rating: int, days: int, limit: int | None) -> str:
-    pre = f"limit {limit * 5}" if limit else ""
     post = f"limit {limit}" if limit else ""
     return (
         _with(_RECIPES)
-        + f""", c as (select * from recipes where owner_rating >= {min_rating} and status = 'active'
-  order by owner_rating desc, last_cooked_on asc nulls first, id {pre}),
+        + f""", c as (select * from recipes where owner_rating >= {min_rating} and status = 'active'),
 d as (select *, datediff('day', last_cooked_on, date '2001-08-02') as days_since_cooked from c)
 select id, owner_rating, times_cooked, days_since_cooked,
   round((owner_rating - 1) / 4.0::double * 0.6::double + case when days_since_cooked is null then 1.0::double

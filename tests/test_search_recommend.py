@@ -3,6 +3,8 @@ from datetime import date, datetime
 
 import pytest
 
+from pyspark.errors import ParseException
+
 from larder.errors import QueryError
 from larder.operators import recommend as R
 from larder.operators import search as S
@@ -112,6 +114,29 @@ def test_rotation_and_easy_order(spark):
     assert [(r.id, r.ingredient_count, r.score) for r in easy] == [(4, 0, 2.367), (3, 0, 1.5), (2, 4, 1.033)]
 
 
+@pytest.mark.parametrize("limit", [1, 2, 40, None])
+def test_rotation_scores_every_candidate(spark, limit):
+    rows = [(i, "often", "", "de", 20, "easy", "main", True, "active", 5, 3, datetime(2023, 12, 23)) for i in range(29)]
+    rows.append((99, "never", "", "de", 20, "easy", "main", True, "active", 4, 0, None))
+    best = R.suggest_rotation(spark.createDataFrame(rows, RECIPES), date(2024, 1, 1), limit=limit).first()
+    assert (best.id, best.score) == (99, 0.85)
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        r"with t as (select '\'' as a) insert into foo select '' from t",
+        "select reflect('java.lang.System', 'getProperty', 'user.dir')",
+        "select `java_method`('java.lang.System', 'getProperty', 'user.dir')",
+        "select try_reflect/* x */('java.lang.System', 'getProperty', 'user.dir')",
+        "select transform(a) using 'cat' as (b) from t",
+    ],
+)
+def test_hidden_writes_and_calls_are_refused(spark, sql):
+    with pytest.raises((QueryError, ParseException)):
+        S.run_query(spark, sql)
+
+
 def test_trends_and_history(spark):
     log = spark.createDataFrame(
         [
