@@ -101,7 +101,8 @@ def log_cooks(
     full = cook_log.unionByName(added.select(*cook_log.columns))
 
     affected = valid.select("recipe_id").distinct()
-    stats = cook_stats(full.join(affected, "recipe_id", "left_semi"))
+    # Events become one row per recipe first, so a recipe with very many is no hot spot of the join.
+    stats = cook_stats(full).join(affected, "recipe_id", "left_semi")
     updates = recipes.select("id", "owner_rating").join(
         stats.withColumnRenamed("recipe_id", "id"), "id"
     ).select(
@@ -168,12 +169,11 @@ def update_pantry(
     The latest addition per ingredient wins. Keys that are not in the catalogue are reported.
     """
     keys = ingredients.select(F.col("id").alias("ingredient_id"), "key")
-    added = additions.join(keys, "key", "left")
-    gone = removals.select("key").distinct().join(keys, "key", "left")
     columns = [c for c in pantry.columns if c != "ingredient_id"]
-    upserts = latest(
-        added.filter("ingredient_id is not null"), "ingredient_id", columns, ["updated_at", *[c for c in columns if c != "updated_at"]]
-    )
+    order = ["updated_at", *[c for c in columns if c != "updated_at"]]
+    added = latest(additions, "key", columns, order).join(keys, "key", "left")
+    gone = removals.select("key").distinct().join(keys, "key", "left")
+    upserts = latest(added.filter("ingredient_id is not null"), "ingredient_id", columns, order)
     kept = pantry.join(upserts.select("ingredient_id"), "ingredient_id", "left_anti")
     merged = kept.unionByName(upserts.select(*pantry.columns))
     remaining = merged.join(gone.filter("ingredient_id is not null").select("ingredient_id"), "ingredient_id", "left_anti")

@@ -32,7 +32,7 @@ from larder.sources import pages as PG
 from larder.sources import sitemaps as SM
 from larder.sources import structured as SD
 from larder.sources.tables import conform, table_counts, with_computed_tags
-from larder.streaming.event_stats import event_stream, windowed_tool_stats
+from larder.streaming.event_stats import event_stream, read_tool_stats, start_tool_stats, windowed_tool_stats
 from larder.streaming.ingest_stream import record_stream, start_ingest
 
 EVENTS_AS_OF = date(2024, 1, 31)
@@ -1041,14 +1041,9 @@ def windowed_tool_events(b: Bindings) -> DataFrame:
         "value as duration_ms",
         "event_type <> 'error' as success",
     )
-    name = f"tool_events_{uuid.uuid4().hex}"
-    query = (
-        windowed_tool_stats(events, "1 day").writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", f"{ensure_checkpoint_dir(b.spark)}/{name}")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return b.spark.table(name).select(
+    base = f"{ensure_checkpoint_dir(b.spark)}/tool-events-{uuid.uuid4().hex}"
+    start_tool_stats(windowed_tool_stats(events, "1 day"), f"{base}/rows", f"{base}/progress").awaitTermination()
+    return read_tool_stats(b.spark, f"{base}/rows").select(
         F.date_from_unix_date((F.unix_seconds("window_start") / 86400).cast("int")).cast("string").alias("day"), "tool", "calls", "errors",
         F.round(F.col("avg_ms") * F.col("calls"), 2).alias("total_ms"), "max_ms",
     )

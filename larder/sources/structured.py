@@ -85,20 +85,31 @@ def text_lines(value: Column) -> Column:
     )
 
 
-def instructions(value: Column, depth: int = 2) -> Column:
-    """Steps from texts, ``HowToStep`` objects and (nested) ``HowToSection`` objects, in order."""
+def instructions(value: Column) -> Column:
+    """Steps from texts, ``HowToStep`` objects and ``HowToSection`` objects nested to any depth, in order."""
+    kind = lambda node: _get(node, "$['@type']", "string")
+
+    def inside(section: Column) -> Column:
+        inner = _get(section, "$.itemListElement", "variant")
+        lines = F.transform(non_empty(F.split(_text(inner), "\n")), lambda x: x.cast("variant"))
+        return F.when(_is_list(inner), _items(inner)).when(_is_text(inner), lines).otherwise(_items(F.lit(None).cast("variant")))
+
+    def opened(nodes: Column, _level: Column) -> Column:
+        """Every section replaced by what it holds."""
+        one = lambda n: F.when(F.coalesce(kind(n) == "HowToSection", F.lit(False)), inside(n)).otherwise(F.array(n))
+        return F.flatten(F.transform(nodes, one))
+
+    # Sections cannot be nested deeper than there are lists of elements in the text.
+    levels = F.size(F.split(F.to_json(value), '"itemListElement"')) - 1
+    nodes = F.when(levels > 0, F.aggregate(F.sequence(F.lit(1), levels), _items(value), opened)).otherwise(_items(value))
 
     def step(node: Column) -> Column:
-        kind = _get(node, "$['@type']", "string")
-        result = F.when(_is_text(node), F.array(strip(_text(node)))).when(
-            kind == "HowToStep", F.array(strip(F.coalesce(_get(node, "$.text", "string"), F.lit(""))))
+        said = F.when(_is_text(node), _text(node)).when(
+            kind(node) == "HowToStep", F.coalesce(_get(node, "$.text", "string"), F.lit(""))
         )
-        if depth > 0:
-            inner = _get(node, "$.itemListElement", "variant")
-            result = result.when(kind == "HowToSection", instructions(inner, depth - 1))
-        return result.otherwise(_none())
+        return strip(said)
 
-    listed = F.filter(F.flatten(F.transform(_items(value), step)), lambda x: x.isNotNull() & (x != ""))
+    listed = F.filter(F.transform(nodes, step), lambda x: x.isNotNull() & (x != ""))
     return (
         F.when(_is_text(value), non_empty(F.split(_text(value), "\n"))).when(_is_list(value), listed).otherwise(_none())
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 
 def event_stream(spark: SparkSession, folder: str, schema: T.StructType, max_files: int = 100) -> DataFrame:
@@ -34,3 +35,24 @@ def windowed_tool_stats(
             "avg_ms", "max_ms",
         )
     )
+
+
+def start_tool_stats(stats: DataFrame, folder: str, progress: str) -> StreamingQuery:
+    """Write what each batch changes to ``folder``, one sub-folder per batch; a batch that runs again replaces its own.
+
+    Windows behind the watermark leave the state; no row passes the driver.
+    """
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    sink = stats.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", progress)
+    return sink.trigger(availableNow=True).start()
+
+
+def read_tool_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest row of each window and tool."""
+    rows = spark.read.parquet(folder)
+    values = [c for c in rows.columns if c not in ("window_start", "tool", "batch")]
+    last = rows.groupBy("window_start", "tool").agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return last.select("window_start", "tool", *[F.col(f"v.{c}").alias(c) for c in values])

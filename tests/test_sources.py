@@ -32,6 +32,15 @@ RECIPE = {
 }
 
 
+def test_steps_of_sections_nested_to_any_depth(spark):
+    deep = {"@type": "HowToStep", "text": "deep"}
+    for _ in range(7):
+        deep = {"@type": "HowToSection", "itemListElement": [deep, "next"]}
+    rows = [(json.dumps([{"@type": "HowToStep", "text": "first"}, deep, "last"]),), (json.dumps([{"@type": "HowToSection"}]),)]
+    df = spark.createDataFrame(rows, "j string").select(SD.instructions(F.try_parse_json("j")).alias("s"))
+    assert [r.s for r in df.collect()] == [["first", "deep", *["next"] * 7, "last"], []]
+
+
 def page(*scripts, body=""):
     head = "".join(f'<script type="application/ld+json">{s}</script>' for s in scripts)
     return f"<html><head>{head}</head><body>{body}</body></html>"
