@@ -7,11 +7,12 @@ field may stand, so that a new page source is a new rule and not new code.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.text import any_of, empty_to_null, first_mapped, non_empty, split_keywords, squeeze, strip
+from larder.functions.text import any_of, empty_to_null, first_mapped, let, non_empty, split_keywords, squeeze, strip
 from larder.functions.urls import absolute_url, first_srcset_url
 
 # Markup names, skip lists and value lists of the known page sources.
@@ -45,21 +46,33 @@ PAGE_CUISINES: dict[str, str] = {
     "korean": "korean", "koreanisch": "korean", "vietnamese": "vietnamese",
     "vietnamesisch": "vietnamese", "spanish": "spanish", "spanisch": "spanish",
 }
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"),
-    ("&Auml;", "Ä"), ("&Ouml;", "Ö"), ("&Uuml;", "Ü"), ("&szlig;", "ß"), ("&eacute;", "é"), ("&egrave;", "è"),
-    ("&agrave;", "à"), ("&ecirc;", "ê"), ("&ccedil;", "ç"), ("&frac12;", "½"), ("&frac14;", "¼"), ("&frac34;", "¾"),
-    ("&amp;", "&"),
-]
+_REFERENCE = r"^(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+#: Named references of HTML, as the standard library lists them; a hard space becomes a plain one.
+_NAMED = {name: chr(point) for name, point in sorted(name2codepoint.items())} | {"apos": "'", "nbsp": " "}
 
 
 def unescape(text: Column) -> Column:
-    """Replace the usual character references; ``&amp;`` last, so that nothing is decoded twice."""
-    decoded = text
-    for entity, char in ENTITIES:
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return F.when(text.contains("&"), decoded).otherwise(text)
+    """Replace numeric and named character references, each once; what is none stays as it is."""
+    named = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+
+    def decoded(part: Column) -> Column:
+        name = F.rtrim(F.regexp_extract(part, _REFERENCE, 0), F.lit(";"))
+        hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
+        digits = F.when(hexadecimal, F.substr(name, F.lit(3))).otherwise(F.substr(name, F.lit(2)))
+        number = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits)
+        point = number.try_cast("int")
+        valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        wide = F.unhex(F.lpad(F.hex(F.when(valid, point).otherwise(F.lit(0xFFFD))), 8, "0"))
+        numeric = F.when(point == 160, " ").otherwise(F.decode(wide, "UTF-32"))
+        char = F.when(F.startswith(name, F.lit("#")), numeric).otherwise(F.element_at(named, name))
+        known = (name != "") & char.isNotNull()
+        return F.when(known, F.concat(char, F.substr(part, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), part))
+
+    def joined(parts: Column) -> Column:
+        rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded)
+        return F.concat(F.get(parts, 0), F.array_join(rest, ""))
+
+    return F.when(text.contains("&"), let(F.split(text, "&"), joined)).otherwise(text)
 
 
 def inner_text(markup: Column) -> Column:
@@ -77,10 +90,60 @@ def _tags(html: Column, pattern: str) -> Column:
 
 
 def _with_class(names: Sequence[str], tag: str = r"[a-z0-9]+") -> str:
-    """Opening tag that carries one of the classes, up to its first closing tag."""
+    """Element without others of its name inside that carries one of the classes."""
     return rf"(?is)<({tag})\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*[\s])?(?:{any_of(names)})(?:[\s][^\"']*)?[\"'][^>]*>.*?</\1>"
 
 
+def _opening(names: Sequence[str], tag: str = r"[a-z0-9]+") -> str:
+    """Opening tag that carries one of the classes."""
+    return rf"(?is)<(?:{tag})\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*[\s])?(?:{any_of(names)})(?:[\s][^\"']*)?[\"'][^>]*>"
+
+
+_MARKUP = r"(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>|[^<]+|<"
+# Elements without an end tag.
+VOID_ELEMENTS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+
+
+def elements(html: Column, opening: str) -> Column:
+    """Markup of the outermost elements whose opening tag matches, each up to its own end tag.
+
+    Elements of the same name inside are counted, so the first end tag need not be the right one. An element without end
+    tag lasts to the end of the page.
+    """
+
+    def place(token: Column) -> Column:
+        name = F.lower(F.regexp_extract(token, r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
+        alone = F.endswith(token, F.lit("/>")) | name.isin(VOID_ELEMENTS) | F.rlike(token, F.lit(r"(?is)^<(?:script|style)\b.*</"))
+        step = F.when((name == "") | alone, 0).when(F.startswith(token, F.lit("</")), -1).otherwise(1)
+        return F.struct(name.alias("name"), step.alias("step"), ((step == 1) & F.rlike(token, F.lit(opening))).alias("hit"))
+
+    def state(name: Column, depth: Column, start: Column, found: Column) -> Column:
+        return F.struct(name.alias("name"), depth.alias("depth"), start.alias("start"), found.alias("found"))
+
+    def read(tokens: Column) -> Column:
+        numbered = F.transform(tokens, lambda t, i: F.struct(place(t).alias("p"), (i + 1).alias("at")))
+        zero = state(F.lit(""), F.lit(0), F.lit(0), F.array().cast("array<struct<start:int,size:int>>"))
+
+        def add(acc: Column, token: Column) -> Column:
+            p, at = token["p"], token["at"]
+            opened = state(p["name"], F.lit(1), at, acc["found"])
+            depth = acc["depth"] + F.when(p["name"] == acc["name"], p["step"]).otherwise(0)
+            whole = F.struct(acc["start"].alias("start"), (at - acc["start"] + 1).alias("size"))
+            closed = state(F.lit(""), F.lit(0), F.lit(0), F.array_append(acc["found"], whole))
+            within = F.when(depth == 0, closed).otherwise(state(acc["name"], depth, acc["start"], acc["found"]))
+            return F.when(acc["depth"] > 0, within).when(p["hit"], opened).otherwise(acc)
+
+        def finish(acc: Column) -> Column:
+            rest = F.struct(acc["start"].alias("start"), (F.size(tokens) - acc["start"] + 1).alias("size"))
+            return F.when(acc["depth"] > 0, F.array_append(acc["found"], rest)).otherwise(acc["found"])
+
+        places = F.aggregate(numbered, zero, add, finish)
+        return F.transform(places, lambda r: F.array_join(F.slice(tokens, r["start"], r["size"]), ""))
+
+    none = F.array().cast("array<string>")
+    return F.when(F.rlike(html, F.lit(opening)), let(F.regexp_extract_all(html, F.lit(_MARKUP), 0), read)).otherwise(none)
+
+
 def title(html: Column) -> Column:
     """Text of the first ``h1``."""
     return inner_text(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))
@@ -170,7 +233,7 @@ def list_items(html: Column) -> Column:
 def ingredient_lines(html: Column) -> Column:
     """Marked ingredient items, ingredient table rows, else list items that name a unit."""
     marked = _tags(html, r"(?is)<li\b[^>]*\bitemprop\s*=\s*[\"']recipeIngredient[\"'][^>]*>.*?</li>")
-    classed = _tags(html, _with_class(["ingredient-item", "ingredient", "Ingredient"], "li|div|tr|p"))
+    classed = elements(html, _opening(["ingredient-item", "ingredient", "Ingredient"], "li|div|tr|p"))
     measured = F.filter(list_items(html), lambda x: x.rlike(any_of(UNIT_MARKS)))
     clean = lambda found: valid_lines(F.transform(found, lambda m: inner_text(F.regexp_replace(m, "<", " <"))))
     first, second = clean(marked), clean(classed)
@@ -180,13 +243,16 @@ def ingredient_lines(html: Column) -> Column:
 
 
 def ingredient_groups(html: Column) -> Column:
-    """Groups ``array<struct<label, items>>`` of headed lists in ingredient sections, in page order."""
-    section = F.regexp_extract(
+    """Groups ``array<struct<label, items>>`` of headed lists in all ingredient sections, in page order."""
+    sections = elements(
         html,
-        r"(?is)<(section|div)\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:ingredients|ingredient-section|ingredient-group"
-        r"|ingredientGroup)[^\"']*[\"'][^>]*>.*?</\1>",
-        0,
+        r"(?is)<(?:section|div)\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:ingredients|ingredient-section|ingredient-group"
+        r"|ingredientGroup)[^\"']*[\"'][^>]*>",
     )
+    return F.flatten(F.transform(sections, _section_groups))
+
+
+def _section_groups(section: Column) -> Column:
     parts = F.transform(
         _tags(section, r"(?is)<(h[345]|li)\b[^>]*>.*?</\1>"),
         lambda m: F.struct(m.rlike(r"(?i)^<h").alias("head"), inner_text(m).alias("text")),
@@ -219,10 +285,9 @@ def ingredient_groups(html: Column) -> Column:
 
 def steps(html: Column) -> Column:
     """Preparation steps without leading numbers and repetitions."""
-    marked = _tags(html, r"(?is)<([a-z0-9]+)\b[^>]*\bitemprop\s*=\s*[\"']text[\"'][^>]*>.*?</\1>")
-    classed = _tags(
-        html,
-        _with_class(["preparation__step", "PreparationList--step", "preparation-step", "recipe-step", "step"]),
+    marked = elements(html, r"(?is)<[a-z0-9]+\b[^>]*\bitemprop\s*=\s*[\"']text[\"'][^>]*>")
+    classed = elements(
+        html, _opening(["preparation__step", "PreparationList--step", "preparation-step", "recipe-step", "step"])
     )
     found = F.when(F.size(marked) > 0, marked).otherwise(classed)
     plain = F.transform(found, lambda m: strip(F.regexp_replace(inner_text(m), r"^\d+\s*", "")))
@@ -238,9 +303,9 @@ def labelled_time(html: Column, label: str) -> Column:
 def image_urls(html: Column, base: str = "") -> Column:
     """Main image, then gallery images (lazy source, first of a source set, plain source)."""
     gallery = F.array_join(
-        _tags(
+        elements(
             html,
-            _with_class(
+            _opening(
                 ["recipe-gallery", "recipe-slider", "recipe-carousel", "recipe-images", "RecipeGallery", "RecipeSlider"],
                 "div|section|ul",
             ),

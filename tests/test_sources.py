@@ -197,3 +197,25 @@ def test_raw_schema_is_not_changed_by_the_stream_schema():
     import larder.streaming.ingest_stream  # noqa: F401
 
     assert len(RAW_RECIPE.fields) == 17
+
+
+@pytest.mark.parametrize(
+    ("column", "html", "want"),
+    [
+        (PG.steps, '<div class="recipe-step"><div>1</div><p>Zwiebel hacken.</p></div><DIV class="step">2 <br/>Servieren</DIV>',
+         ["Zwiebel hacken.", "Servieren"]),
+        (PG.steps, '<div class="step">offen <div>x</div>', ["offen x"]),
+        (PG.ingredient_groups, '<div class="ingredient-group"><h4>A</h4><ul><li>1 Ei</li></ul></div><p>x</p>'
+         '<div class="ingredient-group"><h4>B</h4><ul><li>2 Eier</li></ul></div>', [("A", ["1 Ei"]), ("B", ["2 Eier"])]),
+        (PG.ingredient_groups, '<section class="ingredients"><section><h4>Teig</h4><li>Mehl</li></section>'
+         '<section><h4>Sauce</h4><li>Rahm</li></section></section>', [("Teig", ["Mehl"]), ("Sauce", ["Rahm"])]),
+        (PG.unescape, "Cr&#232;me &rsquo; &ocirc; &#x1F372; &amp;lt; &unbekannt; &; a&b &#0; &#xD800;", "Crème ’ ô 🍲 &lt; &unbekannt; &; a&b � �"),
+        (PG.unescape, "&eacute;", "é"),
+        (PG.unescape, None, None),
+    ],
+)
+def test_nested_markup_and_references(spark, column, html, want):
+    got = spark.createDataFrame([(html,)], "html string").select(column(F.col("html")).alias("x")).first().x
+    if got and not isinstance(got, str) and not isinstance(got[0], str):
+        got = [(g.label, g["items"]) for g in got]
+    assert got == want
