@@ -6,6 +6,7 @@ field may stand, so that a new page source is a new rule and not new code.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from html.entities import name2codepoint
 
@@ -53,7 +54,7 @@ _NAMED = {name: chr(point) for name, point in sorted(name2codepoint.items())} |
 
 def unescape(text: Column) -> Column:
     """Replace numeric and named character references, each once; what is none stays as it is."""
-    named = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")  # folded to one literal
 
     def decoded(part: Column) -> Column:
         name = F.rtrim(F.regexp_extract(part, _REFERENCE, 0), F.lit(";"))
