@@ -59,6 +59,17 @@ select doc_id, (min(i) - 1)::bigint as start_word, (max(i) + 50 - min(i))::bigin
 from run group by doc_id, r
 """
 
+_OP9 = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+code as (select h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          (((('0x' || substr(h, 5 * g + 1, 5))::int) >> (15 - 5 * k)) & 31) + 1, 1), '' order by g, k) as payload_digest
+         from (select distinct h from p), range(8) as t(g), range(4) as u(k) group by h),
+last as (select h, max(page_id) as last from p group by h)
+select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
+  case when page_id < last then 'revisit' else 'response' end as record_type, case when page_id < last then last end as refers_to
+from p join code using (h) join last using (h)
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": _OP2, "op4_suffix_array_dedup": _OP4, "op8_url_filters": _OP8, "op10_substring_dedup": _OP10}
+    return {"op2_benchmark_decontamination": _OP2, "op4_suffix_array_dedup": _OP4, "op8_url_filters": _OP8, "op9_warc": _OP9, "op10_substring_dedup": _OP10}
