@@ -314,6 +314,21 @@ group by recipe_id, title order by cook_count desc, recipe_id limit 10""",
         "cook_stats": _with(_LOG)
         + """select recipe_id, count(*) as times_cooked, max(cooked_on) as last_cooked_on,
   arg_max(rating, struct_pack(a := cooked_on, b := logged_at, c := id)) filter (where rating is not null) as latest_rating from cook_log group by recipe_id""",
+        "cooking_frequency": _with(_RECIPES, _LOG)
+        + """select 'trend' as part, strftime(cooked_on, '%Y-W%W') as name, count(*) as cook_count, count(distinct recipe_id) as unique_recipes
+from cook_log where cooked_on >= date '2024-01-31' - interval '4 weeks' group by name
+union all select * from (select 'top', title, count(*) as n, null from cook_log c left join recipes r on r.id = c.recipe_id
+  group by recipe_id, title order by n desc, recipe_id limit 5)""",
+        "recipe_full_view": _with(_RECIPES, _LOG)
+        + """, s as (select recipe_id, count(*) as n, max(cooked_on) as last,
+  arg_max(rating, struct_pack(a := cooked_on, b := logged_at, c := id)) filter (where rating is not null) as rating from cook_log group by recipe_id)
+select r.id, title, cuisine, course, coalesce(n, 0) as log_times_cooked, last as log_last_cooked_on, rating as log_latest_rating,
+  case o_custkey % 4 when 0 then null when 1 then 'https://shop.example.org/' || r.id || '-3.jpg'
+    else 'https://shop.example.org/' || r.id || '-1.jpg' end as primary_image
+from recipes r join orders on o_orderkey = r.id left join s on s.recipe_id = r.id""",
+        "ingredients_resolved_view": _with(_LINES, _PARTS)
+        + """select recipe_id, seq, ingredient_id, raw_text, key as ingredient_key, display_de as ingredient_display_de,
+  category as ingredient_category from lines left join parts on parts.id = ingredient_id""",
         "tool_event_stats": """select count(*) as total, count_if(event_type <> 'error') as success, count_if(event_type = 'error') as error,
   round(avg(value), 1) as avg_ms, round(max(value), 1) as max_ms from events""",
         "tool_breakdown": """select event_type as tool, count(*) as calls, count_if(event_type = 'error') as errors, round(avg(value), 1) as avg_ms

@@ -25,6 +25,7 @@ from larder.operators import resolve as N
 from larder.operators import search as S
 from larder.operators import tags as TG
 from larder.operators import trends as T
+from larder.operators import views as VW
 from larder.plans.bindings import Bindings
 from larder.plans.joins import dense_ids, group_ordinals, join_dimension, spread
 from larder.session import ensure_checkpoint_dir
@@ -299,6 +300,32 @@ def cook_stats(b: Bindings) -> DataFrame:
     return T.cook_stats(b.cook_log())
 
 
+@_query
+def cooking_frequency(b: Bindings) -> DataFrame:
+    """Trend of the weeks and the most cooked recipes, one below the other."""
+    trend, best = T.cooking_frequency(b.cook_log(), b.recipes(), EVENTS_AS_OF, "weekly", 4)
+    return trend.selectExpr("'trend' as part", "period as name", "cook_count", "unique_recipes").unionByName(
+        best.selectExpr("'top' as part", "title as name", "cook_count", "cast(null as bigint) as unique_recipes")
+    )
+
+
+@_query
+def recipe_full_view(b: Bindings) -> DataFrame:
+    images = b.raw("orders").selectExpr(
+        "o_orderkey as recipe_id", "explode(slice(array(3, 1, 2), 1, cast(o_custkey % 4 as int))) as seq"
+    ).selectExpr("recipe_id", "seq", "concat('https://shop.example.org/', recipe_id, '-', seq, '.jpg') as url")
+    return VW.recipe_full(b.recipes(), b.cook_log(), images).select(
+        "id", "title", "cuisine", "course", "log_times_cooked", "log_last_cooked_on", "log_latest_rating", "primary_image"
+    )
+
+
+@_query
+def ingredients_resolved_view(b: Bindings) -> DataFrame:
+    return VW.ingredients_resolved(b.recipe_ingredients(), b.ingredients()).select(
+        "recipe_id", "seq", "ingredient_id", "raw_text", "ingredient_key", "ingredient_display_de", "ingredient_category"
+    )
+
+
 @_query
 def tool_event_stats(b: Bindings) -> DataFrame:
     return EV.event_stats(b.tool_events())
