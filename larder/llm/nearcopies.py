@@ -8,8 +8,9 @@ are near copies if the weighted Jaccard similarity of their sets (sum of smaller
 2. A similarity of ``t`` needs a share of ``t`` of a dossier's weight in shingles that another dossier holds too. Dossiers below that have no near
    copy. The others are sampled: each sample is a shingle and a level of its weight, equal for two dossiers with the probability of
    their similarity (improved consistent weighted sampling). Dossiers with one set of weights are one node from here on.
-3. Bands of samples are hashed; nodes that share a band meet in a bucket. Each node of a bucket is compared with one centre, never
-   with all. The exact similarity decides. Where several classes remain in one bucket, other centres are tried until a round links nothing more.
+3. Bands of samples are hashed; nodes that share a band meet in a bucket. Each node is compared with the centre of the buckets that it meets
+   most often; that joins most copies of one text. Buckets that still hold several classes are compared
+   in full inside a task, a bounded part against a bounded part, and only the links that join two classes leave it.
 4. Classes are the connected components of the links.
 """
 
@@ -34,6 +35,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Of nodes at the threshold, 1 - (1 - 0.8 ** 5) ** 20 = 99.96 % share a bucket.
 BANDS, BAND_SAMPLES = 20, 5
+#: Nodes of a bucket that are compared in full with as many others in one task.
+PART_NODES = 256
 _TABLE_BITS = 15
 #: Bits of a shingle's hash beyond those that number all shingles: one in 2 ** 12 shares its count with another.
 _SPARE_BITS = 12
@@ -86,43 +89,39 @@ def near_copies(
 def _classes(nodes: DataFrame, threshold: float, folder: str, stored) -> DataFrame:
     """``(node, root)`` of the nodes that have a near copy."""
     buckets = stored(nodes.select("node", F.posexplode("bands").alias("band", "cell")), "buckets")
-    total = buckets.count()
+    keys, total = ["band", "cell"], buckets.count()
 
-    def candidates(centre, among: DataFrame) -> DataFrame:
-        groups = among.groupBy("band", "cell").agg(centre.alias("centre"), F.count("*").alias("group_rows"))
-        met = with_group(among, groups.filter("group_rows > 1"), ["band", "cell"], total)
-        return met.filter("centre != node").groupBy("centre", "node").agg(F.count("*").alias("shared"))
-
-    # each node against the centre that it meets most often, then against the others
-    pairs = stored(candidates(F.min("node"), buckets), "pairs")
-    best = pairs.groupBy("node").agg(F.max_by("centre", F.struct("shared", "centre")).alias("centre"))
+    # each node against the centre that it meets most often
+    groups = buckets.groupBy(keys).agg(F.min("node").alias("centre"), F.count("*").alias("group_rows"))
+    met = with_group(buckets, groups.filter("group_rows > 1"), keys, total).filter("centre != node")
+    met = met.groupBy("centre", "node").agg(F.count("*").alias("shared"))
+    best = met.groupBy("node").agg(F.max_by("centre", F.struct("shared", "centre")).alias("centre"))
     links = stored(_verified(best, nodes, threshold), "links0")
     roots = components(links, f"{folder}/components0")
-    untested = _apart(pairs.join(best, ["centre", "node"], "left_anti"), roots)
-    links = stored(_verified(untested, nodes, threshold).unionByName(links), "links1")
-    roots = components(links, f"{folder}/components1")
-    seed = 1
-    while True:
-        own = F.coalesce("root", "node")
-        labelled = buckets.join(roots, "node", "left").select("band", "cell", "node", own.alias("label"))
-        mixed = labelled.groupBy("band", "cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("group_rows"))
-        mixed = mixed.filter("low != high").select("band", "cell", "group_rows")
-        among = with_group(buckets, mixed, ["band", "cell"], total)
-        centre = F.min_by("node", F.xxhash64("node", F.lit(seed)))
-        tried = stored(_verified(_apart(candidates(centre, among), roots), nodes, threshold), f"links{seed + 1}")
-        if tried.isEmpty():
-            return roots
-        links = links.unionByName(tried)
-        seed += 1
-        roots = components(links, f"{folder}/components{seed}")
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose nodes are not yet in one class."""
-    of_node = roots.select("node", F.col("root").alias("node_root"))
-    of_centre = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
-    met = pairs.join(of_node, "node", "left").join(of_centre, "centre", "left")
-    return met.filter(F.coalesce("node_root", "node") != F.coalesce("centre_root", "centre")).select("centre", "node")
+
+    # buckets of several classes; of those with the same nodes one
+    labelled = stored(
+        buckets.join(roots, "node", "left").select(*keys, "node", F.coalesce("root", "node").alias("label")), "labelled"
+    )
+    mixed = labelled.groupBy(keys).agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("group_rows"),
+        F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"),
+    )
+    mixed = mixed.filter("low != high").groupBy("one", "two", "group_rows").agg(F.min(F.struct(*keys)).alias("k"))
+    parts = F.ceil(F.col("group_rows") / F.lit(PART_NODES)).cast("int").alias("parts")
+    among = with_group(labelled, stored(mixed.select("k.*", "group_rows", parts), "mixed"), keys, total)
+    part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int")
+    among = among.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    among = among.select(
+        *keys, F.least("part", "other").alias("part1"), F.greatest("part", "other").alias("part2"), "node", "label"
+    )
+
+    def link(table):
+        return _linked(threshold, table)
+
+    full = among.join(nodes.select("node", "weight", "shingles"), "node")
+    found = full.groupBy(*keys, "part1", "part2").applyInArrow(link, "a binary, b binary")
+    return components(links.unionByName(stored(found, "links1")), f"{folder}/components1")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -132,6 +131,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
     return pairs.join(one, "node").join(two, "centre").mapInArrow(partial(_compare, threshold), "a binary, b binary")
 
 
+def _idf(total: np.ndarray, rows: float) -> np.ndarray:
+    return 1.0 + (np.log(rows / total) / np.log(rows) if rows > 1 else np.zeros(len(total)))
+
+
 class _Shingles:
     """Shingles of a block's dossiers: per dossier each once, sorted, with its count."""
 
@@ -213,8 +216,7 @@ def _sign(
     known, totals = known[order], totals[order]
     place = lookup(sets.cells, known)
     total = np.where(place >= 0, totals[np.maximum(place, 0)] if len(totals) else 1, 1).astype(np.float64)
-    idf = 1.0 + (np.log(rows / total) / np.log(rows) if rows > 1 else 0.0)
-    weights = sets.counts * idf
+    weights = sets.counts * _idf(total, rows)
     n = table.num_rows
     weight = np.bincount(sets.dossier, weights=weights, minlength=n)
     common = np.bincount(sets.dossier, weights=weights * (total > 1), minlength=n)
@@ -273,8 +275,66 @@ def _compare(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
             place = lookup(cells, centre[0])
             both = place >= 0
             smaller = np.minimum(counts[both], centre[1][place[both]])
-            idf = 1.0 + (np.log(rows / total[both].astype(np.float64)) / np.log(rows) if rows > 1 else 0.0)
-            common = float((smaller * idf).sum())
+            common = float((smaller * _idf(total[both].astype(np.float64), rows)).sum())
             similar.append(common >= (threshold - 1e-9) * (w1 + w2 - common))
         mask = pa.array(similar, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("node").filter(mask), batch.column("centre").filter(mask)], ["a", "b"])
+
+
+#: Counts up to which a shingle is compared level by level.
+_LEVELS = 8
+_COLUMNS = 2048
+
+
+def common_weights(sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sum of the smaller weights of each two sets; a set is its shingles, their counts and their idf."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(c) for c, _, _ in sets])
+    cells, counts, idf = (np.concatenate([s[k] for s in sets]) for k in range(3))
+    counts = counts.astype(np.int64)
+    total = np.zeros((n, n))
+    distinct, which, times = np.unique(cells, return_inverse=True, return_counts=True)
+    # min(a, b) is the number of levels that both reach
+    for level in range(1, _LEVELS + 1):
+        reach = (counts >= level) & (times[which] > 1)
+        features, column, times_here = np.unique(which[reach], return_inverse=True, return_counts=True)
+        order = np.argsort(column, kind="stable")
+        column, rows, weights = column[order], owner[reach][order], idf[reach][order]
+        for low in range(0, len(features), _COLUMNS):
+            a, b = np.searchsorted(column, [low, low + _COLUMNS])
+            block = np.zeros((n, min(_COLUMNS, len(features) - low)))
+            block[rows[a:b], column[a:b] - low] = np.sqrt(weights[a:b])
+            total += block @ block.T
+    more = (counts > _LEVELS) & (times[which] > 1)
+    for feature in np.unique(which[more]):
+        some = np.flatnonzero(more & (which == feature))
+        left = (counts[some] - _LEVELS) * idf[some]
+        total[np.ix_(owner[some], owner[some])] += np.minimum.outer(left, left)
+    return total
+
+
+def _linked(threshold: float, table: pa.Table) -> pa.Table:
+    """Links between nodes of different labels that reach the threshold, as many as it takes to join their classes."""
+    table = table.sort_by("node")
+    nodes, sets = table["node"].to_pylist(), []
+    for shingles in table["shingles"].to_pylist():
+        cells, counts, total = unpack(shingles[8:])
+        sets.append((cells, counts, _idf(total.astype(np.float64), float(np.frombuffer(shingles[:8])[0]))))
+    weight = table["weight"].to_numpy()
+    common = common_weights(sets)
+    labels = table["label"].to_pylist()
+    one, two = np.nonzero(common >= (threshold - 1e-9) * (weight[:, None] + weight[None, :] - common))
+    root = {label: label for label in labels}
+
+    def find(label):
+        while root[label] != label:
+            root[label] = root[root[label]]
+            label = root[label]
+        return label
+
+    links = []
+    for i, j in zip(one.tolist(), two.tolist(), strict=True):
+        if i < j and labels[i] != labels[j] and (x := find(labels[i])) != (y := find(labels[j])):
+            root[x] = y
+            links.append((nodes[i], nodes[j]))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from larder.llm.nearcopies import near_copies, samples
+from larder.llm.nearcopies import common_weights, near_copies, samples
 
 
 def brute(rows, size=5, threshold=0.8):
@@ -61,6 +61,12 @@ def corpus(seed):
         if k % 2:
             copy[rng.randrange(120)] = f"h{k}"
         rows.append(" ".join(copy))
+    loose = say(150)  # copies of which only some pairs reach the threshold
+    for _ in range(60):
+        copy = list(loose)
+        for _ in range(rng.randint(1, 6)):
+            copy[rng.randrange(150)] = f"l{rng.randint(0, 10**6)}"
+        rows.append(" ".join(copy))
     rows += [" ".join(say(4)), "a b", "a b", "a  b\n", "", None, "", "reis " * 500, "reis " * 470, "reis " * 90]
     ids = list(range(100, 100 + len(rows)))
     rng.shuffle(ids)
@@ -72,6 +78,23 @@ def test_classes_against_brute_force(spark):
     assert run(spark, rows, block_bytes=20_000) == brute(rows)
 
 
+def test_large_buckets_are_compared_part_by_part(spark, monkeypatch):
+    monkeypatch.setattr("larder.llm.nearcopies.PART_NODES", 7)
+    rows = corpus(5)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_common_weights():
+    rng = np.random.default_rng(4)
+    idf = rng.random(60) + 1
+    counts = rng.integers(0, 4, (9, 60)) * rng.integers(0, 9, (9, 60))
+    cells = np.arange(60).astype(np.uint64)
+    got = common_weights([(cells[c > 0], c[c > 0].astype(np.uint64), idf[c > 0]) for c in counts])
+    for a in range(9):
+        for b in range(a):
+            assert abs(got[a, b] - (np.minimum(counts[a], counts[b]) * idf).sum()) < 1e-9
+
+
 def test_empty_table_and_other_columns(spark):
     assert run(spark, []) == []
     df = spark.createDataFrame([(4, "a b c", 1, "x"), (2, "a b c", 1, "x")], "recipe_id long, text string, node int, band string")
