@@ -52,7 +52,7 @@ def near_copies(
 
     ``dossiers``: ``recipe_id`` and ``text``; other columns are ignored. Words are separated by blanks and compared unchanged. A text of fewer
     than ``shingle`` words is one shingle. The weight of a shingle is its count in the dossier times
-    ``1 + log(rows / rows with it) / log(rows)``.
+    ``1 + log(rows / rows with it) / log(rows)``, of which one row with it counts as two.
 
     Returns one row per input row: ``recipe_id`` and ``class_id``, the smallest id of its class; a dossier without near copy is a class of its own.
     Texts without words are nobody's near copy. A row without an id has no class (null) and joins none. Rows that repeat an id and text are alike.
@@ -132,7 +132,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
 
 
 def _idf(total: np.ndarray, rows: float) -> np.ndarray:
-    return 1.0 + (np.log(rows / total) / np.log(rows) if rows > 1 else np.zeros(len(total)))
+    """Weight of shingles by the number of dossiers that hold them; one says no more than two."""
+    return 1.0 + (np.log(rows / np.maximum(total, 2.0)) / np.log(rows) if rows > 1 else np.zeros(len(total)))
 
 
 class _Shingles:

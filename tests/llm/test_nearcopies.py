@@ -15,7 +15,7 @@ def brute(rows, size=5, threshold=0.8):
         sets.append(Counter(grams))
     df = Counter(g for s in sets for g in s)
     n = len(rows)
-    idf = {g: 1 + (math.log(n / c) / math.log(n) if n > 1 else 0) for g, c in df.items()}
+    idf = {g: 1 + (math.log(n / max(c, 2)) / math.log(n) if n > 1 else 0) for g, c in df.items()}
     root = list(range(n))
 
     def find(k):
