@@ -4,7 +4,7 @@ Each block counts its windows into a sparse sketch: two rows of cells, of each r
 it hit. Slices of the rows merge the blocks' sketches. The width grows with the corpus (eight cells for
 each window), so the share of windows that are overestimated stays the same at every size. A window
 whose smaller estimate is below two stands nowhere else; estimates are never too small, so no repeated
-window is lost. Only the rest is grouped exactly, by 128-bit hashes.
+window is lost. Only the rest is grouped exactly, by 96-bit hashes.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def drop_repeated_passages(dossiers: DataFrame, words: int = 13, block_bytes: in
     """
     blocks = Blocks(dossiers, block_bytes)
     windows = max(1, blocks.bytes // 6)
-    width = int(np.ceil(np.log2(CELLS_PER_WINDOW * windows))) + 1
+    width = max(10, int(np.ceil(np.log2(CELLS_PER_WINDOW * windows))))
     bits = min(width, blocks.slice_bits(windows))
     heavy = combine(blocks.send(partial(_sketch, words, width, bits)), _merge)
     exact = blocks.receive(heavy, partial(_candidates, words, width, bits), "slice int, block int, payload binary")
@@ -48,6 +48,11 @@ def drop_repeated_passages(dossiers: DataFrame, words: int = 13, block_bytes: in
     return blocks.receive(first, partial(_keep, words), RESULT)
 
 
+def _second(texts: Words, at: np.ndarray, words: int) -> np.ndarray:
+    """32 more bits for each window."""
+    return texts.window_hashes(at, words, 1) >> np.uint64(32)
+
+
 def _cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     return mix(hashes ^ _ROW_SEEDS[row]) >> np.uint64(64 - width)
 
@@ -94,7 +99,7 @@ def _candidates(words: int, width: int, bits: int, block: int, table: pa.Table,
         known = np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *heavy[row]]))
         keep[keep] = lookup(_cells(hashes[keep], row, width), known) >= 0
     at, one = at[keep], hashes[keep]
-    two = texts.window_hashes(at, words, 1)
+    two = _second(texts, at, words)
     ids = ids_of(table)[texts.texts_of_words()[at]]
     order = np.lexsort((ids, two, one))
     one, two, ids = one[order], two[order], ids[order]
@@ -136,7 +141,7 @@ def _keep(words: int, block: int, table: pa.Table, answers: list[bytes]) -> pa.T
     twins[order[:-1][same]] = True
     smallest = own.copy()
     some = np.flatnonzero(twins)
-    two = texts.window_hashes(at[some], words, 1)
+    two = _second(texts, at[some], words)
     by = np.lexsort((own[some], two, one[some]))
     new = np.ones(len(some), dtype=bool)
     a, b = one[some][by], two[by]
@@ -149,7 +154,7 @@ def _keep(words: int, block: int, table: pa.Table, answers: list[bytes]) -> pa.T
     known, second, first = known[order], second[order], first[order].astype(np.int64)
     place = lookup(one, known)
     hit = np.flatnonzero(place >= 0)
-    two = texts.window_hashes(at[hit], words, 1)
+    two = _second(texts, at[hit], words)
     place = place[hit]
     for _ in range(len(known)):  # first hashes that two windows share stand side by side
         wrong = second[place] != two
