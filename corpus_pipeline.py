@@ -43,7 +43,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     dropped.select(F.col("recipe_id").alias("dropped_id")).distinct().write.parquet(folder)
     dropped = docs.sparkSession.read.parquet(folder)
     dropped = F.broadcast(dropped) if dropped.count() <= MAX_BROADCAST_IDS else dropped
-    return docs.join(dropped, _id() == F.col("dropped_id"), "left_anti")
+    return docs.join(dropped, _id() == dropped["dropped_id"], "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep the document with the smallest id of each class of near copies, and of repeated rows one."""
     again = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again_id"))
     if not again.isEmpty():
-        same = F.col("doc_id").eqNullSafe(F.col("again_id"))
+        same = docs["doc_id"].eqNullSafe(again["again_id"])
         once = docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
         docs = docs.join(again, same, "left_anti").unionByName(once)
     classes = near_copies(_dossiers(docs))
@@ -66,8 +66,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 words and more that an earlier document holds; drop documents of which nothing is left."""
-    named = docs.withColumn("recipe_id", F.col("doc_id"))
-    cut = without_repeated_passages(named).drop("recipe_id")
+    named = docs.withColumnRenamed("recipe_id", "_given_recipe_id").withColumn("recipe_id", F.col("doc_id"))
+    cut = without_repeated_passages(named).drop("recipe_id").withColumnRenamed("_given_recipe_id", "recipe_id")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)

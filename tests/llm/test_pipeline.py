@@ -69,11 +69,12 @@ def test_odd_rows_pass_all_stages(spark, tmp_path):
     spark.createDataFrame([(9, " ".join(f"b{k}" for k in range(12)))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     for given in (rows, []):
-        docs = spark.createDataFrame([(*r, 7) for r in given], SCHEMA + ", class_id int")
+        more = ["class_id", "recipe_id", "dropped_id", "again_id", "count", "carried", "block", "spans"]
+        docs = spark.createDataFrame([(*r, *[7] * 8) for r in given], SCHEMA + "".join(f", {c} int" for c in more))
         for name, stage in P.STAGES:
             docs = stage(spark, docs, folder)
             if name != "packing":
-                assert docs.columns == [*COLUMNS, "class_id"]
-                assert docs.select("class_id").distinct().count() == (1 if given else 0)
+                assert docs.columns == [*COLUMNS, *more]
+                assert docs.select(more).distinct().count() == (1 if given else 0)
             docs = spark.createDataFrame(docs.collect(), docs.schema)
         assert {r.doc_id for r in docs.collect()} == ({1, 2, 3, 4, None} if given else set())
