@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from larder.llm.blocks import BLOCK_BYTES, Blocks, combine, cut, gather, ids_of, lookup, messages, pack
-from larder.llm.words import Words, covered, mix
+from larder.llm.words import Words, covered, distinct, mix
 
 ROWS = 2
 CELLS_PER_WINDOW = 8
@@ -59,11 +59,11 @@ def _cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
 
 def _sketch(words: int, width: int, bits: int, block: int, table: pa.Table) -> pa.Table:
     texts = Words(table["text"])
-    hashes = np.unique(texts.window_hashes(texts.window_starts(words), words))
+    hashes = distinct(texts.window_hashes(texts.window_starts(words), words))
 
     def parts() -> Iterator[tuple[int, bytes]]:
         for row in range(ROWS):
-            cells = np.unique(_cells(hashes, row, width))
+            cells = distinct(_cells(hashes, row, width))
             for s, low, high in cut(cells, bits, width):
                 yield (row << bits) | s, pack(cells[low:high])
 

@@ -159,6 +159,14 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return table[data]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Each value once, sorted. Sorting is several times as fast as the hash table of ``numpy.unique`` on millions of hashes."""
+    values = np.sort(values)
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
 def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     """Of ``n`` places, those inside a window of ``size`` places from one of ``starts``."""
     change = np.zeros(n + size + 1, dtype=np.int32)
