@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.blocks import BLOCK_BYTES, SLICE_VALUES, Blocks, cut, gather, lookup, messages, pack, unpack
-from larder.llm.words import PLAIN, Words, mix
+from larder.llm.words import PLAIN, Words, distinct, mix
 from larder.session import ensure_checkpoint_dir
 
 #: Tokens that a task counts before it sends.
@@ -216,8 +216,8 @@ def _discounts(frequencies: list[int]) -> tuple[float, float, float]:
 
 def _ask(model: LanguageModel, block: int, table: pa.Table) -> pa.Table:
     tokens = _Tokens(table["text"], model.hash_bits)
-    pairs = np.unique(tokens.pair >> np.uint64(64 - model.hash_bits))
-    words = np.unique(np.concatenate([tokens.word, [END, BEGIN]]))
+    pairs = distinct(tokens.pair >> np.uint64(64 - model.hash_bits))
+    words = distinct(np.concatenate([tokens.word, [END, BEGIN]]))
 
     def parts() -> Iterator[tuple[int, bytes]]:
         for s, a, b in cut(pairs, model.pair_bits, model.hash_bits):
