@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.blocks import BLOCK_BYTES, Blocks, combine, cut, gather, ids_of, lookup, messages, pack, unpack
 from larder.llm.substrings import first_ids
-from larder.llm.words import Words, covered, mix, powers
+from larder.llm.words import Words, covered, distinct, mix, powers
 
 WORDS = 50
 GRAM = 10
@@ -97,7 +97,7 @@ def minimisers(texts: Words, words: int, gram: int) -> tuple[np.ndarray, np.ndar
         n = len(left)
         best, place = np.where(left, best[step:], best[:n]), np.where(left, place[step:], place[:n])
         size += step
-    chosen = np.unique(place[windows])
+    chosen = distinct(place[windows])
     return chosen, hashes[chosen]
 
 
