@@ -2,7 +2,8 @@
 
 Counting: each task counts the pairs of its dossiers, slices of the pairs' hashes add the counts up. A slice stores its pairs as one
 sorted array of hashes and one of counts, and passes on, summed per word, what the pairs say of their words; slices of the
-words do the same with these sums. Nothing is pruned, so the model grows with the corpus, beyond what one worker could hold.
+words do the same with these sums. Words and pairs are told apart by 64-bit
+hashes. Nothing is pruned, so the model grows with the corpus, beyond what one worker could hold.
 
 Scoring: each block of dossiers asks the slices for the pairs and words it holds, each once. A worker memory-maps the arrays of the
 slice it answers for (from an unlinked scratch file, so that pages it does not touch take no memory) and searches them.
@@ -29,7 +30,6 @@ from larder.session import ensure_checkpoint_dir
 #: Tokens that a task counts before it sends.
 TASK_TOKENS = 1 << 22
 END, BEGIN = np.uint64(0), np.uint64(1)
-_SPARE_BITS = 13
 _SLICED = "slice int, payload binary"
 _TALLIED = "kind int, slice int, payload binary, tallies array<long>"
 SCORES = "recipe_id long, n_tokens long, n_known long, base_score double, score double"
@@ -40,7 +40,6 @@ class LanguageModel:
     """Where the arrays are, and the figures of the whole corpus."""
 
     folder: str
-    hash_bits: int  # of the hash of a word and of a pair
     pair_bits: int  # slices of pairs, as a power of two
     word_bits: int  # slices of words
     tokens: int
@@ -62,17 +61,16 @@ def train_language_model(dossiers: DataFrame) -> LanguageModel:
     texts = dossiers.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     words = max(2, (size["b"] or 0) // 6 + size["n"])
-    hash_bits = min(60, max(40, math.ceil(math.log2(words)) + _SPARE_BITS))
     pair_bits = max(4, math.ceil(math.log2(max(1, words / SLICE_VALUES))))
     word_bits = max(4, pair_bits - 2)
 
     def tally(key, table):
-        return _tally_pairs(hash_bits, word_bits, key[0].as_py(), table["payload"].to_pylist())
+        return _tally_pairs(word_bits, key[0].as_py(), table["payload"].to_pylist())
 
     def sum_words(key, table):
         return _tally_words(key[0].as_py(), table["payload"].to_pylist())
 
-    counted = texts.mapInArrow(partial(_count, hash_bits, pair_bits), _SLICED)
+    counted = texts.mapInArrow(partial(_count, pair_bits), _SLICED)
     counted.groupBy("slice").applyInArrow(tally, _TALLIED).write.parquet(f"{folder}/pairs")
     pairs = spark.read.schema(_TALLIED).parquet(f"{folder}/pairs")
     pairs.filter("kind = 1").select("slice", "payload").groupBy("slice").applyInArrow(sum_words, _TALLIED).write.parquet(f"{folder}/words")
@@ -89,7 +87,7 @@ def train_language_model(dossiers: DataFrame) -> LanguageModel:
     once, twice = word_counts[:2]
     backoff = discounts[0] * once + discounts[1] * twice + discounts[2] * (word_types - once - twice)
     return LanguageModel(
-        folder, hash_bits, pair_bits, word_bits, tokens, distinct, pair_types,
+        folder, pair_bits, word_bits, tokens, distinct, pair_types,
         _discounts(pair_counts), discounts, backoff / pair_types if pair_types else 1.0,
     )
 
@@ -119,9 +117,9 @@ def score_dossiers(dossiers: DataFrame, model: LanguageModel, block_bytes: int =
 class _Tokens:
     """Word numbers of the tokens of texts, each with the word before it."""
 
-    def __init__(self, texts: pa.Array | pa.ChunkedArray, hash_bits: int):
+    def __init__(self, texts: pa.Array | pa.ChunkedArray):
         words = Words(texts, PLAIN, lower=True)
-        ids = np.maximum(words.hashes >> np.uint64(64 - hash_bits), np.uint64(2))
+        ids = np.maximum(words.hashes, np.uint64(2))
         self.word = np.insert(ids, words.first[1:], END)
         self.before = np.insert(ids, words.first[:-1], BEGIN)
         self.counts = words.counts + 1
@@ -132,12 +130,12 @@ def pair_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(before) + word)
 
 
-def _count(hash_bits: int, pair_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(pair_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[_Tokens] = []
     size = 0
     for batch in batches:
         for low in range(0, batch.num_rows, 1000):
-            held.append(_Tokens(batch.column("text").slice(low, 1000), hash_bits))
+            held.append(_Tokens(batch.column("text").slice(low, 1000)))
             size += len(held[-1].word)
             if size >= TASK_TOKENS:
                 yield _sent(held, pair_bits)
@@ -168,7 +166,7 @@ def _tallied(rows: list[tuple[int, int, bytes, list[int] | None]]) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "slice", "payload", "tallies"), columns, types, strict=True)})
 
 
-def _tally_pairs(hash_bits: int, word_bits: int, slice_number: int, payloads: list[bytes]) -> pa.Table:
+def _tally_pairs(word_bits: int, slice_number: int, payloads: list[bytes]) -> pa.Table:
     """Kind 0: hashes and counts of the pairs. Kind 1: per word, sums over this slice's pairs for the slices of words."""
     (before, word, counts), _, _ = gather(payloads, 3)
     pair = pair_hashes(before, word)
@@ -176,8 +174,7 @@ def _tally_pairs(hash_bits: int, word_bits: int, slice_number: int, payloads: li
     first = np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1]]))
     total = np.add.reduceat(counts[order], first)
     before, word, pair = before[order][first], word[order][first], pair[order][first]
-    keys = pair >> np.uint64(64 - hash_bits)
-    rows = [(0, slice_number, pack(keys, total), [int(total.sum()), *_frequencies(total)])]
+    rows = [(0, slice_number, pack(pair, total), [int(total.sum()), *_frequencies(total)])]
 
     ids, which = np.unique(np.concatenate([before, word]), return_inverse=True)
     of, to = which[: len(before)], which[len(before) :]
@@ -188,7 +185,7 @@ def _tally_pairs(hash_bits: int, word_bits: int, slice_number: int, payloads: li
         count(of[total > 2]),
         count(to),  # pairs that end in the word
     ]
-    for s, a, b in cut(ids, word_bits, hash_bits):
+    for s, a, b in cut(ids, word_bits):
         rows.append((1, s, pack(ids[a:b], *(c[a:b] for c in columns)), None))
     return _tallied(rows)
 
@@ -215,14 +212,14 @@ def _discounts(frequencies: list[int]) -> tuple[float, float, float]:
 
 
 def _ask(model: LanguageModel, block: int, table: pa.Table) -> pa.Table:
-    tokens = _Tokens(table["text"], model.hash_bits)
-    pairs = distinct(tokens.pair >> np.uint64(64 - model.hash_bits))
+    tokens = _Tokens(table["text"])
+    pairs = distinct(tokens.pair)
     words = distinct(np.concatenate([tokens.word, [END, BEGIN]]))
 
     def parts() -> Iterator[tuple[int, bytes]]:
-        for s, a, b in cut(pairs, model.pair_bits, model.hash_bits):
+        for s, a, b in cut(pairs, model.pair_bits):
             yield s, pack(pairs[a:b])
-        for s, a, b in cut(words, model.word_bits, model.hash_bits):
+        for s, a, b in cut(words, model.word_bits):
             yield (1 << model.pair_bits) | s, pack(words[a:b])
 
     return messages(block, parts())
@@ -263,7 +260,7 @@ def _discounted(counts: np.ndarray, discounts: tuple[float, float, float]) -> np
 
 
 def _score(model: LanguageModel, block: int, table: pa.Table, answers: list[bytes]) -> pa.Table:
-    tokens = _Tokens(table["text"], model.hash_bits)
+    tokens = _Tokens(table["text"])
     kinds = [int.from_bytes(a[:4], "little") >> model.pair_bits for a in answers]
     values = []
     for kind, columns in ((0, 2), (1, 6)):
@@ -275,7 +272,7 @@ def _score(model: LanguageModel, block: int, table: pa.Table, answers: list[byte
         place = lookup(keys, known[0])
         return [np.where(place >= 0, c[np.maximum(place, 0)] if len(c) else 0, 0).astype(np.float64) for c in known[1:]]
 
-    (pair_count,) = of(values[0], tokens.pair >> np.uint64(64 - model.hash_bits))
+    (pair_count,) = of(values[0], tokens.pair)
     after, *_, ends = of(values[1], tokens.word)
     context, once, twice, more, _ = of(values[1], tokens.before)
     (documents, *_) = of(values[1], np.array([BEGIN]))
