@@ -1,11 +1,12 @@
-"""An interpolated modified Kneser-Ney model of word pairs, counted over the corpus and stored as sorted hash arrays.
+"""An interpolated modified Kneser-Ney model of any order from 2 on, counted over the corpus and stored as sorted hash arrays.
 
-Counting: each task counts the pairs of its dossiers, slices of the pairs' hashes add the counts up. A slice stores its pairs as one
-sorted array of hashes and one of counts, and passes on, summed per word, what the pairs say of their words; slices of the
-words do the same with these sums. Words and pairs are told apart by 64-bit
-hashes. Nothing is pruned, so the model grows with the corpus, beyond what one worker could hold.
+Counting: a gram of level k is k words in a row; level 1 is the words. Each task counts the grams of its dossiers, slices of the grams'
+hashes add the counts up, from the highest level down. A slice stores its grams as sorted arrays and passes on to the level below,
+summed per gram, what its grams say of the grams they begin with (as contexts) and end with (continuations). The highest level counts how often a gram
+stands in the texts, the levels below how many different words stand before it; a gram at the begin of a text has none and counts as often as it
+stands there. Words and grams are told apart by 64-bit hashes. Nothing is pruned, so the model grows with the corpus, beyond what one worker could hold.
 
-Scoring: each block of dossiers asks the slices for the pairs and words it holds, each once. A worker memory-maps the arrays of the
+Scoring: each block of dossiers asks the slices for the grams and words it holds, each once. A worker memory-maps the arrays of the
 slice it answers for (from an unlinked scratch file, so that pages it does not touch take no memory) and searches them.
 """
 
@@ -30,7 +31,7 @@ from larder.session import ensure_checkpoint_dir
 #: Tokens that a task counts before it sends.
 TASK_TOKENS = 1 << 22
 END, BEGIN = np.uint64(0), np.uint64(1)
-_SLICED = "slice int, payload binary"
+_SLICED = "kind int, slice int, payload binary"
 _TALLIED = "kind int, slice int, payload binary, tallies array<long>"
 SCORES = "recipe_id long, n_tokens long, n_known long, base_score double, score double"
 
@@ -40,55 +41,66 @@ class LanguageModel:
     """Where the arrays are, and the figures of the whole corpus."""
 
     folder: str
-    pair_bits: int  # slices of pairs, as a power of two
+    order: int
+    gram_bits: int  # slices of the grams of a level, as a power of two
     word_bits: int  # slices of words
     tokens: int
     distinct: int
     pair_types: int
-    pair_discounts: tuple[float, float, float]
+    gram_discounts: tuple[tuple[float, float, float], ...]  # of level 2 and up
     word_discounts: tuple[float, float, float]
     word_backoff: float  # share of the word level left for words never seen
 
 
-def train_language_model(dossiers: DataFrame) -> LanguageModel:
+def train_language_model(dossiers: DataFrame, order: int = 2) -> LanguageModel:
     """Count a model over whole dossiers and store it in the shared folder.
 
     ``dossiers``: ``recipe_id`` and ``text``; other columns are ignored. Tokens: words separated by blanks, A-Z in lower case, then one end; the first token
-    follows a begin. A null or empty text is the end alone. Repeated rows count again. Without rows the model knows nothing.
+    follows a begin. A null or empty text is the end alone. Repeated rows count again. Without rows the model knows nothing. A token
+    depends on the ``order - 1`` before it.
     """
+    if order < 2:
+        raise ValueError(f"order {order} is below 2")
     spark = dossiers.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/language-{uuid.uuid4().hex}"
     texts = dossiers.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     words = max(2, (size["b"] or 0) // 6 + size["n"])
-    pair_bits = max(4, math.ceil(math.log2(max(1, words / SLICE_VALUES))))
-    word_bits = max(4, pair_bits - 2)
-
-    def tally(key, table):
-        return _tally_pairs(word_bits, key[0].as_py(), table["payload"].to_pylist())
-
-    def sum_words(key, table):
-        return _tally_words(key[0].as_py(), table["payload"].to_pylist())
-
-    counted = texts.mapInArrow(partial(_count, pair_bits), _SLICED)
-    counted.groupBy("slice").applyInArrow(tally, _TALLIED).write.parquet(f"{folder}/pairs")
-    pairs = spark.read.schema(_TALLIED).parquet(f"{folder}/pairs")
-    pairs.filter("kind = 1").select("slice", "payload").groupBy("slice").applyInArrow(sum_words, _TALLIED).write.parquet(f"{folder}/words")
-    known = spark.read.schema(_TALLIED).parquet(f"{folder}/words")
-
-    def totals(tallied: DataFrame, n: int) -> list[int]:
-        sums = tallied.filter("kind = 0").agg(*[F.sum(F.col("tallies")[k]).alias(f"t{k}") for k in range(n)]).first()
+    gram_bits = max(4, math.ceil(math.log2(max(1, words / SLICE_VALUES))))
+    word_bits = max(4, gram_bits - 2)
+
+    def store(level: int, sliced: DataFrame) -> DataFrame:
+        def tally(key, table):
+            kinds, payloads = table["kind"].to_pylist(), table["payload"].to_pylist()
+            own, above = ([p for k, p in zip(kinds, payloads, strict=True) if k == kind] for kind in (0, 1))
+            if level == 1:
+                return _tally_words(key[0].as_py(), above)
+            return _tally_grams(level, order, gram_bits if level > 2 else word_bits, key[0].as_py(), own, above)
+
+        sliced.groupBy("slice").applyInArrow(tally, _TALLIED).write.parquet(f"{folder}/{level}")
+        return spark.read.schema(_TALLIED).parquet(f"{folder}/{level}")
+
+    def totals(tallied: DataFrame) -> list[int]:
+        sums = tallied.filter("kind = 0").agg(*[F.sum(F.col("tallies")[k]).alias(f"t{k}") for k in range(6)]).first()
         return [s or 0 for s in sums]
 
-    tokens, *pair_counts = totals(pairs, 6)
-    distinct, *word_counts = totals(known, 6)
-    pair_types, word_types = pair_counts[4], word_counts[4]
+    figures, above = {}, None
+    for level in range(order, 0, -1):
+        sliced = texts.mapInArrow(partial(_count, level, gram_bits), _SLICED) if level > 1 else None
+        if above is not None:
+            passed = above.filter("kind = 1").select("kind", "slice", "payload")
+            sliced = passed if sliced is None else sliced.unionByName(passed)
+        above = store(level, sliced)
+        figures[level] = totals(above)
+
+    tokens, pair_types = figures[2][0], figures[2][5]
+    distinct, *word_counts = figures[1]
     discounts = _discounts(word_counts)
     once, twice = word_counts[:2]
-    backoff = discounts[0] * once + discounts[1] * twice + discounts[2] * (word_types - once - twice)
+    backoff = discounts[0] * once + discounts[1] * twice + discounts[2] * (word_counts[4] - once - twice)
     return LanguageModel(
-        folder, pair_bits, word_bits, tokens, distinct, pair_types,
-        _discounts(pair_counts), discounts, backoff / pair_types if pair_types else 1.0,
+        folder, order, gram_bits, word_bits, tokens, distinct, pair_types,
+        tuple(_discounts(figures[k][1:]) for k in range(2, order + 1)), discounts, backoff / pair_types if pair_types else 1.0,
     )
 
 
@@ -101,10 +113,11 @@ def score_dossiers(dossiers: DataFrame, model: LanguageModel, block_bytes: int =
     """
     spark = dossiers.sparkSession
     blocks = Blocks(dossiers, block_bytes)
-    stored = [spark.read.schema(_TALLIED).parquet(f"{model.folder}/{t}").filter("kind = 0") for t in ("pairs", "words")]
-    arrays = stored[0].select("slice", "payload").unionByName(
-        stored[1].select((F.col("slice") + (1 << model.pair_bits)).alias("slice"), "payload")
-    )
+    arrays = None
+    for level in range(1, model.order + 1):
+        stored = spark.read.schema(_TALLIED).parquet(f"{model.folder}/{level}").filter("kind = 0")
+        stored = stored.select((F.col("slice") + (level << model.gram_bits)).alias("slice"), "payload")
+        arrays = stored if arrays is None else arrays.unionByName(stored)
 
     def answer(key, asked, known):
         return _answer(asked, known)
@@ -115,44 +128,53 @@ def score_dossiers(dossiers: DataFrame, model: LanguageModel, block_bytes: int =
 
 
 class _Tokens:
-    """Word numbers of the tokens of texts, each with the word before it."""
+    """Word numbers of the tokens of texts, each with the grams of up to ``order`` words that end in it."""
 
-    def __init__(self, texts: pa.Array | pa.ChunkedArray):
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, order: int):
         words = Words(texts, PLAIN, lower=True)
         ids = np.maximum(words.hashes, np.uint64(2))
         self.word = np.insert(ids, words.first[1:], END)
         self.before = np.insert(ids, words.first[:-1], BEGIN)
         self.counts = words.counts + 1
-        self.pair = pair_hashes(self.before, self.word)
+        at = np.arange(len(self.word)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        #: By level: which tokens have a gram of so many words (the begin is one), the gram without its last word and without its first.
+        self.grams = {2: (np.ones(len(at), dtype=bool), self.before, self.word)}
+        for level in range(3, order + 1):
+            shorter = gram_hashes(*self.grams[level - 1][1:])
+            self.grams[level] = (at >= level - 2, np.concatenate([shorter[:1], shorter[:-1]]), shorter)
 
 
-def pair_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(mix(before) + word)
+def gram_hashes(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Hashes of grams from those of all words but the last and of all but the first."""
+    return mix(mix(prefix) + suffix)
 
 
-def _count(pair_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[_Tokens] = []
+def _count(level: int, gram_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for batch in batches:
         for low in range(0, batch.num_rows, 1000):
-            held.append(_Tokens(batch.column("text").slice(low, 1000)))
-            size += len(held[-1].word)
+            whole, prefix, suffix = _Tokens(batch.column("text").slice(low, 1000), level).grams[level]
+            held.append((prefix[whole], suffix[whole]))
+            size += len(held[-1][0])
             if size >= TASK_TOKENS:
-                yield _sent(held, pair_bits)
+                yield _sent(held, gram_bits)
                 held, size = [], 0
     if held:
-        yield _sent(held, pair_bits)
+        yield _sent(held, gram_bits)
 
 
-def _sent(held: list[_Tokens], pair_bits: int) -> pa.RecordBatch:
-    pair, at, counts = np.unique(np.concatenate([t.pair for t in held]), return_index=True, return_counts=True)
-    before, word = np.concatenate([t.before for t in held])[at], np.concatenate([t.word for t in held])[at]
+def _sent(held: list[tuple[np.ndarray, np.ndarray]], gram_bits: int) -> pa.RecordBatch:
+    prefix, suffix = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+    gram, at, counts = np.unique(gram_hashes(prefix, suffix), return_index=True, return_counts=True)
+    prefix, suffix = prefix[at], suffix[at]
     slices, payloads = [], []
-    for s, a, b in cut(pair, pair_bits):
-        order = np.argsort(before[a:b], kind="stable")
+    for s, a, b in cut(gram, gram_bits):
+        order = np.argsort(prefix[a:b], kind="stable")
         slices.append(s)
-        payloads.append(pack(before[a:b][order], word[a:b][order], counts[a:b][order]))
-    return pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(payloads, pa.binary())], ["slice", "payload"])
+        payloads.append(pack(prefix[a:b][order], suffix[a:b][order], counts[a:b][order]))
+    columns = [pa.array([0] * len(slices), pa.int32()), pa.array(slices, pa.int32()), pa.array(payloads, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "slice", "payload"])
 
 
 def _frequencies(counts: np.ndarray) -> list[int]:
@@ -166,36 +188,45 @@ def _tallied(rows: list[tuple[int, int, bytes, list[int] | None]]) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "slice", "payload", "tallies"), columns, types, strict=True)})
 
 
-def _tally_pairs(word_bits: int, slice_number: int, payloads: list[bytes]) -> pa.Table:
-    """Kind 0: hashes and counts of the pairs. Kind 1: per word, sums over this slice's pairs for the slices of words."""
-    (before, word, counts), _, _ = gather(payloads, 3)
-    pair = pair_hashes(before, word)
-    order = np.argsort(pair, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1]]))
-    total = np.add.reduceat(counts[order], first)
-    before, word, pair = before[order][first], word[order][first], pair[order][first]
-    rows = [(0, slice_number, pack(pair, total), [int(total.sum()), *_frequencies(total)])]
-
-    ids, which = np.unique(np.concatenate([before, word]), return_inverse=True)
-    of, to = which[: len(before)], which[len(before) :]
+def _merged(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Each key once, sorted, with its columns added up, and a row that each key came from."""
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else order
+    return keys[order][first], [np.add.reduceat(c[order], first) if len(first) else c for c in columns], order[first]
+
+
+def _tally_grams(level: int, order: int, bits_below: int, slice_number: int, own: list[bytes], above: list[bytes]) -> pa.Table:
+    """Kind 0: hashes, counts and figures of the grams. Kind 1: per gram of the level below, sums over this slice for its slices."""
+    (prefix, suffix, counts), _, _ = gather(own, 3)
+    gram, (stands,), row = _merged(gram_hashes(prefix, suffix), [counts])
+    prefix, suffix = prefix[row], suffix[row]
+    total, more = stands, []
+    if level < order:
+        (keys, *columns), _, _ = gather(above, 7)
+        keys, columns, _ = _merged(keys, columns)
+        place = lookup(gram, keys)
+        *more, before, _ = [np.where(place >= 0, c[np.maximum(place, 0)] if len(c) else 0, 0).astype(np.uint64) for c in columns]
+        total = np.where(before > 0, before, stands)  # only grams from the begin on have no word before them
+    rows = [(0, slice_number, pack(gram, total, *more), [int(stands.sum()), *_frequencies(total)])]
+
+    ids, which = np.unique(np.concatenate([prefix, suffix]), return_inverse=True)
+    of, to = which[: len(prefix)], which[len(prefix) :]
     count = lambda at, weights=None: np.bincount(at, weights=weights, minlength=len(ids)).astype(np.uint64)
     columns = [
-        count(of, total.astype(np.float64)),  # tokens after the word
-        *(count(of[total == k]) for k in (1, 2)),  # pairs of the word counted once, twice
+        count(of, total.astype(np.float64)),  # counts of the grams that begin so
+        *(count(of[total == k]) for k in (1, 2)),  # those of them that count once, twice
         count(of[total > 2]),
-        count(to),  # pairs that end in the word
+        count(to),  # grams that end so
+        count(to, stands.astype(np.float64) if level == 2 else np.zeros(len(to))),  # how often a word stands in the texts
     ]
-    for s, a, b in cut(ids, word_bits):
+    for s, a, b in cut(ids, bits_below):
         rows.append((1, s, pack(ids[a:b], *(c[a:b] for c in columns)), None))
     return _tallied(rows)
 
 
 def _tally_words(slice_number: int, payloads: list[bytes]) -> pa.Table:
-    (ids, *columns), _, _ = gather(payloads, 6)
-    distinct, which = np.unique(ids, return_inverse=True)
-    order = np.argsort(which, kind="stable")
-    first = np.searchsorted(which[order], np.arange(len(distinct)))
-    sums = [np.add.reduceat(c[order], first) for c in columns]
+    (ids, *columns), _, _ = gather(payloads, 7)
+    distinct, sums, _ = _merged(ids, columns)
     ends = sums[4]
     known = int(((ends > 0)).sum())  # every token is the end of some pair, the begin is not
     return _tallied([(0, slice_number, pack(distinct, *sums), [known, *_frequencies(ends[ends > 0])])])
@@ -212,15 +243,15 @@ def _discounts(frequencies: list[int]) -> tuple[float, float, float]:
 
 
 def _ask(model: LanguageModel, block: int, table: pa.Table) -> pa.Table:
-    tokens = _Tokens(table["text"])
-    pairs = distinct(tokens.pair)
-    words = distinct(np.concatenate([tokens.word, [END, BEGIN]]))
+    tokens = _Tokens(table["text"], model.order)
+    asked = {1: distinct(np.concatenate([tokens.word, [END, BEGIN]]))}
+    for level, (whole, prefix, suffix) in tokens.grams.items():
+        asked[level] = distinct(gram_hashes(prefix[whole], suffix[whole]))
 
     def parts() -> Iterator[tuple[int, bytes]]:
-        for s, a, b in cut(pairs, model.pair_bits):
-            yield s, pack(pairs[a:b])
-        for s, a, b in cut(words, model.word_bits):
-            yield (1 << model.pair_bits) | s, pack(words[a:b])
+        for level, keys in asked.items():
+            for s, a, b in cut(keys, model.word_bits if level == 1 else model.gram_bits):
+                yield (level << model.gram_bits) | s, pack(keys[a:b])
 
     return messages(block, parts())
 
@@ -260,31 +291,32 @@ def _discounted(counts: np.ndarray, discounts: tuple[float, float, float]) -> np
 
 
 def _score(model: LanguageModel, block: int, table: pa.Table, answers: list[bytes]) -> pa.Table:
-    tokens = _Tokens(table["text"])
-    kinds = [int.from_bytes(a[:4], "little") >> model.pair_bits for a in answers]
-    values = []
-    for kind, columns in ((0, 2), (1, 6)):
-        parts, _, _ = gather([a[4:] for a, k in zip(answers, kinds, strict=True) if k == kind], columns)
+    tokens = _Tokens(table["text"], model.order)
+    levels = [int.from_bytes(a[:4], "little") >> model.gram_bits for a in answers]
+    values = {}
+    for level in range(1, model.order + 1):
+        columns = 7 if level == 1 else 6 if level < model.order else 2
+        parts, _, _ = gather([a[4:] for a, k in zip(answers, levels, strict=True) if k == level], columns)
         order = np.argsort(parts[0], kind="stable")
-        values.append([p[order] for p in parts])
+        values[level] = [p[order] for p in parts]
 
     def of(known: list[np.ndarray], keys: np.ndarray) -> list[np.ndarray]:
         place = lookup(keys, known[0])
         return [np.where(place >= 0, c[np.maximum(place, 0)] if len(c) else 0, 0).astype(np.float64) for c in known[1:]]
 
-    (pair_count,) = of(values[0], tokens.pair)
-    after, *_, ends = of(values[1], tokens.word)
-    context, once, twice, more, _ = of(values[1], tokens.before)
-    (documents, *_) = of(values[1], np.array([BEGIN]))
-    count = np.where(tokens.word == END, documents, after)
-
+    *_, ends, count = of(values[1], tokens.word)
     n, v = model.tokens, model.distinct
     base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
-    d1, d2, d3 = model.pair_discounts
-    word = (_discounted(ends, model.word_discounts) / model.pair_types if model.pair_types else 0.0) + model.word_backoff / (v + 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        seen = _discounted(pair_count, model.pair_discounts) / context + (d1 * once + d2 * twice + d3 * more) / context * word
-    score = np.log10(np.where(context > 0, seen, word))
+    p = (_discounted(ends, model.word_discounts) / model.pair_types if model.pair_types else 0.0) + model.word_backoff / (v + 1)
+    p = np.broadcast_to(p, len(tokens.word))
+    for level, (whole, prefix, suffix) in tokens.grams.items():
+        d1, d2, d3 = discounts = model.gram_discounts[level - 2]
+        context, once, twice, more = of(values[level - 1], prefix)[:4] if level == 2 else of(values[level - 1], prefix)[1:5]
+        counts = of(values[level], gram_hashes(prefix, suffix))[0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            seen = _discounted(counts, discounts) / context + (d1 * once + d2 * twice + d3 * more) / context * p
+        p = np.where(whole & (context > 0), seen, p)
+    score = np.log10(p)
     owner = np.repeat(np.arange(table.num_rows), tokens.counts)
     add = lambda x: np.bincount(owner, weights=x, minlength=table.num_rows)
     return pa.table(

@@ -59,7 +59,7 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dossiers(spark, sf_dir)
-    model = train_language_model(docs.filter(fold(5) != 1))
+    model = train_language_model(docs.filter(fold(5) != 1), order=3)
     return score_dossiers(docs, model).select(
         F.col("recipe_id").alias("doc_id"),
         (fold(5) == 1).alias("held_out"),

@@ -1,8 +1,14 @@
+import math
+import random
+from collections import Counter, defaultdict
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from larder.llm.language import score_dossiers, train_language_model
 from larder.llm.words import Words
+from tests.llm.test_language import discounts, tokens
 
 
 def words_alike(bits=40, n=4_000_000):
@@ -25,3 +31,52 @@ def test_words_with_nearly_the_same_hash_stay_apart(spark):
     assert rows[2].base_score < rows[1].base_score
     both = train_language_model(df)
     assert (both.tokens, both.distinct, both.pair_types) == (4, 3, 4)
+
+
+class Brute:
+    """Modified Kneser-Ney of any order, gram by gram."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        rows = [["<s>", *tokens(x)] for x in texts]
+        at = lambda k: Counter(tuple(r[i : i + k]) for r in rows for i in range(len(r) - k + 1))
+        raw = {k: at(k) for k in range(1, order + 1)}
+        self.c = {k: dict(raw[k]) for k in raw}
+        for k in range(1, order):
+            before = Counter(g[1:] for g in raw[k + 1])
+            self.c[k] = {g: n if k > 1 and g[0] == "<s>" else before[g] for g, n in raw[k].items() if g != ("<s>",)}
+        self.d = {k: discounts(c.values()) for k, c in self.c.items()}
+        self.after = {k: defaultdict(list) for k in self.c}
+        for k, c in self.c.items():
+            for g, n in c.items():
+                self.after[k][g[:-1]].append(n)
+
+    def p(self, context, word):
+        k = len(context) + 1
+        low = self.p(context[1:], word) if context else 1 / (len(self.c[1]) + 1)
+        counts = self.after[k][tuple(context)]
+        if not counts:
+            return low
+        n, d, total = self.c[k].get((*context, word), 0), self.d[k], sum(counts)
+        return (n - d[min(n, 3)]) / total + sum(d[min(c, 3)] for c in counts) / total * low
+
+    def score(self, text):
+        row = ["<s>", *tokens(text)]
+        return sum(math.log10(self.p(row[max(0, i - self.order + 1) : i], row[i])) for i in range(1, len(row)))
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_of_any_order_against_brute_force(spark, order):
+    rng = random.Random(order)
+    vocabulary = [f"Wort{int(rng.paretovariate(0.9))}" for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 60)))) for i in range(120)]
+    rows += [(200, None), (201, ""), (205, "wort1"), (None, "wort1 wort2 neu wort1 wort2"), (301, "wort1 wort2 " * 300)]
+    df = spark.createDataFrame(rows, "recipe_id long, text string")
+    model = train_language_model(df.filter("recipe_id is null or recipe_id % 5 != 1"), order=order)
+    brute = Brute([t for i, t in rows if i is None or i % 5 != 1], order)
+    for context in (["<s>"], ["<s>", "wort1"][-order + 1 :], ["wort1", "wort2"][-order + 1 :], ["x", "wort1"][-order + 1 :]):
+        assert sum(brute.p(context, w) for (w,) in [*brute.c[1], ("unknown",)]) == pytest.approx(1.0)
+    got = sorted((str(r.recipe_id), r.score) for r in score_dossiers(df, model, block_bytes=3000).collect())
+    expected = sorted((str(i), brute.score(t)) for i, t in rows)
+    assert [g[0] for g in got] == [e[0] for e in expected]
+    assert [g[1] for g in got] == pytest.approx([e[1] for e in expected], rel=1e-9)
