@@ -1058,7 +1058,7 @@ def dossier_sections(b: Bindings) -> DataFrame:
 
 @_query
 def windowed_tool_events(b: Bindings) -> DataFrame:
-    """Statistics per tool and day, computed by a stream over the event files."""
+    """Statistics per tool and day, computed by a stream over the event files, which may come in any order."""
     schema = b.raw("events").schema
     raw = event_stream(b.spark, f"{b.folder}/events.parquet*", schema)
     events = raw.selectExpr(
@@ -1069,7 +1069,7 @@ def windowed_tool_events(b: Bindings) -> DataFrame:
         "event_type <> 'error' as success",
     )
     base = f"{ensure_checkpoint_dir(b.spark)}/tool-events-{uuid.uuid4().hex}"
-    start_tool_stats(windowed_tool_stats(events, "1 day"), f"{base}/rows", f"{base}/progress").awaitTermination()
+    start_tool_stats(windowed_tool_stats(events, "1 day", watermark=None), f"{base}/rows", f"{base}/progress").awaitTermination()
     return read_tool_stats(b.spark, f"{base}/rows").select(
         F.date_from_unix_date((F.unix_seconds("window_start") / 86400).cast("int")).cast("string").alias("day"), "tool", "calls", "errors",
         F.round(F.col("avg_ms") * F.col("calls"), 2).alias("total_ms"), "max_ms",

@@ -14,15 +14,16 @@ def event_stream(spark: SparkSession, folder: str, schema: T.StructType, max_fil
 
 
 def windowed_tool_stats(
-    events: DataFrame, width: str = "1 hour", slide: str | None = None, watermark: str = "10 minutes"
+    events: DataFrame, width: str = "1 hour", slide: str | None = None, watermark: str | None = "10 minutes"
 ) -> DataFrame:
     """Calls, errors and durations per tool and time window; late events beyond the watermark are dropped.
 
+    Without a watermark (None) no event is late, whatever the order of the files, and no window leaves the state.
     Works on batch frames as well (the watermark then has no effect).
     """
     window = F.window("started_at", width, slide) if slide else F.window("started_at", width)
     return (
-        events.withWatermark("started_at", watermark)
+        (events.withWatermark("started_at", watermark) if watermark else events)
         .groupBy(window.alias("w"), "tool")
         .agg(
             F.count(F.lit(1)).alias("calls"),
@@ -40,7 +41,7 @@ def windowed_tool_stats(
 def start_tool_stats(stats: DataFrame, folder: str, progress: str) -> StreamingQuery:
     """Write what each batch changes to ``folder``, one sub-folder per batch; a batch that runs again replaces its own.
 
-    Windows behind the watermark leave the state; no row passes the driver.
+    Windows behind the watermark, if there is one, leave the state; no row passes the driver.
     """
 
     def write(changed: DataFrame, batch: int) -> None:
