@@ -90,11 +90,6 @@ def _tags(html: Column, pattern: str) -> Column:
     return F.regexp_extract_all(html, F.lit(pattern), 0)
 
 
-def _with_class(names: Sequence[str], tag: str = r"[a-z0-9]+") -> str:
-    """Element without others of its name inside that carries one of the classes."""
-    return rf"(?is)<({tag})\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*[\s])?(?:{any_of(names)})(?:[\s][^\"']*)?[\"'][^>]*>.*?</\1>"
-
-
 def _opening(names: Sequence[str], tag: str = r"[a-z0-9]+") -> str:
     """Opening tag that carries one of the classes."""
     return rf"(?is)<(?:{tag})\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*[\s])?(?:{any_of(names)})(?:[\s][^\"']*)?[\"'][^>]*>"
@@ -161,7 +156,7 @@ def meta_keywords(html: Column) -> Column:
 
 
 def _links_in(html: Column, classes: Sequence[str]) -> Column:
-    blocks = F.array_join(_tags(html, _with_class(classes, "nav|ul|ol|div|li|p|span")), " ")
+    blocks = F.array_join(elements(html, _opening(classes, "nav|ul|ol|div|li|p|span")), " ")
     return non_empty(F.transform(_tags(blocks, r"(?is)<a\b[^>]*>.*?</a>"), inner_text))
 
 
@@ -204,9 +199,9 @@ def cuisine(html: Column) -> Column:
 
 def difficulty(html: Column) -> Column:
     """First difficulty word among tag links and the info boxes of a page; empty when there is none."""
-    boxes = F.array_join(_tags(html, _with_class(["RecipeFacts", "recipe-meta", "recipe-info"], "div|ul|section")), " ")
+    boxes = F.array_join(elements(html, _opening(["RecipeFacts", "recipe-meta", "recipe-info"], "div|ul|section")), " ")
     spans = F.transform(_tags(boxes, r"(?is)<(span|div|li)\b[^>]*>[^<]*</\1>"), inner_text)
-    own = F.transform(_tags(html, _with_class(["recipe-difficulty"])), inner_text)
+    own = F.transform(elements(html, _opening(["recipe-difficulty"])), inner_text)
     found = F.filter(F.concat(tag_links(html), spans, own), lambda x: F.lower(x).isin(DIFFICULTY_WORDS))
     return F.coalesce(F.get(found, 0), F.lit(""))
 
