@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from larder.llm.blocks import BLOCK_BYTES, Blocks, combine, cut, gather, ids_of, lookup, messages, pack
-from larder.llm.words import Words, covered, distinct, mix
+from larder.llm.words import Words, covered, mix
 
 ROWS = 2
 CELLS_PER_WINDOW = 8
@@ -59,34 +59,35 @@ def _cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
 
 def _sketch(words: int, width: int, bits: int, block: int, table: pa.Table) -> pa.Table:
     texts = Words(table["text"])
-    hashes = distinct(texts.window_hashes(texts.window_starts(words), words))
+    hashes = texts.window_hashes(texts.window_starts(words), words)
 
     def parts() -> Iterator[tuple[int, bytes]]:
         for row in range(ROWS):
-            cells = distinct(_cells(hashes, row, width))
+            cells, counts = np.unique(_cells(hashes, row, width), return_counts=True)
             for s, low, high in cut(cells, bits, width):
-                yield (row << bits) | s, pack(cells[low:high])
+                yield (row << bits) | s, pack(cells[low:high], counts[low:high])
 
     return messages(block, parts())
 
 
 def _merge(slice_number: int, blocks: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """Cells that more than one block has hit, for each of these blocks."""
-    (cells,), _, begins = gather(payloads, 1)
+    """Cells that count two windows or more over all blocks, for each block that hit them."""
+    (cells, counts), _, begins = gather(payloads, 2)
     order = np.argsort(cells, kind="stable")
-    same = cells[order][1:] == cells[order][:-1]
-    shared = np.zeros(len(cells), dtype=bool)
-    shared[order[1:][same]] = True
-    shared[order[:-1][same]] = True
+    new = np.ones(len(cells), dtype=bool)
+    new[1:] = cells[order][1:] != cells[order][:-1]
+    total = np.empty(len(cells), dtype=np.uint64)
+    total[order] = np.add.reduceat(counts[order], np.flatnonzero(new))[np.cumsum(new) - 1] if len(cells) else 0
     row = np.full(1, slice_number, dtype=np.uint64)
     for k, block in enumerate(blocks):
-        found = cells[begins[k] : begins[k + 1]][shared[begins[k] : begins[k + 1]]]
+        part = slice(begins[k], begins[k + 1])
+        found = cells[part][total[part] > 1]
         if len(found):
             yield block, pack(np.concatenate([row * 0, found]), np.concatenate([row, found * 0]))
 
 
 def _candidates(words: int, width: int, bits: int, block: int, table: pa.Table, answers: list[bytes]) -> pa.Table:
-    """The windows of a block that both rows estimate to stand in another block too, with their smallest id."""
+    """The windows of a block that both rows estimate to stand twice or more, with their smallest id."""
     heavy: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
     for payload in answers:
         (cells, slices), _, _ = gather([payload], 2)
