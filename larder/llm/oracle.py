@@ -71,5 +71,71 @@ from p join code using (h) join last using (h)
 """
 
 
+
+
+def _crc32(number: str) -> str:
+    """CRC-32 of a number as decimal text."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    letters = f"list_transform(string_split(({number})::varchar, ''), lambda x: ascii(x)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {letters}), lambda c, b: {bits}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    fields = [f"coalesce(octet_length(encode({v}::varchar))::varchar || ':' || {v}::varchar, '-')" for v in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+def _climb(name: str, tree: str, levels: int) -> str:
+    """Tables {name}0.. of nodes (tree, p, d, c) and {name}k0.. of their children; from a level of one node on, that node."""
+    out = []
+    for k in range(levels):
+        out.append(
+            f"{name}k{k} as (select {tree}, p // 16 as p, c, list(d order by p) as kids from {name}{k} group by {tree}, p // 16, c)"
+        )
+        digest = "case when c = 1 then kids[1] else sha256(array_to_string(kids, '')) end"
+        out.append(f"{name}{k + 1} as (select {tree}, p, {digest} as d, (c + 15) // 16 as c from {name}k{k})")
+    return ",\n".join(out)
+
+
+def _fold(name: str, begin: str, tree: str, levels: int) -> str:
+    """Tables {name}f0.. of rows on their way up: place p, value v and siblings s."""
+    out = [f"{name}f0 as ({begin})"]
+    for k in range(levels):
+        around = "kids[:(f.p % 16)] || kids[(f.p % 16) + 2:]"
+        new = "sha256(array_to_string(kids[:(f.p % 16)] || [v] || kids[(f.p % 16) + 2:], ''))"
+        out.append(
+            f"{name}f{k + 1} as (select f.* replace (f.p // 16 as p, case when n.c = 1 then v else {new} end as v, "
+            f"s || array_to_string({around}, '') as s) from {name}f{k} f join {name}k{k} n on f.{tree} is not distinct from n.{tree} and f.p // 16 = n.p)"
+        )
+    return ",\n".join(out)
+
+
+#: Levels of sixteen children: 4e9 documents in a source, a million sources.
+_SOURCE_LEVELS, _TOP_LEVELS = 8, 5
+_OP11 = f"""
+with l as (select doc_id, source, {_leaf("text")} as leaf,
+    {_leaf(f"case when {_crc32('doc_id')} % 5 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end")} as found
+  from documents),
+x as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as p, count(*) over (partition by source) as c from l),
+a0 as (select source, p, leaf as d, c from x),
+{_climb("a", "source", _SOURCE_LEVELS)},
+sub as (select source, d, row_number() over (order by source nulls first) - 1 as p, count(*) over () as c from a{_SOURCE_LEVELS}),
+b0 as (select 0 as one, p, d, c from sub),
+{_climb("b", "one", _TOP_LEVELS)},
+{_fold("a", "select doc_id, source, leaf, p, found as v, '' as s from x", "source", _SOURCE_LEVELS)},
+{_fold("b", f"select f.* replace (sub.p as p), sub.d as subroot, 0 as one from af{_SOURCE_LEVELS} f join sub on f.source is not distinct from sub.source",
+       "one", _TOP_LEVELS)}
+select doc_id, leaf, subroot, d as root, sha256(s) as proof_sha256, v as folded_root, v = d as verified
+from bf{_TOP_LEVELS}, b{_TOP_LEVELS}
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": _OP2, "op4_suffix_array_dedup": _OP4, "op8_url_filters": _OP8, "op9_warc": _OP9, "op10_substring_dedup": _OP10}
+    return {
+        "op2_benchmark_decontamination": _OP2,
+        "op4_suffix_array_dedup": _OP4,
+        "op8_url_filters": _OP8,
+        "op9_warc": _OP9,
+        "op10_substring_dedup": _OP10,
+        "op11_merkle_manifest": _OP11,
+    }

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from larder.llm.language import score_dossiers, train_language_model
 from larder.llm.leaks import mark_leaks
+from larder.llm.manifest import build_manifest, check_dossiers
 from larder.llm.nearcopies import near_copies
 from larder.llm.packing import pack_dossiers
 from larder.llm.quality import fit_quality, score_quality
 from larder.llm.substrings import drop_repeated_passages
 from larder.llm.suffixes import repeated_passages
 from larder.llm.textrules import judge_texts
+from larder.llm.toxicity import fit_toxicity, score_toxicity
 from larder.llm.urlrules import judge_urls
 from larder.llm.warc import archived_pages
 
@@ -129,6 +131,29 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents; those of one fold are found again with A-Z in lower case, and folded to other roots."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("doc_id").alias("recipe_id"), "source", F.col("lang").alias("language"), "n_chars", "text"
+    )
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    found = F.when(fold(5) == 0, F.translate("text", capitals, capitals.lower())).otherwise(F.col("text"))
+    return check_dossiers(build_manifest(docs, found)).withColumnRenamed("recipe_id", "doc_id")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labels outside the held-out fold."""
+    docs = dossiers(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("recipe_id"), "toxic")
+    model = fit_toxicity(docs, labels.filter(fold(5) != 0))
+    return score_toxicity(docs, model).select(
+        F.col("recipe_id").alias("doc_id"),
+        (fold(5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -143,5 +168,7 @@ def queries() -> dict[str, Query]:
             op8_url_filters,
             op9_warc,
             op10_substring_dedup,
+            op11_merkle_manifest,
+            op13_toxicity,
         )
     }
