@@ -129,6 +129,25 @@ select doc_id, leaf, subroot, d as root, sha256(s) as proof_sha256, v as folded_
 from bf{_TOP_LEVELS}, b{_TOP_LEVELS}
 """
 
+_OP12 = f"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first) as n from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 5 as base, {_crc32('conv_id')} % 9 as h from (select distinct conv_id from t)),
+r as (select c.conv_id, n, role, text from c join t on t.conv_id = c.base and n <= h
+      union all select c.conv_id, n, role, text from c join t using (conv_id) where n > h),
+w as (select c.conv_id, coalesce(list(md5(length(role) || ':' || role || text) order by n) filter (n is not null), []) as ks,
+        coalesce(list(octet_length(encode(text))::bigint order by n) filter (n is not null), []) as bs from c left join r using (conv_id) group by 1),
+p as (select conv_id, d, ks[:d] as k, bs[d] as b, len(ks) = d as ends from (select *, unnest(generate_series(0, len(ks))) as d from w)),
+node as (select k, d, min(conv_id) as conv_id, count(*) as n_convs, any_value(b) as b,
+           coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '') as ids from p group by k, d),
+kids as (select k[:d - 1] as k, count(*) as n_children from node where d > 0 group by 1),
+full_node as (select node.*, coalesce(n_children, 0) as n_children from node left join kids using (k)),
+above as (select k[:a] as k, n_children, (n_convs - 1) * coalesce(b, 0) as saved from (select *, unnest(generate_series(0, d)) as a from full_node)),
+sums as (select k, count(*) filter (n_children = 0) as n_leaves, sum(saved) as saved_tokens from above group by k)
+select f.conv_id, f.d as depth, up.conv_id as parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens::bigint as saved_tokens, sha256(f.ids) as ends_sha256
+from full_node f join sums using (k) left join node up on f.d > 0 and up.k = f.k[:f.d - 1] and up.d = f.d - 1
+"""
+
 
 def statements() -> dict[str, str]:
     return {
@@ -138,4 +157,5 @@ def statements() -> dict[str, str]:
         "op9_warc": _OP9,
         "op10_substring_dedup": _OP10,
         "op11_merkle_manifest": _OP11,
+        "op12_conversation_trie": _OP12,
     }

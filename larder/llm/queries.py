@@ -17,6 +17,7 @@ from larder.llm.manifest import build_manifest, check_dossiers
 from larder.llm.nearcopies import near_copies
 from larder.llm.packing import pack_dossiers
 from larder.llm.quality import fit_quality, score_quality
+from larder.llm.steptrie import grow_trie, number_steps
 from larder.llm.substrings import drop_repeated_passages
 from larder.llm.suffixes import repeated_passages
 from larder.llm.textrules import judge_texts
@@ -141,6 +142,24 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_dossiers(build_manifest(docs, found)).withColumnRenamed("recipe_id", "doc_id")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of the conversations as recipes and their turns as steps; conversations in fives share the first turns of one of them."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    own = number_steps(turns.select(F.col("conv_id").alias("recipe_id"), F.col("turn").alias("step_no"), "role", "text"), ("role", "text"))
+    own = own.withColumn("base", F.col("recipe_id") - F.col("recipe_id") % 5)
+    sizes = own.groupBy("recipe_id", "base").agg(F.count(F.lit(1)).alias("steps")).withColumn("taken", fold(9))
+    lent = own.filter("recipe_id = base and position <= 8").select("base", "position", "code")
+    held = lent.groupBy("base").agg(F.count(F.lit(1)).alias("lent"))
+    # who takes how many of how many: one row per conversation
+    recipes = sizes.join(held, "base", "left").select("recipe_id", "base", "taken", F.coalesce("lent", F.lit(0)).alias("lent"))
+    begins = recipes.join(lent, "base").filter("position <= taken").select("recipe_id", "position", "code")
+    shift = F.least("taken", "lent") - F.col("taken")
+    goes_on = own.drop("base").join(recipes, "recipe_id").filter("position > taken").select("recipe_id", (F.col("position") + shift).alias("position"), "code")
+    nodes = grow_trie(recipes.select("recipe_id"), begins.unionByName(goes_on))
+    named = {"recipe_id": "conv_id", "parent_recipe_id": "parent_conv_id", "n_recipes": "n_convs", "saved_bytes": "saved_tokens"}
+    return nodes.withColumnsRenamed(named)
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learnt from the labels outside the held-out fold."""
     docs = dossiers(spark, sf_dir)
@@ -169,6 +188,7 @@ def queries() -> dict[str, Query]:
             op9_warc,
             op10_substring_dedup,
             op11_merkle_manifest,
+            op12_conversation_trie,
             op13_toxicity,
         )
     }
