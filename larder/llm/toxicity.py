@@ -28,8 +28,10 @@ SHORTEST, LONGEST = 3, 5
 #: Labelled dossiers that are learnt from, at most: those with the smallest hash of their id.
 MAX_EXAMPLES = 8192
 EPOCHS, BATCH = 6, 16
+#: Batches at least: a small sample is gone through more often.
+STEPS = 1500
 #: Rate of the first epoch (it falls to a tenth of it) start of the sums of squares, and decay of all vectors with each batch.
-RATE, SQUARES, DECAY = 1.0, 1e-6, 1e-4
+RATE, SQUARES, DECAY = 3.0, 1e-3, 1e-4
 #: Texts that are split into words at once.
 _ROWS = 256
 _FEATURES = "recipe_id long, toxic int, words binary, counts binary, grams binary"
@@ -50,7 +52,7 @@ class ToxicityModel:
 
 
 def fit_toxicity(
-    dossiers: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, bits: int = BITS, epochs: int = EPOCHS
+    dossiers: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, bits: int = BITS, epochs: int = EPOCHS, steps: int = STEPS
 ) -> ToxicityModel:
     """A model of ``labels.toxic`` (1 or 0).
 
@@ -68,7 +70,7 @@ def fit_toxicity(
     features = chosen.mapInArrow(partial(_features, bits), _FEATURES)
 
     def learn(table):
-        return _learn(bits, epochs, table)
+        return _learn(bits, epochs, steps, table)
 
     learnt = features.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "vectors binary, classes binary").first()
     if learnt is None:
@@ -159,7 +161,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def _learn(bits: int, epochs: int, table: pa.Table) -> pa.Table:
+def _learn(bits: int, epochs: int, steps: int, table: pa.Table) -> pa.Table:
     """Descent in small batches, each row with a rate of its own; examples in the order of a hash of their ids."""
     of_words = table.filter(pa.compute.is_null(table["recipe_id"]))
     hashes, sizes = _joined(of_words["words"].to_pylist(), np.uint64), _joined(of_words["counts"].to_pylist(), np.uint32)
@@ -172,6 +174,7 @@ def _learn(bits: int, epochs: int, table: pa.Table) -> pa.Table:
     words = [np.searchsorted(hashes, np.frombuffer(w, np.uint64)) for w in docs["words"].to_pylist()]
     shares = [np.frombuffer(n, np.uint32) / max(1, np.frombuffer(n, np.uint32).sum()) for n in docs["counts"].to_pylist()]
 
+    epochs = max(epochs, -(-steps * BATCH // max(1, len(words))))
     rng = np.random.default_rng(0)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << bits, DIM)).astype(np.float32)
     squares = np.full(1 << bits, SQUARES)

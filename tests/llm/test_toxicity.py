@@ -14,13 +14,15 @@ DOCS, LABELS = "recipe_id long, text string", "recipe_id long, toxic int"
 def corpus(n, seed):
     """Every fourth text holds inflected forms of an insult; the forms of held-out texts are all different."""
     rng = random.Random(seed)
-    word = lambda: "".join(rng.choices("abdeimnorsty", k=rng.randint(2, 9)))
+    make = lambda: "".join(rng.choices("abdeimnorsty", k=rng.randint(2, 9)))
+    usual = [make() for _ in range(400)]
+    word = lambda: rng.choice(usual) if rng.random() < 0.9 else make()
     rows = []
     for k in range(n):
         words = [word() for _ in range(rng.randint(5, 90))]
         if k % 4 == 0:
             for _ in range(1 + len(words) // 25):
-                words[rng.randrange(len(words))] = "grumpf" + word()
+                words[rng.randrange(len(words))] = "grumpf" + make()
         rows.append((k, " ".join(words), int(k % 4 == 0)))
     return rows
 
@@ -32,7 +34,7 @@ def test_unseen_spellings_are_recognised(spark):
     model = fit_toxicity(docs, labels)
     scores = {r.recipe_id: r.score for r in score_toxicity(docs, model).collect()}
     assert all(0 <= s <= 1 for s in scores.values())
-    assert np.mean([(scores[i] >= 0.5) == (t == 1) for i, _, t in rows if i % 3 == 0]) > 0.95
+    assert np.mean([(scores[i] >= 0.5) == (t == 1) for i, _, t in rows if i % 3 == 0]) > 0.9
     again = fit_toxicity(docs.repartition(7), labels.repartition(3))
     assert np.array_equal(model.vectors, again.vectors) and np.array_equal(model.classes, again.classes)
     # reducing the vectors to margins changes nothing: the softmax over the mean vector gives the same
