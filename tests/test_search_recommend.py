@@ -15,7 +15,7 @@ from larder.operators import trends as T
     "SELECT 1", "with x as (select 1 a) select * from x", "select 'drop table x' as t", "select 1 -- delete", "(select 1);",
     "select `limit` from etl_runs", "select updated_at from recipes",
 ])
-def test_query_accepted(sql):
+def test_query_accepted(spark, sql):
     assert S.check_query(sql)
 
 
@@ -23,7 +23,7 @@ def test_query_accepted(sql):
     "", "  ", "DROP TABLE recipes", "select 1; delete from x", "insert into x values (1)", "SELECT * FROM read_parquet('x')",
     "select * from parquet.`/etc/x`", "describe recipes", "SELECT 1 /* c */ UNION TRUNCATE x", "set x = 1",
 ])
-def test_query_refused(sql):
+def test_query_refused(spark, sql):
     with pytest.raises(QueryError):
         S.check_query(sql)
 
