@@ -7,7 +7,7 @@ of one record may make up any share of the input.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 from typing import NamedTuple
 
@@ -160,6 +160,53 @@ def error_summary(decided: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
+def error_rows(decided: DataFrame) -> DataFrame:
+    """``(source_id, position, error)`` of every record that failed; the summary names the first ones only."""
+    return decided.filter("disposition = 'error'").select("source_id", "position", "error")
+
+
+def run_rows(
+    sources: DataFrame,
+    decided: DataFrame,
+    started_at: datetime,
+    finished_at: datetime,
+    *,
+    deleted: DataFrame | None = None,
+    failures: DataFrame | None = None,
+    batch_size: int | None = None,
+    limit: int | None = None,
+) -> DataFrame:
+    """Final ``etl_runs`` rows without ids: one for each of ``sources(id, key)``, also for those without any record.
+
+    ``deleted(source_id, soft_deleted)``; ``failures(source_id, error)``: sources whose discovery failed. A failed discovery counts as an
+    error, its text comes first in the summary, and a source with errors and nothing fetched is ``failed``. Records of unknown sources make no row.
+    """
+    counts = ["discovered", "fetched", "skipped", "errors", "validation_skipped"]
+    known = sources.select(F.col("id").alias("source_id"), F.col("key").alias("source"))
+    runs = known.join(audit(decided).drop("status"), "source_id", "left").join(error_summary(decided), "source_id", "left")
+    nothing = F.lit(None).cast("string")
+    if failures is not None:
+        failed = failures.groupBy("source_id").agg(F.count(F.lit(1)).alias("_failures"), F.min("error").alias("_failure"))
+        runs = runs.join(failed, "source_id", "left")
+        runs = runs.withColumn("errors", F.coalesce("errors", F.lit(0)) + F.coalesce("_failures", F.lit(0)))
+        nothing = F.when(F.col("_failure").isNotNull(), F.concat(F.lit("Discovery failed: "), F.col("_failure")))
+    runs = runs.withColumn("error_summary", F.nullif(F.concat_ws("; ", nothing, "error_summary"), F.lit("")))
+    if deleted is not None:
+        runs = runs.join(deleted, "source_id", "left")
+    else:
+        runs = runs.withColumn("soft_deleted", F.lit(0))
+    runs = runs.withColumns({c: F.coalesce(c, F.lit(0)).cast("int") for c in [*counts, "soft_deleted"]})
+    status = (
+        F.when((F.col("errors") > 0) & (F.col("fetched") == 0), "failed").when(F.col("errors") > 0, "partial").otherwise("success")
+    )
+    return runs.select(
+        "source_id", "source", *counts, "soft_deleted", "error_summary", status.alias("status"),
+        D.utc_literal(started_at).alias("started_at"), D.utc_literal(finished_at).alias("finished_at"),
+        F.lit(round((finished_at - started_at).total_seconds(), 2)).alias("duration_seconds"),
+        F.lit(batch_size).cast("smallint").alias("batch_size"), F.lit(limit).cast("int").alias("limit"),
+    )
+
+
 def close_interrupted(runs: DataFrame, source: str, finished_at: datetime) -> DataFrame:
     """Mark runs of a source that never finished as crashed."""
     stale = (F.col("source") == source) & (F.col("status") == "running")
@@ -196,6 +243,14 @@ def soft_delete(recipes: DataFrame, discovered: DataFrame, *, allow_empty: bool
     )
 
 
+def vanished(recipes: DataFrame, discovered: DataFrame) -> DataFrame:
+    """``(source_id, soft_deleted)``: how many active recipes of a discovered source were not found; sources without any are left out."""
+    found = discovered.select("source_id", "source_url").distinct()
+    active = recipes.filter("status = 'active'").select("source_id", "source_url")
+    active = join_dimension(active, discovered.select("source_id").distinct(), "source_id", "left_semi")
+    return active.join(found, ["source_id", "source_url"], "left_anti").groupBy("source_id").agg(F.count(F.lit(1)).cast("int").alias("soft_deleted"))
+
+
 def ingredient_rows(records: DataFrame, index: DataFrame) -> DataFrame:
     """``recipe_ingredients`` rows of new records (``recipe_id, ingredients_raw, ingredient_groups``)."""
     single = F.array(
@@ -328,10 +383,14 @@ def ingest(
     *,
     languages: Sequence[str] | None = None,
     limit_per_source: int | None = None,
+    keep_decided: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint,
 ) -> IngestRows:
-    """Rows to append for a batch of raw records, and what became of every record."""
+    """Rows to append for a batch of raw records, and what became of every record.
+
+    ``keep_decided`` materialises the decisions, which feed several branches; a run writes them to its folder.
+    """
     ensure_checkpoint_dir(records.sparkSession)
-    decided = decide(records, recipes, languages, limit_per_source).checkpoint()
+    decided = keep_decided(decide(records, recipes, languages, limit_per_source))
     ids = dense_ids(
         decided.filter("disposition = 'new'").select("source_id", "position"),
         [F.col("source_id"), F.col("position")],

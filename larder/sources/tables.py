@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,16 +16,44 @@ from larder.operators.classify import computed_tags
 from larder.schemas import SCHEMAS, registry_fingerprint, schema_for
 
 FINGERPRINT_TABLE = "_schema_version"
+PARTS_TABLE = "_parts"
 
 
 def table_path(folder: str, table: str) -> str:
     return f"{folder.rstrip('/')}/{table}.parquet"
 
 
-def table_exists(spark: SparkSession, folder: str, table: str) -> bool:
+class Part(NamedTuple):
+    """A folder of files that belongs to a table; ``source_id`` when it holds rows of that source only."""
+
+    table: str
+    path: str
+    source_id: int | None = None
+
+
+def write_parts(spark: SparkSession, folder: str, parts: Sequence[Part]) -> None:
+    """List the parts of a data folder's tables, also those that lie in earlier folders. A few rows per run and table."""
+    lines = [(json.dumps(part._asdict()),) for part in parts]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(f"{folder.rstrip('/')}/{PARTS_TABLE}")
+
+
+def read_parts(spark: SparkSession, folder: str) -> list[Part]:
+    """The listed parts; none for a folder that holds all its tables itself."""
+    if not _is_there(spark, "text", f"{folder.rstrip('/')}/{PARTS_TABLE}"):
+        return []
+    return [Part(**json.loads(row.value)) for row in spark.read.text(f"{folder.rstrip('/')}/{PARTS_TABLE}").collect()]
+
+
+def table_parts(spark: SparkSession, folder: str, table: str) -> list[Part]:
+    """Where the rows of a table lie: the folder's own files, and the parts that it lists."""
+    own = [Part(table, table_path(folder, table))] if _is_there(spark, "parquet", table_path(folder, table)) else []
+    return own + [part for part in read_parts(spark, folder) if part.table == table]
+
+
+def _is_there(spark: SparkSession, form: str, path: str) -> bool:
     """Ask Spark's own file index, so that any file system Spark can read works."""
     try:
-        spark.read.schema(schema_for(table) if table in SCHEMAS else "x int").parquet(table_path(folder, table))
+        spark.read.format(form).schema("value string").load(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             return False
@@ -31,12 +61,17 @@ def table_exists(spark: SparkSession, folder: str, table: str) -> bool:
     return True
 
 
+def table_exists(spark: SparkSession, folder: str, table: str) -> bool:
+    return bool(table_parts(spark, folder, table))
+
+
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """Typed scan of one registered table."""
     schema = schema_for(table)
-    if not table_exists(spark, folder, table):
+    parts = table_parts(spark, folder, table)
+    if not parts:
         raise DataStaleError(f"no data for table {table!r} under {folder}")
-    return spark.read.schema(schema).parquet(table_path(folder, table))
+    return spark.read.schema(schema).parquet(*[part.path for part in parts])
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:

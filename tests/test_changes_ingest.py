@@ -150,14 +150,15 @@ def test_two_ingest_runs(spark, tmp_path):
     assert [(r.recipe_id, r.seq, r.ingredient_id, r.quantity, r.group_label) for r in lines] == [(1, 1, 1, 200.0, None), (2, 1, 2, None, "Teig"), (2, 2, None, None, "Sauce")]
     assert [(r.seq, r.caption) for r in read_table(spark, folders[1], "recipe_images").filter("recipe_id = 1").orderBy("seq").collect()] == [(1, "c"), (2, None)]
     assert read_table(spark, folders[1], "ingredients").count() == 2 and read_table(spark, folders[1], "sources").count() == 5
-    run = read_table(spark, folders[1], "etl_runs").first()
+    run = read_table(spark, folders[1], "etl_runs").filter("source = 'bettybossi'").first()
     assert (run.id, run.source, run.discovered, run.fetched, run.skipped, run.status, run["limit"]) == (1, "bettybossi", 7, 2, 1, "success", 2)
 
     second = records(spark, raw(1, "a"), raw(2, "z"), raw(3, "g", title="Late"), raw(4, "f", error="Fetch failed"), raw(5, "d", lines=(), steps=()), raw(6, "e", language="fr"))
     rows = run_ingest(spark, second, folders[1], folders[2], catalogue, source_rows(spark), AT, AT, languages=["de"])
     assert {r.position: r.disposition for r in rows.decided.collect()} == {1: "known", 2: "duplicate", 3: "new", 4: "error", 5: "invalid", 6: "language"}
     assert {r.id: (r.source_url, r.status) for r in read_table(spark, folders[2], "recipes").collect()} == {1: ("a", "active"), 2: ("c", "deleted"), 3: ("g", "active")}
-    run = read_table(spark, folders[2], "etl_runs").filter("id = 2").first()
+    run = read_table(spark, folders[2], "etl_runs").filter("source = 'bettybossi'").orderBy(F.desc("id")).first()
+    assert run.id == 6  # the five sources of the first run come before
     assert (run.fetched, run.skipped, run.errors, run.validation_skipped, run.soft_deleted, run.status, run.error_summary) == (1, 3, 1, 1, 1, "partial", "Fetch failed")
     tags = {r.key: r.id for r in read_table(spark, folders[2], "tags").collect()}
     assert len(set(tags.values())) == len(tags) and {"party", "easy", "quick", "vegan"} <= set(tags)
