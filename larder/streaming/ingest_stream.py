@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from larder.operators.ingest import accepted, decide
+from larder.operators.ingest import accepted, decide, with_hash
 from larder.schemas import RAW_RECIPE
+from larder.streaming.key_index import KeyIndex
 
 RECORD_STREAM = T.StructType(
     [
@@ -34,15 +35,28 @@ def start_ingest(
 ) -> StreamingQuery:
     """Process everything available now; progress and batch numbers live in the checkpoint folder.
 
-    A batch is deduplicated against the stored URLs and hashes, which replaces an ever-growing
-    deduplication state. Every batch has its own sub-folder, which is overwritten when the batch
-    runs again after a failure; a batch never looks at its own earlier attempt.
+    A batch is deduplicated against the stored URLs and hashes, which replaces an ever-growing deduplication state. These keys
+    are indexed by hash next to the target (``<target>_keys``), so a batch reads only the buckets that its own keys fall into
+    (:mod:`larder.streaming.key_index`). Every batch has its own sub-folder, which is overwritten when the batch runs again after a
+    failure; a batch never looks at its own earlier attempt.
     """
+    folder = target.rstrip("/")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = _stored(batch.sparkSession, target).filter(F.col("batch") != batch_id)
-        fresh = accepted(batch, decide(batch, stored, languages))
-        fresh.write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={batch_id}")
+        spark = batch.sparkSession
+        urls, hashes = (KeyIndex(spark, f"{folder}_keys/{kind}") for kind in ("source_url", "content_hash"))
+        own = with_hash(batch).select("source_url", "content_hash")
+        stored = [
+            index.near(own.select(F.col(column).alias("key")).filter("key is not null"), batch_id).withColumnRenamed("key", column)
+            for column, index in (("source_url", urls), ("content_hash", hashes))
+        ]
+        known = stored[0].unionByName(stored[1], allowMissingColumns=True)
+        path = f"{folder}/batch={batch_id}"
+        accepted(batch, decide(batch, known, languages)).write.mode("overwrite").parquet(path)
+        # what was written is indexed afterwards: a batch that breaks off in between runs again as a whole
+        added = spark.read.schema("source_url string, content_hash string").parquet(path)
+        urls.add(added.select(F.col("source_url").alias("key")), batch_id)
+        hashes.add(added.select(F.col("content_hash").alias("key")), batch_id)
 
     return (
         records.writeStream.foreachBatch(write)
@@ -50,13 +64,3 @@ def start_ingest(
         .trigger(availableNow=True)
         .start()
     )
-
-
-def _stored(spark: SparkSession, target: str) -> DataFrame:
-    schema = "source_url string, content_hash string, batch int"
-    try:
-        return spark.read.schema(schema).parquet(target)
-    except Exception as error:  # the first batch finds no folder
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
