@@ -383,7 +383,7 @@ def ingest(
     *,
     languages: Sequence[str] | None = None,
     limit_per_source: int | None = None,
-    keep_decided: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint,
+    keep_decided: Callable[[DataFrame], DataFrame] = lambda decided: decided.checkpoint(),
 ) -> IngestRows:
     """Rows to append for a batch of raw records, and what became of every record.
 

@@ -120,14 +120,12 @@ _SLUG = "regexp_replace(regexp_replace(lower({}), '[^a-z0-9äöüéèà-]+', '-'
 
 _DECIDED = """raw as (
   select list_position(['de', 'en', 'es', 'fr'], lang) as source_id, doc_id as position, 'https://docs.example.org/' || doc_id as url,
-    lang, length(text) >= 300 as full_text, doc_id % 41 = 0 as error,
-    lang || chr(31) || 'doc' || chr(31) || case when length(text) >= 300 then replace(text, '.', chr(10)) else '' end
-      || chr(31) || case when length(text) >= 300 then text else '' end as content
+    lang, doc_id % 41 = 0 as error, lang || chr(31) || 'doc' || chr(31) || replace(text, '.', chr(10)) || chr(31) || text as content
   from documents),
 stored as (select case when position % 20 = 0 then url else 'https://docs.example.org/old' end as url, content from raw where position % 10 = 0),
 own as (
   select *, case when url in (select url from stored) then 'known' when error then 'error'
-    when {language} then 'language' when not full_text then 'invalid' end as own from raw),
+    when {language} then 'language' end as own from raw),
 firsts as (
   select content, min(struct_pack(s := source_id, p := position)) as f from own where own is null group by content),
 decided0 as (
@@ -172,7 +170,7 @@ pp as (
 
 
 _INGESTED = f"""r as (
-  select o_orderkey as o, o_custkey % 5 + 1 as source_id, o_custkey % 211 as ware, o_orderkey % 11 as t,
+  select o_orderkey as o, o_custkey % 5 + 1 as source_id, o_custkey as ware, o_orderkey % 11 as t,
     case when o_orderkey % 6 <= 1 then o_orderkey % 6 else 2 end as second, o_orderkey % 4 as step,
     case when o_orderkey % 10 = 0 and o_orderkey % 9 <> 0 then 'known' when o_orderkey % 97 = 0 then 'error'
       when o_orderkey % 13 = 0 then 'language' end as own from orders),
@@ -180,7 +178,7 @@ firsts as (select min(struct_pack(s := source_id, o := o)).o as o from r where o
 fresh as (
   select r.*, (select max(o_orderkey) from orders where o_orderkey % 10 = 0) + row_number() over (order by source_id, o) as id,
     nullif(o % 70, 0) as minutes from r where o in (from firsts)),
-cat as (select p_partkey % 211 as ware, min(p_partkey) as ware_id from part where p_partkey % 211 < 100 group by 1),
+cat as (select p_partkey as ware, p_partkey as ware_id from part where p_partkey % 3 <> 0),
 x as (select fresh.*, ware_id, {_COURSE} as course, {_CUISINE.format(", case when o % 6 = 0 then 'asian' end")} as cuisine,
   {_METHOD} as cooking_method from fresh left join cat using (ware))
 """
@@ -405,7 +403,7 @@ m as (select * from pantry where ingredient_id not in (select k from up)
 select * from m where ingredient_id not in (select l_partkey from lineitem where l_returnflag = 'R' and l_tax = 0.08)""",
         "pantry_unknown_keys": _with(_PARTS)
         + "select distinct 'new-' || key as key from lineitem join parts on id = l_partkey where l_returnflag = 'A' and l_tax = 0.0",
-        "own_recipes": f"""with e as (select conv_id * 1000 + turn as entry_no, conv_id, turn, text from conversations where role = 'user' and turn % 4 <> 2),
+        "own_recipes": f"""with e as (select conv_id * 1000 + turn as entry_no, conv_id, turn, text from conversations where turn % 4 <> 2),
 n as (select *, (select max(o_orderkey) from orders) + row_number() over (order by entry_no) as id,
   case when conv_id % 3 > 0 then turn + 10 end as p, case when conv_id % 2 > 0 then turn + 20 end as c from e)
 select id, 'own-' || id as source_external_id, trim(regexp_replace({_FOLD.format('text')}, '\\s+', ' ', 'g')) as title_normalised,
@@ -503,7 +501,18 @@ from decided0 group by source_id""",
         "ingest_errors": _with(decided_all)
         + """, e as (select *, row_number() over (partition by source_id order by position) as n from decided0 where disposition = 'error')
 select source_id, string_agg('broken ' || position, '; ' order by position) as error_summary from e where n <= 10 group by source_id""",
-        "suspicious_records": """with l as (select doc_id, case when length(text) >= 300 then string_split(text, '.') else [] end as x from documents)
+        "ingest_error_rows": _with(decided_all) + "select source_id, position, 'broken' as error from decided0 where disposition = 'error'",
+        "ingest_runs": _with(decided)
+        + """, e as (select source_id, min(position) as p from decided0 where disposition = 'error' group by source_id),
+a as (select source_id, count(*) as n, count_if(disposition = 'new') as f, count_if(disposition in ('known', 'language', 'duplicate')) as k,
+  count_if(disposition = 'error') as x, count_if(disposition = 'invalid') as i from decided0 group by source_id),
+s as (select *, case key when 'it' then 'timeout' when 'de' then 'sitemap cut off' end as failure
+  from (values (1, 'de'), (2, 'en'), (3, 'es'), (4, 'fr'), (5, 'it'), (6, 'pt')) as t(id, key)),
+j as (select *, coalesce(x, 0) + (failure is not null)::int as errs from s left join a on a.source_id = s.id left join e on e.source_id = s.id)
+select key as source, coalesce(n, 0) as discovered, coalesce(f, 0) as fetched, coalesce(k, 0) as skipped, errs as errors, coalesce(i, 0) as validation_skipped,
+  coalesce(n, 0) as soft_deleted, case when errs > 0 and coalesce(f, 0) = 0 then 'failed' when errs > 0 then 'partial' else 'success' end as status,
+  300.0::double as duration_seconds, coalesce('Discovery failed: ' || failure, case when p is not null then 'broken' end) as first_error from j""",
+        "suspicious_records": """with l as (select doc_id, string_split(text, '.') as x from documents)
 select doc_id as position, case when len(x) = 0 then null when list_sum(list_transform(x, lambda i: length(i))) / len(x) > 150 then 'long lines'
   when len(x) >= 3 and len(list_filter(x, lambda i: regexp_matches(i, '[0-9]'))) / len(x) < 0.2 then 'few quantities' end as reason from l""",
         "soft_deleted": _with(_RECIPES)
@@ -523,7 +532,7 @@ select id, source_id, case when o % 9 = 0 then 'japanische-suppe-' else 'teller-
         "ingested_lines": f"""with {_INGESTED}
 select id as recipe_id, 1 as seq, null as ingredient_id, 2 as quantity, 'EL' as unit, '2 EL Sojasauce' as raw_text from x
 union all select id, 2, null, [1, 200, null][second + 1], ['Stück', 'g', null][second + 1], ['1 Stück Ingwer', '200 g Linsen', 'Wasser'][second + 1] from x
-union all select id, 3, ware_id, 200, 'g', '200 g Ware ' || ware from x""",
+union all select id, 3, ware_id, 200, 'g', case when ware % 3 = 0 then '200 g Sonderware ' else '200 g Ware ' end || ware from x""",
         "page_titles": """select page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1),
   '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))) as digest from pages""",
         "page_list_items": """with i as (select page_id, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) as x from pages),
@@ -532,18 +541,17 @@ select page_id, len(x) as n, array_to_string(x, '|') as items from c""",
         "page_records": """with i as (select page_id, url, html, list_transform(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1),
   lambda v: trim(regexp_replace(replace(regexp_replace(v, '<[^>]*>', '', 'g'), '&amp;', '&'), '\\s+', ' ', 'g'))) as x from pages)
 select page_id, case when contains(url, '/de/') then 'de' when contains(url, '/fr/') then 'fr' when contains(url, '/it/') then 'it' else 'de' end as language,
-  len(list_filter(x, lambda v: regexp_matches(v, '(g |kg |dl |l |EL |TL |Stk|Prise)') and length(v) <= 200
-    and not regexp_matches(lower(v), '(hauptmenü|menu schliessen|jetzt entdecken|jetzt weiterstöbern|werbung buchen|shop)'))) as n_lines,
+  len(list_filter(x, lambda v: regexp_matches(v, '(g |kg |dl |l |EL |TL |Stk|Prise)'))) as n_lines,
   0 as n_steps, 0 as n_keywords, '' as category, '' as cuisine, case when not contains(html, '<h1>') then 'no recipe title' end as error from i""",
         "markup_records": """with t as (select doc_id, lang, source, regexp_replace(text, '[<>&]', ' ', 'g') as text from documents),
-l as (select *, list_filter(list_transform(string_split(text, chr(10)), lambda v: trim(regexp_replace(v, '\\s+', ' ', 'g'))), lambda v: v <> '' and length(v) <= 200
-  and not regexp_matches(lower(v), '(hauptmenü|menu schliessen|jetzt entdecken|jetzt weiterstöbern|werbung buchen|shop)')) as x from t)
+l as (select *, list_filter(list_transform(string_split(text, chr(10)), lambda v: trim(regexp_replace(v, '\\s+', ' ', 'g'))), lambda v: v <> '') as x,
+  list_distinct(list_filter([trim(regexp_replace(regexp_replace(i || ' ' || v, '\\s+', ' ', 'g'), '^[0-9]+ *', '')) for v, i in string_split(text, chr(10))], lambda v: v <> '')) as s from t)
 select doc_id, 'Text & ' || lang as title, source as category, 'thai' as cuisine, 'Thai|' || lang as keywords,
-  cast(trim(regexp_replace(regexp_replace('1 ' || split_part(text, '.', 1), '\\s+', ' ', 'g'), '^[0-9]+ *', '')) <> '' as int) as n_steps,
-  len(x) as n_lines, sha256(array_to_string(x, '|')) as lines, case when len(x) > 0 then 'Teil' else '' end as labels from l""",
+  len(s) as n_steps, sha256(array_to_string(list_sort(s), '|')) as steps, len(x) as n_lines, sha256(array_to_string(x, '|')) as lines, case when len(x) > 0 then 'Teil' else '' end as labels from l""",
         "structured_records": """select doc_id, source as title, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as n_lines,
   sha256(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), '|')) as lines,
-  cast(trim(split_part(text, '.', 1), ' ' || chr(10)) <> '' as int) as n_steps, cast(doc_id as varchar) as yield_amount, lang || '|' || source as keywords,
+  len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as n_steps,
+  sha256(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), '|')) as steps, cast(doc_id as varchar) as yield_amount, lang || '|' || source as keywords,
   'https://img.example.org/' || doc_id as image_urls, lang as image_captions from documents where doc_id % 7 <> 0""",
         "sitemap_addresses": """select page_id, 0 as position, url from pages union all select page_id, 1, 'b' from pages where page_id % 2 = 0""",
         "assigned_ids": "select o_orderkey, 999 + row_number() over (order by o_totalprice desc, o_orderkey) as new_id from orders",
@@ -557,7 +565,7 @@ select doc_id, i - 1 as position, sha256(trim(x[i])) as section, 0 as body_lengt
   round(sum(value), 2) as total_ms, max(value) as max_ms from events group by all""",
         "streamed_ingest": """with r as (select list_position(['de', 'en', 'es', 'fr'], lang) as source_id, doc_id as position,
   sha256(lang || chr(31) || 'doc' || chr(31) || replace(text, '.', chr(10)) || chr(31) || text) as content_hash
-  from documents where length(text) >= 300 and lang in ('de', 'en', 'fr') and doc_id % 41 <> 0)
+  from documents where lang in ('de', 'en', 'fr') and doc_id % 41 <> 0)
 select min(struct_pack(s := source_id, p := position)).s as source_id, min(struct_pack(s := source_id, p := position)).p as position, content_hash from r group by content_hash""",
     }
     return sql

@@ -506,7 +506,7 @@ def pantry_unknown_keys(b: Bindings) -> DataFrame:
 
 @_query
 def own_recipes(b: Bindings) -> DataFrame:
-    entries = b.raw("conversations").filter("role = 'user'").select(
+    entries = b.raw("conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("entry_no"),
         F.when(F.col("turn") % 4 == 2, "  ").otherwise(F.col("text")).alias("title"),
         F.split("text", r"\.").alias("ingredients"),
@@ -708,7 +708,7 @@ def _records(b: Bindings) -> DataFrame:
         F.array(
             F.lit("2 EL Sojasauce"),
             F.when(o % 6 == 0, "1 Stück Ingwer").when(o % 6 == 1, "200 g Linsen").otherwise("Wasser"),
-            F.concat(F.lit("200 g Ware "), (F.col("o_custkey") % 211).cast("string")),
+            F.concat(F.when(F.col("o_custkey") % 3 == 0, "200 g Sonderware ").otherwise("200 g Ware "), F.col("o_custkey").cast("string")),
         ).alias("ingredients_raw"),
         F.array().cast("array<struct<label:string,items:array<string>>>").alias("ingredient_groups"),
         F.array(
@@ -819,15 +819,14 @@ def classification_tag_rows(b: Bindings) -> DataFrame:
 
 def _document_records(b: Bindings) -> DataFrame:
     """Documents as raw records: the language is the source, sentences are ingredient lines."""
-    none = F.array().cast("array<string>")
     return b.raw("documents").select(
         F.array_position(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.col("lang")).cast("int").alias("source_id"),
         F.col("doc_id").alias("position"),
         F.lit("doc").alias("title"),
         F.concat(F.lit("https://docs.example.org/"), F.col("doc_id").cast("string")).alias("source_url"),
         F.col("lang").alias("language"),
-        F.when(F.length("text") < 300, none).otherwise(F.split("text", r"\.")).alias("ingredients_raw"),
-        F.when(F.length("text") < 300, none).otherwise(F.split("text", "\n")).alias("steps_raw"),
+        F.split("text", r"\.").alias("ingredients_raw"),
+        F.split("text", "\n").alias("steps_raw"),
         F.when(F.col("doc_id") % 41 == 0, "broken").alias("error"),
     )
 
@@ -866,6 +865,27 @@ def ingest_errors(b: Bindings) -> DataFrame:
     return I.error_summary(decided.withColumn("error", F.concat("error", F.lit(" "), F.col("position").cast("string"))))
 
 
+@_query
+def ingest_error_rows(b: Bindings) -> DataFrame:
+    """All records that failed, one row each."""
+    return I.error_rows(I.decide(_document_records(b), _stored_recipes(b)))
+
+
+@_query
+def ingest_runs(b: Bindings) -> DataFrame:
+    """The log rows of a run over the documents: a source without records, one whose discovery failed, and deletions per source."""
+    sources = b.spark.createDataFrame([(1, "de"), (2, "en"), (3, "es"), (4, "fr"), (5, "it"), (6, "pt")], "id int, key string")
+    failures = b.spark.createDataFrame([(5, "timeout"), (1, "sitemap cut off")], "source_id int, error string")
+    records = _document_records(b)
+    stored = records.select("source_id", F.concat("source_url", F.lit("?old")).alias("source_url"), F.lit("active").alias("status"))
+    runs = I.run_rows(
+        sources, I.decide(records, _stored_recipes(b), languages=["de", "en", "fr"]), datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 5),
+        deleted=I.vanished(stored.unionByName(records.select("source_id", "source_url", F.lit("active").alias("status"))), records), failures=failures, limit=7,
+    )
+    return runs.select("source", "discovered", "fetched", "skipped", "errors", "validation_skipped", "soft_deleted", "status", "duration_seconds",
+                       F.substring_index("error_summary", ";", 1).alias("first_error"))
+
+
 @_query
 def suspicious_records(b: Bindings) -> DataFrame:
     return _document_records(b).select("position", I.suspicious_lines(F.col("ingredients_raw")).alias("reason"))
@@ -905,11 +925,9 @@ def _ingested(b: Bindings) -> I.IngestRows:
 
 def _ware_catalogue(b: Bindings) -> DataFrame:
     none = F.lit(None).cast("string")
-    return b.raw("part").filter("p_partkey % 211 < 100").groupBy((F.col("p_partkey") % 211).alias("n")).agg(
-        F.min("p_partkey").alias("id")
-    ).select(
-        "id", F.concat(F.lit("ware-"), F.col("n").cast("string")).alias("key"),
-        F.concat(F.lit("Ware "), F.col("n").cast("string")).alias("display_de"),
+    return b.raw("part").select(
+        F.col("p_partkey").alias("id"), F.concat(F.lit("ware-"), F.col("p_partkey").cast("string")).alias("key"),
+        F.concat(F.lit("Ware "), F.col("p_partkey").cast("string")).alias("display_de"),
         none.alias("display_fr"), none.alias("display_it"), none.alias("display_en"),
         F.lit("meat").alias("category"), F.lit("beef").alias("sub_category"),
         F.array(F.lit("grain")).alias("pairing_tags"), F.array().cast("array<string>").alias("aliases"),
@@ -955,33 +973,43 @@ def page_records(b: Bindings) -> DataFrame:
 
 @_query
 def markup_records(b: Bindings) -> DataFrame:
-    """Records read from markup that is written from the documents: one list item per line of text."""
+    """Records read from markup that is written from the documents: one list item and one step per line of text."""
     text = F.regexp_replace("text", "[<>&]", " ")
     items = F.array_join(F.transform(F.split(text, "\n"), lambda x: F.concat(F.lit("<li><b>"), x, F.lit("</b></li>"))), "")
+    step = lambda x, i: F.concat(F.lit('<div class="recipe-step">'), (i + 1).cast("string"), F.lit(" <div><p>"), x, F.lit("</p></div></div>"))
+    steps = F.array_join(F.transform(F.split(text, "\n"), step), "")
     html = F.concat(
         F.lit('<html><head><meta name="keywords" content="Thai, '), F.col("lang"), F.lit('"></head><body><nav class="breadcrumb"><a href="/">Home</a><a>'),
         F.col("source"), F.lit("</a></nav><h1> Text &amp; <i>"), F.col("lang"), F.lit('</i></h1><section class="ingredients"><h3>Zutaten</h3><h4>Teil</h4><ul>'),
-        items, F.lit('</ul></section><div class="recipe-step">1 '), F.substring_index(text, ".", 1), F.lit("</div></body></html>"),
+        items, F.lit("</ul></section>"), steps, F.lit("</body></html>"),
     )
     pages = b.raw("documents").select("doc_id", F.lit("u").alias("url"), F.col("lang").alias("language"), html.alias("html"))
     raw = PG.from_markup(pages)
     return raw.select(
         "doc_id", "title", "category", "cuisine", _joined("keywords"), F.size("steps_raw").alias("n_steps"),
+        F.sha2(F.array_join(F.array_sort("steps_raw"), "|"), 256).alias("steps"),
         F.size("ingredients_raw").alias("n_lines"), F.sha2(F.array_join("ingredients_raw", "|"), 256).alias("lines"),
         F.array_join(F.transform("ingredient_groups", lambda g: g["label"]), "|").alias("labels"),
     )
 
 
 def _structured_pages(b: Bindings) -> DataFrame:
-    """Pages that carry a structured recipe, written from the documents."""
+    """Pages that carry a structured recipe, written from the documents: a step per line, the first half of them in a section within a section."""
+    plain = lambda x: F.struct(F.lit("HowToStep").alias("@type"), x.alias("text"), none.alias("itemListElement"))
+    none = F.lit(None).cast("array<struct<`@type`:string,itemListElement:array<struct<`@type`:string,text:string>>>>")
+    rows = F.split("text", "\n")
+    half = (F.size(rows) / 2).cast("int")
+    inner = F.transform(F.slice(rows, F.lit(1), half), lambda x: F.struct(F.lit("HowToStep").alias("@type"), x.alias("text")))
+    section = F.struct(
+        F.lit("HowToSection").alias("@type"), F.lit(None).cast("string").alias("text"),
+        F.array(F.struct(F.lit("HowToSection").alias("@type"), inner.alias("itemListElement"))).alias("itemListElement"),
+    )
     doc = F.to_json(
         F.struct(
             F.lit("Recipe").alias("@type"),
             F.col("source").alias("name"),
             F.split("text", "\n").alias("recipeIngredient"),
-            F.array(
-                F.struct(F.lit("HowToStep").alias("@type"), F.substring_index("text", ".", 1).alias("text")),
-            ).alias("recipeInstructions"),
+            F.concat(F.array(section), F.transform(F.slice(rows, half + 1, F.size(rows)), plain)).alias("recipeInstructions"),
             F.array(F.col("doc_id")).alias("recipeYield"),
             F.concat_ws(", ", "lang", "source", F.lit(" ")).alias("keywords"),
             F.struct(F.concat(F.lit("https://img.example.org/"), F.col("doc_id").cast("string")).alias("url"),
@@ -1004,7 +1032,7 @@ def structured_records(b: Bindings) -> DataFrame:
     return raw.select(
         "doc_id", "title", F.size("ingredients_raw").alias("n_lines"),
         F.sha2(F.array_join("ingredients_raw", "|"), 256).alias("lines"),
-        F.size("steps_raw").alias("n_steps"), "yield_amount", _joined("keywords"), _joined("image_urls"),
+        F.size("steps_raw").alias("n_steps"), F.sha2(F.array_join("steps_raw", "|"), 256).alias("steps"), "yield_amount", _joined("keywords"), _joined("image_urls"),
         _joined("image_captions"),
     )
 

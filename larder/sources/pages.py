@@ -26,6 +26,8 @@ NAVIGATION_WORDS = [
     "hauptmenü", "menu schliessen", "jetzt entdecken", "jetzt weiterstöbern", "werbung buchen", "shop",
 ]
 MAX_LINE_LENGTH = 200
+# Fixed value: hosts whose ingredient lists take in navigation; the two rules above hold for their pages only.
+NAVIGATION_HOSTS = ["bettybossi.ch"]
 EQUIPMENT_WORDS = [
     "schnur", "grillholz", "holzbrettchen", "alu-grill", "grillschalen", "spiesschen", "spiess",
     "backpapier", "alufolie", "frischhaltefolie", "zahnstocher",
@@ -213,42 +215,57 @@ def item_property(html: Column, name: str) -> Column:
     return F.coalesce(empty_to_null(content), inner_text(whole), F.lit(""))
 
 
-def valid_lines(lines: Column) -> Column:
-    """Drop empty, overlong and navigation texts."""
-    pattern = any_of(NAVIGATION_WORDS)
-    return F.filter(
-        lines, lambda x: (x != "") & (F.length(x) <= MAX_LINE_LENGTH) & ~F.lower(x).rlike(pattern)
-    )
+def mixes_navigation(url: Column) -> Column:
+    """Whether a page comes from a source whose lists of ingredients take in navigation."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#:]*)", 1))
+    return F.coalesce(host.rlike(rf"(?:^|\.)(?:{any_of(NAVIGATION_HOSTS)})$"), F.lit(False))
+
+
+def _is_line(text: Column, navigation: Column) -> Column:
+    plain = (F.length(text) <= MAX_LINE_LENGTH) & ~F.lower(text).rlike(any_of(NAVIGATION_WORDS))
+    return (text != "") & (~navigation | plain)
+
+
+def valid_lines(lines: Column, navigation: Column | None = None) -> Column:
+    """Drop empty texts and, where ``navigation`` holds (:func:`mixes_navigation`), overlong and navigation texts."""
+    return F.filter(lines, lambda x: _is_line(x, F.lit(False) if navigation is None else navigation))
+
+
+def _items(html: Column, opening: str) -> Column:
+    """Markup of list items whose opening tag matches; an item that holds a list goes up to its own end tag."""
+    short = _tags(html, rf"{opening}.*?</li>")
+    nested = F.exists(short, lambda m: m.rlike(r"(?is)^<li\b[^>]*>.*<li\b"))
+    return F.when(nested, elements(html, opening)).otherwise(short)
 
 
 def list_items(html: Column) -> Column:
-    """Texts of all list items."""
-    return F.transform(_tags(html, r"(?is)<li\b[^>]*>.*?</li>"), inner_text)
+    """Texts of all list items; the text of an item takes in the lists inside it."""
+    return F.transform(_items(html, r"(?is)<li\b[^>]*>"), inner_text)
 
 
-def ingredient_lines(html: Column) -> Column:
+def ingredient_lines(html: Column, navigation: Column | None = None) -> Column:
     """Marked ingredient items, ingredient table rows, else list items that name a unit."""
-    marked = _tags(html, r"(?is)<li\b[^>]*\bitemprop\s*=\s*[\"']recipeIngredient[\"'][^>]*>.*?</li>")
+    marked = _items(html, r"(?is)<li\b[^>]*\bitemprop\s*=\s*[\"']recipeIngredient[\"'][^>]*>")
     classed = elements(html, _opening(["ingredient-item", "ingredient", "Ingredient"], "li|div|tr|p"))
     measured = F.filter(list_items(html), lambda x: x.rlike(any_of(UNIT_MARKS)))
-    clean = lambda found: valid_lines(F.transform(found, lambda m: inner_text(F.regexp_replace(m, "<", " <"))))
+    clean = lambda found: valid_lines(F.transform(found, lambda m: inner_text(F.regexp_replace(m, "<", " <"))), navigation)
     first, second = clean(marked), clean(classed)
     return (
-        F.when(F.size(first) > 0, first).when(F.size(second) > 0, second).otherwise(valid_lines(measured))
+        F.when(F.size(first) > 0, first).when(F.size(second) > 0, second).otherwise(valid_lines(measured, navigation))
     )
 
 
-def ingredient_groups(html: Column) -> Column:
+def ingredient_groups(html: Column, navigation: Column | None = None) -> Column:
     """Groups ``array<struct<label, items>>`` of headed lists in all ingredient sections, in page order."""
     sections = elements(
         html,
         r"(?is)<(?:section|div)\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:ingredients|ingredient-section|ingredient-group"
         r"|ingredientGroup)[^\"']*[\"'][^>]*>",
     )
-    return F.flatten(F.transform(sections, _section_groups))
+    return F.flatten(F.transform(sections, lambda section: _section_groups(section, F.lit(False) if navigation is None else navigation)))
 
 
-def _section_groups(section: Column) -> Column:
+def _section_groups(section: Column, navigation: Column) -> Column:
     parts = F.transform(
         _tags(section, r"(?is)<(h[345]|li)\b[^>]*>.*?</\1>"),
         lambda m: F.struct(m.rlike(r"(?i)^<h").alias("head"), inner_text(m).alias("text")),
@@ -256,9 +273,7 @@ def _section_groups(section: Column) -> Column:
     parts = F.filter(
         parts,
         lambda p: F.when(p["head"], (p["text"] != "") & ~F.lower(p["text"]).isin(INGREDIENT_HEADINGS)).otherwise(
-            (p["text"] != "")
-            & (F.length(p["text"]) <= MAX_LINE_LENGTH)
-            & ~F.lower(p["text"]).rlike(any_of(NAVIGATION_WORDS))
+            _is_line(p["text"], navigation)
         ),
     )
     start = F.array(
@@ -368,13 +383,13 @@ def props_groups(props: Column) -> Column:
 
 def from_markup(pages: DataFrame, language: str = "language", base: str = "") -> DataFrame:
     """Raw records from markup alone; ``error`` is set where a page has no title."""
-    html = F.col("html")
+    html, navigation = F.col("html"), mixes_navigation(F.col("url"))
     staged = pages.withColumn("_props", component_props(html)).withColumn("_groups", props_groups(F.col("_props")))
     staged = staged.withColumn(
-        "_groups", F.when(F.size("_groups") > 0, F.col("_groups")).otherwise(ingredient_groups(html))
+        "_groups", F.when(F.size("_groups") > 0, F.col("_groups")).otherwise(ingredient_groups(html, navigation))
     )
     staged = staged.withColumn("_flat", F.flatten(F.transform("_groups", lambda g: g["items"])))
-    staged = staged.withColumn("_flat", F.when(F.size("_flat") > 0, F.col("_flat")).otherwise(ingredient_lines(html)))
+    staged = staged.withColumn("_flat", F.when(F.size("_flat") > 0, F.col("_flat")).otherwise(ingredient_lines(html, navigation)))
     staged = staged.withColumn("_title", title(html)).withColumn("_images", image_urls(html, base))
     persons = F.regexp_extract(html, r"(?s)>[^<]*?(\d+)\s*(?:Personen|Portionen)[^<]*<", 1)
     serves = F.coalesce(
@@ -429,10 +444,11 @@ def complete_with_markup(records: DataFrame) -> DataFrame:
     Lines lose brand prefixes and equipment; labelled groups of the page replace the flat list.
     """
     html = F.col("html")
+    navigation = mixes_navigation(F.col("source_url")) if "source_url" in records.columns else None
     groups = F.col("_html_groups")
     labelled = F.exists(groups, lambda g: g["label"].isNotNull())
     filled = (
-        records.withColumn("_html_groups", ingredient_groups(html))
+        records.withColumn("_html_groups", ingredient_groups(html, navigation))
         .withColumn("ingredients_raw", food_only(F.col("ingredients_raw")))
         .withColumn("keywords", prefer_list(F.col("keywords"), keywords(html)))
         .withColumn("category", prefer(F.col("category"), category(html)))

@@ -87,7 +87,7 @@ MARKUP = """<html><head><meta name="description" content="Fein &amp; gut"><meta
 
 
 def test_markup(spark):
-    pages = spark.createDataFrame([(1, "u", "de", MARKUP), (2, "v", "de", "<p>nichts</p>")], "page_id int, url string, language string, html string")
+    pages = spark.createDataFrame([(1, "https://www.bettybossi.ch/de/u", "de", MARKUP), (2, "v", "de", "<p>nichts</p>")], "page_id int, url string, language string, html string")
     r, none = PG.from_markup(pages).orderBy("page_id").collect()
     assert (r.title, r.description, r.category, r.cuisine, r.difficulty, r.yield_amount) == (
         "Pad Thai", "Fein & gut", "Hauptgerichte", "asian", "Einfach", "4 Portionen",
