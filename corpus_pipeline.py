@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.leaks import mark_leaks
@@ -23,27 +23,43 @@ from larder.session import ensure_checkpoint_dir
 MAX_BROADCAST_IDS = 1_000_000
 
 
-def _id() -> Column:
-    """The number that a decision on a document carries; documents without an id get one from their text, after all others."""
-    from_text = F.pmod(F.xxhash64("text"), F.lit(1 << 61)) + F.lit(1 << 62)
-    return F.coalesce(F.col("doc_id").cast("long"), from_text)
+_ROW = "_pipeline_row_id"
 
 
-def _dossiers(docs: DataFrame) -> DataFrame:
-    return docs.select(_id().alias("recipe_id"), "text")
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with the number that a decision on a row carries: its id where no other row has it.
+
+    Rows that share an id get a number from id and text, after all others, and those without an id one after these: decisions are then
+    made and carried out for each of their texts by itself.
+    """
+    after = F.when(F.col("doc_id").isNull(), F.lit(3 << 61)).otherwise(F.lit(1 << 62))
+    from_text = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 61)) + after
+    again = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("again_id"), F.lit(True).alias("again"))
+    folder = _folder(docs.sparkSession)
+    again.write.parquet(folder)
+    again = docs.sparkSession.read.schema("again_id long, again boolean").parquet(folder)
+    if again.isEmpty():
+        return docs.withColumn(_ROW, F.col("doc_id").cast("long"))
+    again = F.broadcast(again) if again.count() <= MAX_BROADCAST_IDS else again
+    joined = docs.join(again, F.col("doc_id").cast("long").eqNullSafe(again["again_id"]), "left")
+    return joined.withColumn(_ROW, F.when(again["again"], from_text).otherwise(F.col("doc_id").cast("long"))).select(*[docs[c] for c in docs.columns], _ROW)
+
+
+def _dossiers(named: DataFrame) -> DataFrame:
+    return named.select(F.col(_ROW).alias("recipe_id"), "text")
 
 
 def _folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` but for those whose id is in ``dropped`` (``recipe_id``)."""
-    folder = _folder(docs.sparkSession)
+def _without(named: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``named`` but for the rows whose number is in ``dropped`` (``recipe_id``), without the numbers."""
+    folder = _folder(named.sparkSession)
     dropped.select(F.col("recipe_id").alias("dropped_id")).distinct().write.parquet(folder)
-    dropped = docs.sparkSession.read.parquet(folder)
+    dropped = named.sparkSession.read.parquet(folder)
     dropped = F.broadcast(dropped) if dropped.count() <= MAX_BROADCAST_IDS else dropped
-    return docs.join(dropped, _id() == dropped["dropped_id"], "left_anti")
+    return named.join(dropped, named[_ROW] == dropped["dropped_id"], "left_anti").drop(_ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,14 +70,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each class of near copies, and of repeated rows one."""
+    """Keep the document with the smallest id of each class of near copies, and of repeated rows one.
+
+    Different texts that share an id are judged each by itself. An empty table stays empty.
+    """
     again = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again_id"))
     if not again.isEmpty():
         same = docs["doc_id"].eqNullSafe(again["again_id"])
         once = docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
         docs = docs.join(again, same, "left_anti").unionByName(once)
-    classes = near_copies(_dossiers(docs))
-    return _without(docs, classes.filter("class_id != recipe_id"))
+    named = _named(docs)
+    classes = near_copies(_dossiers(named))
+    return _without(named, classes.filter("class_id != recipe_id"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,9 +94,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a passage of the benchmark."""
-    marks = mark_leaks(_dossiers(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, marks.filter("contaminated"))
+    """Drop documents that hold a passage of the benchmark.
+
+    Of different texts that share an id only those that hold one go. An empty table stays empty.
+    """
+    named = _named(docs)
+    marks = mark_leaks(_dossiers(named), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(named, marks.filter("contaminated"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,14 +37,15 @@ def fit_quality(
     """Weights of a classifier for ``labels.good`` (1 or 0), the last one for the constant term.
 
     ``dossiers``: ``recipe_id`` and ``text``; ``labels``: ``recipe_id`` and ``good``. Labels without an id or value are left out, of several for one id the smallest
-    counts. Of more than ``max_examples`` labelled ids those with the smallest hash are taken; that bounds the
+    counts, of several texts the one with the smallest hash, so an example is one id. Of more than ``max_examples`` labelled ids those with the smallest hash are taken; that bounds the
     rows that are broadcast and the one training task. Without examples all weights are 0 and all scores 0.5.
     """
     known = labels.select(F.col("recipe_id").cast("long"), F.col("good").cast("int")).dropna()
     known = known.groupBy("recipe_id").agg(F.min("good").alias("good"))
     sample = known.orderBy(F.xxhash64("recipe_id"), "recipe_id").limit(max_examples)
     texts = dossiers.select(F.col("recipe_id").cast("long"), F.col("text").cast("string"))
-    chosen = texts.join(F.broadcast(sample), "recipe_id").select("recipe_id", "good", "text")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text")
+    chosen = texts.join(F.broadcast(sample), "recipe_id").groupBy("recipe_id").agg(F.first("good").alias("good"), one)
     features = chosen.mapInArrow(partial(_features, bits), _FEATURES)
 
     def learn(table):

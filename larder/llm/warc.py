@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.skew import with_group
@@ -64,11 +64,15 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0, chunk_bytes: int = CHU
     return decided.select("page_id", "source_url", "refers_to", "html").mapInArrow(partial(_write, chunk_bytes), CHUNKS)
 
 
-def read_archive(chunks: DataFrame) -> DataFrame:
-    """One row per record of :func:`archive_pages`; a payload that does not match its digest or length stops the job.
+def read_archive(chunks: DataFrame, records: int | None = None) -> DataFrame:
+    """One row per record of :func:`archive_pages`.
 
-    Records of one chunk are read where they lie, only the chunks of longer ones are brought together, in order.
+    A payload that does not match its digest or length, or a record without one of its chunks, stops the job; with ``records``, the number
+    that the archive must hold, so does a record that is missing as a whole. Records of one chunk are read where they lie, only the
+    chunks of longer ones are brought together, in order.
     """
+    if records is not None and (held := chunks.filter("last").count()) != records:
+        raise ValueError(f"the archive holds {held} records instead of {records}")
     single = chunks.filter("chunk_no = 0 and last")
     longer = chunks.filter("not (chunk_no = 0 and last)").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
     return single.mapInArrow(_read, RECORDS).unionByName(longer.mapInArrow(_read, RECORDS))
@@ -82,8 +86,16 @@ def archived_pages(pages: DataFrame, least_bytes: int = 0, chunk_bytes: int = CH
     """
     spark = pages.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    archive_pages(pages, least_bytes, chunk_bytes).write.parquet(folder, compression="zstd")
-    return read_archive(spark.read.schema(CHUNKS).parquet(folder))
+    archive_pages(pages, least_bytes, chunk_bytes).write.parquet(f"{folder}/chunks", compression="zstd")
+    # the number of records is part of the archive
+    spark.createDataFrame([(pages.count(),)], "records long").coalesce(1).write.parquet(f"{folder}/count")
+    return open_archive(spark, folder)
+
+
+def open_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of an archive that :func:`archived_pages` wrote, checked against the number kept with it."""
+    records = spark.read.schema("records long").parquet(f"{folder}/count").first()["records"]
+    return read_archive(spark.read.schema(CHUNKS).parquet(f"{folder}/chunks"), records)
 
 
 def _escaped(address: str) -> str:
@@ -200,3 +212,5 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
             )
         yield _batch(rows, _ARROW_RECORDS)
+    if due:
+        raise ValueError(f"record {fields['WARC-Record-ID']}: its last chunk is missing")

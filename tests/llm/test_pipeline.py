@@ -78,3 +78,17 @@ def test_odd_rows_pass_all_stages(spark, tmp_path):
                 assert docs.select(more).distinct().count() == (1 if given else 0)
             docs = spark.createDataFrame(docs.collect(), docs.schema)
         assert {r.doc_id for r in docs.collect()} == ({1, 2, 3, 4, None} if given else set())
+
+
+def test_rows_that_share_an_id_are_judged_each_by_itself(spark, tmp_path):
+    words = lambda tag, n=40: " ".join(f"{tag}{k}" for k in range(n))
+    rows = [(1, words("leck"), "en", "s", 1), (1, words("sauber"), "en", "s", 1), (2, words("kopie"), "en", "s", 1), (2, words("eigen"), "en", "s", 1)]
+    rows += [(0, words("kopie"), "en", "s", 1), (None, words("leck"), "en", "s", 1), (None, words("ohne"), "en", "s", 1), (3, words("frei"), "en", "s", 1)]
+    folder = str(tmp_path)
+    spark.createDataFrame([(9, words("leck", 15))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    left = {(r.doc_id, r.text.split()[0]) for r in P.decontaminate(spark, docs, folder).collect()}
+    assert left == {(i, t.split()[0]) for i, t, *_ in rows if not t.startswith("leck")}
+    # the copy with the lesser id stays, and every other text of the shared id
+    left = sorted(((r.doc_id, r.text.split()[0]) for r in P.near_duplicates(spark, docs, folder).collect()), key=repr)
+    assert left == sorted({(0, "kopie0"), (1, "leck0"), (1, "sauber0"), (2, "eigen0"), (3, "frei0"), (None, "ohne0")}, key=repr)

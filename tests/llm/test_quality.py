@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from larder.llm.quality import fit_quality, keep_good, score_quality
 
@@ -51,3 +52,11 @@ def test_without_labels_all_scores_are_even(spark):
     labels = spark.createDataFrame([], LABELS)
     assert [r.score for r in score_quality(docs, fit_quality(docs, labels)).collect()] == [0.5, 0.5]
     assert score_quality(docs.limit(0), fit_quality(docs.limit(0), labels)).count() == 0
+
+
+def test_copies_of_an_id_count_as_one_example(spark):
+    others = spark.createDataFrame([(8, "GROB !!"), (9, "nett")], DOCS)
+    copies = spark.range(0, 3000).selectExpr("7L as recipe_id", "concat('x ', id % 3) as text")
+    labels = spark.createDataFrame([(7, 1), (8, 0), (9, 1)], LABELS)
+    one = copies.orderBy(F.xxhash64("text")).limit(1)
+    assert np.array_equal(fit_quality(copies.unionByName(others), labels), fit_quality(one.unionByName(others), labels))

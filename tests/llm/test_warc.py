@@ -61,3 +61,15 @@ def test_damage_is_noticed(spark):
     for broken in (chunks.filter("chunk_no != 4"), chunks.selectExpr("record_id", "chunk_no", "last", "header", "reverse(content) as content", "sha1")):
         with pytest.raises(PythonException):
             read_archive(broken).collect()
+
+
+def test_missing_ends_and_records_are_noticed(spark):
+    pages = spark.createDataFrame([(3, "http://c.ch/", BIG), (4, "http://d.ch/", "kurz"), (5, "http://e.ch/", BIG[1:])], PAGES)
+    chunks = archive_pages(pages, chunk_bytes=1000)
+    long = "record_id like '%page:3:%'"
+    for broken in (chunks.filter(f"not ({long} and last)"), chunks.filter(f"not ({long} and chunk_no = 0)"), chunks.filter(f"{long} and not last")):
+        with pytest.raises(PythonException):
+            read_archive(broken).collect()
+    assert read_archive(chunks, 3).count() == 3
+    with pytest.raises(ValueError):
+        read_archive(chunks.filter("record_id not like '%page:4:%'"), 3)
