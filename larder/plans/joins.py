@@ -1,8 +1,7 @@
 """Join and ordering building blocks that hold when one key owns a large share of all rows.
 
-* ``join_dimension`` - fact to dimension lookup. The dimension is broadcast only after its row
-  count has been checked; beyond the bound the join is salted, so that one hot key is spread
-  over many tasks.
+* ``join_dimension`` - fact to dimension lookup. The dimension is broadcast only after its rows
+  and bytes have been checked; beyond the bound the rows of hot keys are joined apart from all others.
 * ``group_ordinals`` / ``dense_ids`` - row numbers without a window over the whole group: rows
   are range-partitioned by the full ordering, so a hot group is split over many tasks and only
   per-partition counts are combined.
@@ -18,12 +17,26 @@ from pyspark.sql import functions as F
 from larder.session import ensure_checkpoint_dir
 
 MAX_BROADCAST_ROWS = 200_000
-DEFAULT_SALTS = 32
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Count the rows (for a Parquet table Spark answers from the footers) and compare with the bound."""
-    return df.count() <= max_rows
+MAX_BROADCAST_BYTES = 64 << 20
+#: A key is hot with at least so many rows; of more hot keys than that the largest are set apart. So no other key holds a thousandth of all rows.
+HOT_ROWS, HOT_KEYS = 100_000, 1_000
+_WIDTH = 16
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Count the rows (for a Parquet table Spark answers from the footers), then the bytes of few enough rows, and compare with the bounds."""
+    rows = df.count()
+    if rows > max_rows:
+        return False
+    wide = [f for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    nested = [f for f in df.schema.fields if f.dataType.simpleString().startswith(("array", "map", "struct", "variant"))]
+    sizes = [F.octet_length(F.col(f"`{f.name}`")) for f in wide] + [F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))) for f in nested]
+    fixed = rows * _WIDTH * max(1, len(df.columns))
+    if not sizes or rows == 0:
+        return fixed <= max_bytes
+    named = df.select(*[size.cast("long").alias(f"s{k}") for k, size in enumerate(sizes)])
+    measured = named.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in named.columns]).first()
+    return fixed + sum(measured) <= max_bytes
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -39,7 +52,6 @@ def join_dimension(
     how: str = "inner",
     *,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-    salts: int = DEFAULT_SALTS,
     fits: bool | None = None,
 ) -> DataFrame:
     """Join a large fact table to a dimension with unique keys; supports inner, left, left_semi, left_anti.
@@ -49,32 +61,30 @@ def join_dimension(
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(dimension, max_broadcast_rows) if fits is None else fits:
         return fact.join(F.broadcast(dimension), keys, how)
-    return salted_join(fact, dimension, keys, how, salts=salts)
+    return split_join(fact, dimension, keys, how)
 
 
-def salted_join(
-    fact: DataFrame,
-    dimension: DataFrame,
-    keys: Sequence[str],
-    how: str = "inner",
-    *,
-    salts: int = DEFAULT_SALTS,
-    salt_by: Sequence[str] | None = None,
+def split_join(
+    fact: DataFrame, dimension: DataFrame, keys: Sequence[str], how: str = "inner", *, hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS
 ) -> DataFrame:
-    """Shuffle join with every key spread over ``salts`` buckets.
+    """Shuffle join of a fact table with a dimension of unique keys, for inner, left, left_semi and left_anti, any key of which may be hot.
 
-    The salt is a hash of the fact row's own columns (``salt_by``, or all): a task that is run again
-    after an executor was lost puts each row into the same bucket.
+    Keys are counted (partly in each task), and those that hold many rows set apart: of the dimension only their rows, ``hot_keys`` at most, are
+    broadcast, so their fact rows are not shuffled at all, however alike they are. Rows with a null key never match and are not shuffled either.
+    Of what is left no key holds more than its share of rows. Nothing is repeated, and a task that is run again does the same.
     """
-    columns = [F.col(f"`{name}`") for name in salt_by or fact.columns if _hashable(fact, name)]
-    salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int"))
-    salted_dimension = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_fact.join(salted_dimension, [*keys, "_salt"], how).drop("_salt")
-
-
-def _hashable(df: DataFrame, name: str) -> bool:
-    kind = df.schema[name].dataType.simpleString()
-    return "map<" not in kind and "variant" not in kind
+    keys = list(keys)
+    empty = F.lit(False)
+    for key in keys:
+        empty = empty | F.col(f"`{key}`").isNull()
+    named = fact.filter(~empty)
+    counts = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= hot_rows)
+    hot = F.broadcast(counts.orderBy(F.desc("_rows"), *keys).limit(hot_keys).select(*keys))
+    few = F.broadcast(dimension.join(hot, keys, "left_semi"))
+    joined = named.join(hot, keys, "left_anti").join(dimension, keys, how).union(named.join(hot, keys, "left_semi").join(few, keys, how))
+    if how in ("inner", "left_semi"):
+        return joined
+    return joined.union(fact.filter(empty).join(F.broadcast(dimension.limit(0)), keys, how))
 
 
 def _range_positions(df: DataFrame, order: Sequence[Column]) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larder.plans.joins import dense_ids, group_ordinals, join_dimension, salted_join, spread
+from larder.plans.joins import dense_ids, fits_broadcast, group_ordinals, join_dimension, split_join, spread
 
 
 @pytest.fixture(scope="module")
@@ -20,16 +20,42 @@ def dimension(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(fact, dimension, how):
+def test_split_join_equals_plain_join(fact, dimension, how):
     want = sorted(map(str, fact.join(dimension, "k", how).collect()))
-    assert sorted(map(str, salted_join(fact, dimension, ["k"], how, salts=5).collect())) == want
+    for bounds in ({}, {"hot_rows": 70}, {"hot_rows": 70, "hot_keys": 1}, {"hot_rows": 1}):
+        assert sorted(map(str, split_join(fact, dimension, ["k"], how, **bounds).collect())) == want
     assert sorted(map(str, join_dimension(fact, dimension, "k", how, max_broadcast_rows=3).collect())) == want
     assert sorted(map(str, join_dimension(fact, dimension, "k", how).collect())) == want
 
 
-def test_large_dimension_is_not_broadcast(fact, dimension):
+def test_large_dimension_is_not_broadcast_and_nothing_is_repeated(fact, dimension):
     plan = join_dimension(fact, dimension, "k", "left", max_broadcast_rows=3)._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" not in plan and "_salt" in plan
+    assert "explode" not in plan.lower() and "Generate" not in plan
+    # of the dimension only the rows of hot keys are broadcast
+    assert plan.count("strategy=broadcast") >= 2 and "Join LeftSemi" in plan
+
+
+def test_equal_rows_of_a_hot_key_are_not_shuffled(spark, dimension):
+    # two thirds of all rows are one row, and a sixth has no key
+    rows = spark.range(0, 60_000, 1, 6).select(
+        F.when(F.col("id") % 6 < 4, 7).when(F.col("id") % 6 == 4, F.lit(None)).otherwise(F.col("id") % 29).cast("int").alias("k"), F.lit("same").alias("v")
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = split_join(rows, dimension, ["k"], "left", hot_rows=5_000)
+        sizes = joined.select("k", F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        by_key = {r.k: (r["count"], r.names) for r in joined.groupBy("k").agg(F.count("*").alias("count"), F.collect_set("name").alias("names")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # the hot rows stay where they were read: six tasks of about the same size
+    assert max(r["count"] for r in sizes) < 60_000 / 6 and by_key[7][0] >= 40_000 and by_key[7][1] == ["n7"] and by_key[None] == (10_000, [])
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    narrow = spark.range(100)
+    wide = narrow.select("id", F.repeat(F.lit("x"), 1000).alias("text"), F.array(F.lit("y" * 100)).alias("parts"))
+    assert fits_broadcast(narrow, 100, 10_000) and not fits_broadcast(narrow, 99)
+    assert not fits_broadcast(wide, 100, 100_000) and fits_broadcast(wide, 100, 200_000) and fits_broadcast(wide.limit(0), 0, 0)
 
 
 def test_group_ordinals_of_a_hot_group(fact):
