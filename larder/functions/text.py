@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 _BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
-# Letters that decompose: Latin-1 Supplement to Latin Extended-B, Latin Extended Additional.
-_FOLDED_RANGES = ((0x00A0, 0x0250), (0x1E00, 0x1F00), (0x2000, 0x2070), (0xFF01, 0xFF5F))
-_COMBINING_RANGE = (0x0300, 0x0370)
-# Characters whose decomposition is longer than one character.
-_EXPANDED = "¼½¾⅓⅔⅕⅖⅗⅘⅙⅚⅛⅜⅝⅞ĲĳĿŀŉǄǅǆǇǈǉǊǋǌǱǲǳẚﬀﬁﬂﬃﬄ…"
+_LAST = 0x110000
+_SURROGATES = range(0xD800, 0xE000)
+# Below this most letters of Latin texts lie; only single characters are looked for there.
+_LATIN = 0x0250
+# Hangul syllables decompose by arithmetic: 19 leading and 21 middle letters, and 27 closing ones or none.
+_HANGUL = range(0xAC00, 0xD7A4)
+_LEADS, _VOWELS, _TAILS = (list(map(chr, range(low, low + n))) for low, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
 
 
 def _fold(text: str) -> str:
@@ -24,27 +26,63 @@ def _fold(text: str) -> str:
 
 
 @cache
-def _fold_tables() -> tuple[str, str]:
-    source, target = [], []
-    for low, high in _FOLDED_RANGES:
-        for code in range(low, high):
-            char = chr(code)
-            folded = _fold(char)
-            if folded != char and len(folded) == 1:
-                source.append(char)
-                target.append(folded)
-    removed = [chr(code) for code in range(*_COMBINING_RANGE) if unicodedata.combining(chr(code))]
-    return "".join(source + removed), "".join(target)
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Characters that become one other (the first string, in pairs with the second) or none (the rest of the first), and those that become several."""
+    source, target, removed, several = [], [], [], {}
+    for code in range(_LAST):
+        char = chr(code)
+        if code in _SURROGATES or code in _HANGUL:
+            continue
+        folded = _fold(char)
+        if folded == char:
+            continue
+        if len(folded) == 1:
+            source.append(char)
+            target.append(folded)
+        elif folded:
+            several[char] = folded
+        else:
+            removed.append(char)
+    return "".join(source + removed), "".join(target), several
+
+
+def _ranges(codes: Sequence[int]) -> str:
+    """A character class of the given code points."""
+    out, low = [], None
+    for k, code in enumerate(codes):
+        low = code if low is None else low
+        if k + 1 == len(codes) or codes[k + 1] != code + 1:
+            out.append(rf"\x{{{low:X}}}-\x{{{code:X}}}")
+            low = None
+    return f"[{''.join(out)}]"
+
+
+def _expanded(text: Column) -> Column:
+    """Each character that decomposes to several replaced by these; those of one text are looked up once each."""
+    several = _fold_tables()[2]
+    names, values = "".join(several), F.split(F.lit("\x00".join(several.values())), "\x00")
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_ranges(sorted(map(ord, several)))), 0))
+    plain = F.aggregate(found, text, lambda acc, c: F.replace(acc, c, F.get(values, F.instr(F.lit(names), c) - 1)))
+
+    def syllable(c: Column) -> Column:
+        n = F.ascii(c) - _HANGUL.start
+        letter = lambda letters, at: F.get(F.split(F.lit(",".join(letters)), ","), at.cast("int"))
+        parts = F.concat(letter(_LEADS, F.floor(n / 588)), letter(_VOWELS, F.floor(n % 588 / 28)), letter(["", *_TAILS], n % 28))
+        return F.when(n.between(0, len(_HANGUL) - 1), parts).otherwise(c)
+
+    def without_syllables(t: Column) -> Column:
+        parts = F.transform(F.regexp_extract_all(t, F.lit("(?s)."), 0), syllable)
+        return F.when(t.rlike(_ranges(_HANGUL)), F.array_join(parts, "")).otherwise(t)
+
+    return let(plain, without_syllables)
 
 
 def strip_accents(text: Column) -> Column:
-    """Compatibility-decompose Latin text and drop combining marks (``Crème`` -> ``Creme``)."""
-    source, target = _fold_tables()
-    expanded = text
-    for char in _EXPANDED:
-        expanded = F.replace(expanded, F.lit(char), F.lit(_fold(char)))
-    rare = text.rlike(f"[{_EXPANDED}]")
-    return F.translate(F.when(rare, expanded).otherwise(text), source, target)
+    """Decompose by compatibility and drop combining marks, for all scripts (``Crème`` -> ``Creme``, ``ά`` -> ``α``)."""
+    source, target, several = _fold_tables()
+    low = [ord(c) for c in several if ord(c) < _LATIN]
+    rare = text.rlike(_ranges([*low, *range(_LATIN, _LAST)]))
+    return F.translate(F.when(rare, let(text, _expanded)).otherwise(text), source, target)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -27,6 +27,21 @@ def test_strip_accents_agrees_with_unicode_tables(spark):
     assert differing == [c for c in differing if len(unicodedata.normalize("NFKD", c)) > 1 and not c.isalnum()]
 
 
+def test_strip_accents_equals_nfkd_on_all_code_points(spark):
+    fold = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    blocks = [[chr(c) for c in codes[k : k + 512]] for k in range(0, len(codes), 512)]
+    got = values(spark, ["|".join(b) for b in blocks], X.strip_accents)
+    wrong = [hex(ord(b[0])) for b, g in zip(blocks, got, strict=True) if g != "|".join(map(fold, b))]
+    assert wrong == []
+
+
+def test_strip_accents_of_mixed_texts(spark):
+    texts = ["ά ελλάδα й ｶﾞ", "한국어 각 😀é", "ﷺ ﬁn ½", "e\u0301\u0323", "", None]
+    want = [None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for t in texts]
+    assert values(spark, texts, X.strip_accents) == want
+
+
 def test_tag_slug(spark):
     assert values(spark, ["Für Gäste", "Brunch & Frühstück", " -x- "], X.tag_slug) == [
         "für-gäste", "brunch-frühstück", "x",
