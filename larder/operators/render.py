@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import strip
-from larder.plans.joins import group_ordinals, join_dimension
+from larder.plans.joins import join_dimension
 
 # Section names and header labels in output order.
 SECTIONS = ["title", "description", "metadata", "source", "ingredients", "steps", "notes", "cook log"]
@@ -21,6 +21,8 @@ METADATA_FIELDS = [
 ]
 SOURCE_FIELDS = [("URL", "source_url"), ("External ID", "source_external_id"), ("Source ID", "source_id")]
 SECTION_HEADER = r"(?m)^##\s+(.+)$"
+#: Lines of a recipe that are compared with each other in one task.
+CHUNK_LINES = 4_096
 
 
 def _field_line(df: DataFrame, label: str, column: str):
@@ -61,20 +63,22 @@ def _ingredient_text():
 def dossier_lines(recipes: DataFrame, recipe_ingredients: DataFrame, recipe_steps: DataFrame) -> DataFrame:
     """``(recipe_id, section, seq, sub, line)``: every line of every dossier, sortable by those columns.
 
-    A group label becomes a bold line wherever it changes. Labelled lines are numbered and compared
-    with their predecessor by a join, so no task needs a whole recipe.
+    A group label becomes a bold line wherever it changes. Lines are compared with their predecessor in chunks of a recipe, and the
+    first of a chunk with the last of the chunk before, so no task needs a whole recipe and nothing is sorted as a whole.
     """
-    labelled = group_ordinals(
-        recipe_ingredients.filter("group_label is not null and group_label != ''").select(
-            "recipe_id", "seq", F.col("group_label").alias("label")
-        ),
-        ["recipe_id"],
-        [F.col("seq"), F.col("label")],
-        "n",
+    labelled = recipe_ingredients.filter("group_label is not null and group_label != ''").select(
+        "recipe_id", "seq", F.col("group_label").alias("label"), F.expr(f"seq div {CHUNK_LINES}").alias("chunk")
     )
-    previous = labelled.select("recipe_id", (F.col("n") + 1).alias("n"), F.col("label").alias("before"))
+    within = Window.partitionBy("recipe_id", "chunk").orderBy("seq", "label")
+    labelled = labelled.withColumn("n", F.row_number().over(within)).withColumn("previous", F.lag("label").over(within))
+    ends = labelled.groupBy("recipe_id", "chunk").agg(F.max_by("label", F.struct("seq", "label")).alias("last"))
+    chunks = Window.partitionBy("recipe_id").orderBy("chunk")
+    # a row per chunk; only those behind another one are joined
+    carried = ends.withColumn("carried", F.lag("last").over(chunks)).filter("carried is not null").select("recipe_id", "chunk", "carried")
+    first = labelled.filter("n = 1").join(carried, ["recipe_id", "chunk"], "left").withColumn("before", F.col("carried")).drop("carried")
+    others = labelled.filter("n > 1").withColumn("before", F.col("previous"))
     heads = (
-        labelled.join(previous, ["recipe_id", "n"], "left")
+        first.unionByName(others)
         .filter("before is null or before != label")
         .select(
             "recipe_id",
@@ -138,19 +142,26 @@ def dossier_lines(recipes: DataFrame, recipe_ingredients: DataFrame, recipe_step
 def dossier_documents(lines: DataFrame, lines_per_part: int = 5_000) -> DataFrame:
     """``(recipe_id, part, text)``: dossiers as text, sections apart by an empty line.
 
-    A dossier longer than ``lines_per_part`` continues in further parts (joining the parts with a
-    line break gives the whole text), so no row and no task has to hold a huge recipe.
+    A dossier longer than ``lines_per_part`` continues in further parts (joining the parts with a line break gives the whole text), so
+    no row and no task has to hold a huge recipe. Where a part begins follows from counts of lines per section and run of ``seq``:
+    a part is about that long, and the lines are shuffled once and not sorted as a whole. A dossier begins in section 0.
     """
-    order = [F.col(c) for c in ("section", "seq", "sub", "line")]
-    numbered = group_ordinals(lines, ["recipe_id"], order, "n").withColumn(
-        "part", F.floor((F.col("n") - 1) / lines_per_part)
-    )
+    chunk = F.expr(f"seq div {int(lines_per_part)}").alias("chunk")
+    counts = lines.groupBy("recipe_id", "section", chunk).agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.groupBy("recipe_id").agg(F.sum("n").alias("total"))
+    # rows for the chunks of long dossiers only; all other dossiers are one part
+    long = counts.join(whole.filter(F.col("total") > lines_per_part).select("recipe_id"), "recipe_id", "left_semi")
+    before = Window.partitionBy("recipe_id").orderBy("section", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / lines_per_part).cast("long")
+    placed = long.select("recipe_id", "section", "chunk", part.alias("part"))
+    dealt = join_dimension(lines.withColumn("chunk", chunk), placed, ["recipe_id", "section", "chunk"], "left")
     # The first line of a section has seq 0; an empty line sets it apart from what is before it.
-    opens = (F.col("seq") == 0) & (F.col("n") > 1)
+    opens = (F.col("seq") == 0) & (F.col("section") > 0)
     piece = F.when(opens, F.concat(F.lit("\n"), F.col("line"))).otherwise(F.col("line"))
+    row = F.struct("section", "seq", "sub", "line", piece.alias("piece"))
     return (
-        numbered.groupBy("recipe_id", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("n", piece.alias("piece")))).alias("p"))
+        dealt.groupBy("recipe_id", F.coalesce("part", F.lit(0)).cast("long").alias("part"))
+        .agg(F.array_sort(F.collect_list(row)).alias("p"))
         .select("recipe_id", "part", F.array_join(F.transform("p", lambda x: x["piece"]), "\n").alias("text"))
     )
 
