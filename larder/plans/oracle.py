@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from larder.schemas import SCHEMAS
+from larder.sources import sitemaps as SM
+
 _RECIPES = """recipes as (
   select o_orderkey as id, cast(o_custkey % 5 + 1 as int) as source_id, cast(o_custkey as varchar) as source_external_id,
     'https://shop.example.org/de/rezepte/' || o_orderkey as source_url,
@@ -185,6 +188,7 @@ x as (select fresh.*, ware_id, {_COURSE} as course, {_CUISINE.format(", case whe
 
 
 def statements() -> dict[str, str]:
+    names = "(select p_name, min(p_partkey) as id from part group by p_name)"
     decided = _DECIDED.format(language="lang not in ('de', 'en', 'fr')")
     decided_all = _DECIDED.format(language="false")
     line_cte = """l as (
@@ -533,6 +537,45 @@ select id, source_id, case when o % 9 = 0 then 'japanische-suppe-' else 'teller-
 select id as recipe_id, 1 as seq, null as ingredient_id, 2 as quantity, 'EL' as unit, '2 EL Sojasauce' as raw_text from x
 union all select id, 2, null, [1, 200, null][second + 1], ['Stück', 'g', null][second + 1], ['1 Stück Ingwer', '200 g Linsen', 'Wasser'][second + 1] from x
 union all select id, 3, ware_id, 200, 'g', case when ware % 3 = 0 then '200 g Sonderware ' else '200 g Ware ' end || ware from x""",
+        "document_steps": """select doc_id as recipe_id, i as step_no, sha256(x[i]) as text, null as image_url
+from (select doc_id, string_split(text, chr(10)) as x from documents), unnest(range(1, len(x) + 1)) t(i)""",
+        "document_images": """select doc_id as recipe_id, i as seq, 'https://img.example.org/' || doc_id || '/' || (i - 1) as url, null as local_path, sha256(c[i]) as caption
+from (select doc_id, string_split(text, chr(10)) as x, string_split(text, '.') as c from documents), unnest(range(1, len(x) + 1)) t(i)""",
+        "french_names": f"""with c as {names},
+n as (select case l_linenumber when 1 then 'une pincée de ' || p_name when 2 then 'un peu d' || chr(39) || upper(p_name[1]) || substr(split_part(p_name, ' ', 1), 2) || ' '
+      || upper(split_part(p_name, ' ', 2)[1]) || substr(split_part(p_name, ' ', 2), 2)
+    when 3 then 'quelques ' || p_name || 's' when 4 then '200 g ' || upper(p_name) when 5 then 'de la ' || p_name || ', coupé fin'
+    when 6 then 'Bio-' || replace(p_name, ' ', '-') else 'sans ' || p_name end as ingredient, p_name, l_linenumber <= 6 as sold
+  from lineitem join part on l_partkey = p_partkey)
+select ingredient, count(*) as n, case when sold then replace(p_name, ' ', '-') end as key, case when sold then any_value(c.id) end as id
+from n join c using (p_name) group by ingredient, sold, p_name""",
+        "hyphen_names": f"""with c as {names},
+n as (select distinct upper(p_type[1]) || lower(substr(p_type, 2)) || '-' || p_name || case when p_size % 2 = 0 then 'en' else '' end as name, p_name from part)
+select name, replace(p_name, ' ', '-') as key, id from n join c using (p_name)""",
+        "duration_texts": """with t as (select o_orderkey, cast(floor(o_totalprice % 7) as int) as h, day(o_orderdate) as m, left(o_orderpriority, 1) as p from orders)
+select o_orderkey, case p when '1' then 'PT' || case when h > 0 then h || 'H' else '' end || m || 'M' when '2' then case when h > 0 then 'PT' || h || 'H' else '' end
+  when '3' then 'PT' || m || 'M' else '' end as iso from t""",
+        "recipe_addresses": """with s(source, pattern) as (values {rules}),
+p as (select page_id, 'https://www.example.ch' || regexp_replace(regexp_extract(url, '^[a-z]+://[^/]*(/.*)$', 1), '^/(de|fr)/', '/\\1/rezepte/') as a from pages)
+select page_id, source, regexp_matches(a, pattern) as is_recipe, case when contains(a, '/fr/') then 'fr' when source in ({italian}) and contains(a, '/it/') then 'it' else 'de' end as language
+from p, s""".format(
+            rules=", ".join(f"('{r.key}', '{r.url_pattern}')" for r in SM.enabled_sources(disabled=("schweizerfleisch",))),
+            italian=", ".join(f"'{r.key}'" for r in SM.SOURCES if ("/it/", "it") in r.languages) or "''",
+        ),
+        "picture_addresses": """select page_id, url as first, 'https://img.example.ch' || regexp_extract(url, '^[a-z]+://[^/]*(/.*)$', 1) as whole, url as same from pages""",
+        "props_records": """with l as (select doc_id, source, lang, string_split(text, chr(10)) as x from documents),
+i as (select *, flatten(list_transform(x, lambda v: string_split(v, '.'))) as items from l)
+select doc_id, source as title, '4 Portionen' as yield_amount, len(x) as n_groups, len(items) as n_items, lang as labels,
+  sha256(array_to_string(list_transform(items, lambda v: '2dl' || regexp_replace(v, '\\s+', '', 'g')), '|')) as items from i""",
+        "completed_records": """select doc_id, case when lang = 'en' then 'own' else 'Schnell|' || lang end as keywords, source as category, 'italian' as cuisine, '' as difficulty,
+  lang || '|' || source as image_captions, len(string_split(text, chr(10))) as n_lines, case when trim(split_part(regexp_replace(text, '[<>&]', ' ', 'g'), chr(10), 1)) <> '' then 'Teig' else '' end as labels
+from documents""",
+        "stored_tables": """select "table", case "table" when 'recipes' then (select count(*) from orders) when 'recipe_steps' then 2 * (select count(*) from orders)
+  when 'recipe_ingredients' then (select count(*) from lineitem) when 'sources' then 5 else 0 end as rows
+from unnest({tables}) t("table")""".format(tables=sorted(SCHEMAS)),
+        "folder_checks": """select 'recipe_steps_fk' as "check", count(*) as n from customer having count(*) > 0
+union all select 'duplicate_recipes', count(*) from (select o_custkey from orders group by o_custkey having count(*) > 1) having count(*) > 0
+union all select 'tables ok', 1 union all select 'schema_version ok', 1""",
         "page_titles": """select page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1),
   '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))) as digest from pages""",
         "page_list_items": """with i as (select page_id, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) as x from pages),

@@ -32,7 +32,19 @@ from larder.session import ensure_checkpoint_dir
 from larder.sources import pages as PG
 from larder.sources import sitemaps as SM
 from larder.sources import structured as SD
-from larder.sources.tables import conform, table_counts, with_computed_tags
+from larder.schemas import schema_for
+from larder.sources.tables import (
+    append_table,
+    conform,
+    read_table,
+    register_views,
+    seed_empty_tables,
+    seed_if_empty,
+    table_counts,
+    with_computed_tags,
+    write_fingerprint,
+    write_table,
+)
 from larder.streaming.event_stats import event_stream, read_tool_stats, start_tool_stats, windowed_tool_stats
 from larder.streaming.ingest_stream import record_stream, start_ingest
 
@@ -948,6 +960,171 @@ def ingested_lines(b: Bindings) -> DataFrame:
     return _ingested(b).recipe_ingredients.select("recipe_id", "seq", "ingredient_id", "quantity", "unit", "raw_text")
 
 
+@_query
+def document_steps(b: Bindings) -> DataFrame:
+    """Step rows of recipes whose steps are the lines of the documents."""
+    records = b.raw("documents").select(F.col("doc_id").alias("recipe_id"), F.split("text", "\n").alias("steps_raw"))
+    return I.step_rows(records).select("recipe_id", "step_no", F.sha2("text", 256).alias("text"), "image_url")
+
+
+@_query
+def document_images(b: Bindings) -> DataFrame:
+    """Image rows with an address per line and the sentences as captions, of which there may be fewer or more."""
+    address = lambda line, i: F.concat(F.lit("https://img.example.org/"), F.col("doc_id").cast("string"), F.lit("/"), i.cast("string"))
+    records = b.raw("documents").select(
+        F.col("doc_id").alias("recipe_id"), F.transform(F.split("text", "\n"), address).alias("image_urls"), F.split("text", r"\.").alias("image_captions")
+    )
+    return I.image_rows(records).select("recipe_id", "seq", "url", "local_path", F.sha2("caption", 256).alias("caption"))
+
+
+@_query
+def french_names(b: Bindings) -> DataFrame:
+    """Parts under French names: with measures, articles, elisions, quantities, plurals and hyphens, and some that nobody sells."""
+    line = F.col("l_linenumber")
+    name = (
+        F.when(line == 1, F.concat(F.lit("une pincée de "), "p_name"))
+        .when(line == 2, F.concat(F.lit("un peu d'"), F.initcap("p_name")))
+        .when(line == 3, F.concat(F.lit("quelques "), "p_name", F.lit("s")))
+        .when(line == 4, F.concat(F.lit("200 g "), F.upper("p_name")))
+        .when(line == 5, F.concat(F.lit("de la "), "p_name", F.lit(", coupé fin")))
+        .when(line == 6, F.concat(F.lit("Bio-"), F.replace("p_name", F.lit(" "), F.lit("-"))))
+        .otherwise(F.concat(F.lit("sans "), "p_name"))
+    )
+    names = b.raw("lineitem").join(b.raw("part"), F.col("l_partkey") == F.col("p_partkey")).select("l_linenumber", "p_name", name.alias("ingredient"))
+    found = N.resolve_names(names, N.alias_index(_name_catalogue(b)))
+    counts = names.groupBy("ingredient").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(found, counts["ingredient"] == found["name"]).select("ingredient", "n", "key", "id")
+
+
+@_query
+def hyphen_names(b: Bindings) -> DataFrame:
+    """Names whose last part behind a hyphen is in the catalogue, as it is or in the plural."""
+    names = b.raw("part").select(F.concat(F.initcap("p_type"), F.lit("-"), "p_name", F.when(F.col("p_size") % 2 == 0, "en").otherwise("")).alias("ingredient"))
+    return N.resolve_names(names, N.alias_index(_name_catalogue(b)))
+
+
+@_query
+def duration_texts(b: Bindings) -> DataFrame:
+    """Durations in German and French, written from prices and dates of the orders, as ISO-8601."""
+    hours, minutes = F.floor(F.col("o_totalprice") % 7).cast("int"), F.dayofmonth("o_orderdate")
+    shown = (
+        F.when(F.col("o_orderpriority").startswith("1"), F.concat(hours.cast("string"), F.lit(" Std. "), minutes.cast("string"), F.lit(" Min.")))
+        .when(F.col("o_orderpriority").startswith("2"), F.concat(hours.cast("string"), F.lit(" heures")))
+        .when(F.col("o_orderpriority").startswith("3"), F.concat(F.lit("ca. "), minutes.cast("string"), F.lit(" minutes")))
+        .otherwise(F.lower("o_orderpriority"))
+    )
+    return b.raw("orders").select("o_orderkey", D.text_to_iso(shown).alias("iso"))
+
+
+@_query
+def recipe_addresses(b: Bindings) -> DataFrame:
+    """Which addresses look like recipe pages of a source, for the paths of all pages under each source's own rule."""
+    sources = F.explode(F.array(*[F.lit(s.key) for s in SM.enabled_sources(disabled=("schweizerfleisch",))])).alias("source")
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]*(/.*)$", 1)
+    pages = b.raw("pages").select("page_id", sources, F.regexp_replace(path, "^/(de|fr)/", "/$1/rezepte/").alias("path"))
+    address = F.concat(F.lit("https://www.example.ch"), "path")
+    return pages.select("page_id", "source", SM.is_recipe_url(address, F.col("source")).alias("is_recipe"), SM.detect_language(address, F.col("source")).alias("language"))
+
+
+@_query
+def picture_addresses(b: Bindings) -> DataFrame:
+    """The first address of a source set, and root-relative addresses with their site."""
+    url = F.col("url")
+    pages = b.raw("pages").select(
+        "page_id", F.concat(url, F.lit(" 1x,"), url, F.lit("-large 2x")).alias("srcset"), F.regexp_extract(url, r"^[a-z]+://[^/]*(/.*)$", 1).alias("path"), "url"
+    )
+    return pages.select(
+        "page_id", U.first_srcset_url(F.col("srcset")).alias("first"), U.absolute_url(F.col("path"), "https://img.example.ch").alias("whole"),
+        U.absolute_url(url, "https://img.example.ch").alias("same"),
+    )
+
+
+def _props_pages(b: Bindings) -> DataFrame:
+    """Pages whose component props list a group per line of the documents, and an ingredient per sentence."""
+    item = lambda x: F.struct(F.struct(
+        F.lit("2").alias("amount"), F.struct(F.struct(F.lit("dl").alias("shortForm"), F.lit("Deziliter").alias("name")).alias("entity")).alias("quantity"), x.alias("title")
+    ).alias("entity"))
+    group = lambda line: F.struct(F.struct(F.col("lang").alias("title"), F.transform(F.split(line, r"\."), item).alias("ingredients")).alias("entity"))
+    props = F.to_json(F.struct(F.transform(F.split("text", "\n"), group).alias("ingredientsLists"), F.lit("4").alias("numberOfPersons")))
+    escaped = F.replace(F.replace(F.replace(F.replace(props, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    html = F.concat(
+        F.lit("<html><h1>"), F.col("source"), F.lit('</h1><div data-react-props="{}"></div><div data-react-props="'), escaped,
+        F.lit('"></div><section class="ingredients"><ul><li>3 dl anderes</li></ul></section></html>'),
+    )
+    return b.raw("documents").select("doc_id", F.lit("u").alias("url"), F.col("lang").alias("language"), html.alias("html"))
+
+
+@_query
+def props_records(b: Bindings) -> DataFrame:
+    """Records of pages that carry component props: these win over the lists in the markup."""
+    raw = PG.from_markup(_props_pages(b))
+    items = F.flatten(F.transform("ingredient_groups", lambda g: g["items"]))
+    return raw.select(
+        "doc_id", "title", "yield_amount", F.size("ingredient_groups").alias("n_groups"), F.size(items).alias("n_items"),
+        F.array_join(F.array_distinct(F.transform("ingredient_groups", lambda g: g["label"])), "|").alias("labels"),
+        F.sha2(F.array_join(F.transform(items, lambda x: F.regexp_replace(x, r"\s+", "")), "|"), 256).alias("items"),
+    )
+
+
+@_query
+def completed_records(b: Bindings) -> DataFrame:
+    """Structured records that lack keywords, category, difficulty and captions, completed from their pages; equipment is no food."""
+    text = F.regexp_replace("text", "[<>&]", " ")
+    html = F.concat(
+        F.lit('<html><head><meta name="keywords" content="Schnell, '), F.col("lang"), F.lit('"></head><body><nav class="breadcrumb"><a href="/">Home</a><a>'), F.col("source"),
+        F.lit('</a></nav><section class="ingredients"><h4>Teig</h4><ul><li>'), F.substring_index(text, "\n", 1), F.lit("</li></ul></section></body></html>"),
+    )
+    none = F.array().cast("array<string>")
+    given = b.raw("documents").select(
+        "doc_id", F.col("source").alias("title"), html.alias("html"), F.concat(F.split(text, "\n"), F.array(F.lit("1 Stück Backpapier"))).alias("ingredients_raw"),
+        F.array().cast("array<struct<label:string,items:array<string>>>").alias("ingredient_groups"), F.array("source", "lang").alias("image_urls"),
+        F.array("lang").alias("image_captions"), F.when(F.col("lang") == "en", F.array(F.lit("own"))).otherwise(none).alias("keywords"),
+        F.lit("").alias("category"), F.lit("italian").alias("cuisine"), F.lit("").alias("difficulty"),
+    )
+    done = PG.complete_with_markup(given)
+    return done.select(
+        "doc_id", _joined("keywords"), "category", "cuisine", "difficulty", _joined("image_captions"), F.size("ingredients_raw").alias("n_lines"),
+        F.array_join(F.transform("ingredient_groups", lambda g: g["label"]), "|").alias("labels"),
+    )
+
+
+def _stored_folder(b: Bindings) -> str:
+    """A data folder with the recipes, their steps and lines, written in two goes; all other tables are seeded empty."""
+    folder = f"{ensure_checkpoint_dir(b.spark)}/folder-{uuid.uuid4().hex}"
+    recipes = b.recipes().select("id", "title", "language", "source_id", "source_external_id", "total_minutes", "status")
+    write_table(recipes.filter("language = 'de'"), folder, "recipes")
+    append_table(recipes.filter("language != 'de'"), folder, "recipes")
+    write_table(b.recipe_steps(), folder, "recipe_steps")
+    write_table(b.recipe_ingredients().select("recipe_id", "seq", "raw_text"), folder, "recipe_ingredients")
+    seed_empty_tables(b.spark, folder)
+    seed_if_empty(SM.source_rows(b.spark), folder, "sources")
+    seed_if_empty(SM.source_rows(b.spark).limit(0), folder, "sources")
+    write_fingerprint(b.spark, folder)
+    return folder
+
+
+@_query
+def stored_tables(b: Bindings) -> DataFrame:
+    """Rows of all tables of a folder, asked through its views."""
+    folder = _stored_folder(b)
+    for view in (views := register_views(b.spark, folder)):
+        assert read_table(b.spark, folder, view).schema == schema_for(view)
+    parts = [S.run_query(b.spark, f"select '{v}' as `table`, count(*) as rows from {v}", limit=None, views=views) for v in views]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@_query
+def folder_checks(b: Bindings) -> DataFrame:
+    """What validation and the doctor say about a folder with some orphans and repeated recipes."""
+    folder = _stored_folder(b)
+    append_table(b.raw("customer").select((F.col("c_custkey") + 100_000_000).alias("recipe_id"), F.lit(1).alias("step_no"), F.col("c_name").alias("text")), folder, "recipe_steps")
+    found = Q.validate(b.spark, folder).groupBy("check").agg(F.count(F.lit(1)).alias("n"))
+    return found.unionByName(Q.doctor(b.spark, folder).groupBy(F.concat_ws(" ", "check", "severity").alias("check")).agg(F.count(F.lit(1)).alias("n")))
+
+
 # --- pages ----------------------------------------------------------------------------------------------
 
 
