@@ -45,7 +45,7 @@ from larder.sources.tables import (
     write_fingerprint,
     write_table,
 )
-from larder.streaming.event_stats import event_stream, read_tool_stats, start_tool_stats, windowed_tool_stats
+from larder.streaming.event_stats import event_stream, read_window_stats, start_window_parts
 from larder.streaming.ingest_stream import record_stream, start_ingest
 
 EVENTS_AS_OF = date(2024, 1, 31)
@@ -1274,10 +1274,10 @@ def windowed_tool_events(b: Bindings) -> DataFrame:
         "event_type <> 'error' as success",
     )
     base = f"{ensure_checkpoint_dir(b.spark)}/tool-events-{uuid.uuid4().hex}"
-    start_tool_stats(windowed_tool_stats(events, "1 day", watermark=None), f"{base}/rows", f"{base}/progress").awaitTermination()
-    return read_tool_stats(b.spark, f"{base}/rows").select(
+    start_window_parts(events, f"{base}/parts", f"{base}/progress", "1 day").awaitTermination()
+    return read_window_stats(b.spark, f"{base}/parts").select(
         F.date_from_unix_date((F.unix_seconds("window_start") / 86400).cast("int")).cast("string").alias("day"), "tool", "calls", "errors",
-        F.round(F.col("avg_ms") * F.col("calls"), 2).alias("total_ms"), "max_ms",
+        F.round("total_ms", 2).alias("total_ms"), "max_ms",
     )
 
 
