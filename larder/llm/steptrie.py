@@ -81,7 +81,7 @@ def grow_trie(
     ``ends_sha256`` (SHA-256 of the ids of the recipes that end here, ascending, with commas).
 
     A recipe without steps ends at the root. Recipes without an id and steps of unknown recipes are left out, repeated recipes count once; no recipes, no nodes.
-    The ids that end at one node are hashed one after the other, as the digest asks for, in a stream of sorted rows.
+    The ids that end at one node are hashed one after the other, as the digest asks for, in a stream of sorted pieces.
     """
     spark = recipes.sparkSession
     folder = _folder(spark)
@@ -239,28 +239,37 @@ def _common(lo: str, hi: str) -> Column:
 
 
 def _digests(ends: DataFrame) -> DataFrame:
-    """``(ends, digest)``: SHA-256 of the ids of each end, read as a stream of sorted rows."""
-    return ends.repartition("ends").sortWithinPartitions("ends", "recipe_id").mapInArrow(_hash_ids, "ends binary, digest string")
+    """``(ends, digest)``: SHA-256 of the ids of each end.
 
+    The ids are written out as pieces of text where they lie in order, over many tasks; what one task hashes in the end is a stream of pieces.
+    """
+    order = ["ends", "recipe_id"]
+    pieces = ends.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_id_texts, "ends binary, first long, ids binary")
+    return pieces.repartition("ends").sortWithinPartitions("ends", "first").mapInArrow(_hash_texts, "ends binary, digest string")
 
-def _hash_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, state = None, None
+
+def _id_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One piece per end and batch, its ids in decimal with commas."""
     for batch in batches:
         keys, ids = batch.column("ends").to_pylist(), batch.column("recipe_id").to_pylist()
-        out, digests, low = [], [], 0
-        while low < len(keys):
-            high = low + 1
-            while high < len(keys) and keys[high] == keys[low]:
-                high += 1
-            text = ",".join(map(str, ids[low:high]))
-            if keys[low] == key:
-                state.update(b"," + text.encode())
-            else:
-                if key is not None:
-                    out.append(key)
-                    digests.append(state.hexdigest())
-                key, state = keys[low], hashlib.sha256(text.encode())
-            low = high
+        starts = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]]
+        texts = [",".join(map(str, ids[a:b])).encode() for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
+        columns = [pa.array([keys[k] for k in starts], pa.binary()), pa.array([ids[k] for k in starts], pa.int64()), pa.array(texts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["ends", "first", "ids"])
+
+
+def _hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, state = None, None
+    for batch in batches:
+        out, digests = [], []
+        for end, ids in zip(batch.column("ends").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            if end == key:
+                state.update(b"," + ids)
+                continue
+            if key is not None:
+                out.append(key)
+                digests.append(state.hexdigest())
+            key, state = end, hashlib.sha256(ids)
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(digests, pa.string())], ["ends", "digest"])
     if key is not None:
         yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([state.hexdigest()], pa.string())], ["ends", "digest"])
