@@ -147,14 +147,16 @@ def dossier_documents(lines: DataFrame, lines_per_part: int = 5_000) -> DataFram
     a part is about that long, and the lines are shuffled once and not sorted as a whole. A dossier begins in section 0.
     """
     chunk = F.expr(f"seq div {int(lines_per_part)}").alias("chunk")
-    counts = lines.groupBy("recipe_id", "section", chunk).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.groupBy("recipe_id").agg(F.sum("n").alias("total"))
-    # rows for the chunks of long dossiers only; all other dossiers are one part
-    long = counts.join(whole.filter(F.col("total") > lines_per_part).select("recipe_id"), "recipe_id", "left_semi")
-    before = Window.partitionBy("recipe_id").orderBy("section", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    part = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / lines_per_part).cast("long")
-    placed = long.select("recipe_id", "section", "chunk", part.alias("part"))
-    dealt = join_dimension(lines.withColumn("chunk", chunk), placed, ["recipe_id", "section", "chunk"], "left")
+    whole = lines.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") > lines_per_part)
+    if whole.isEmpty():
+        dealt = lines.withColumn("part", F.lit(0))
+    else:
+        # rows for the chunks of long dossiers only; all other dossiers are one part
+        counts = join_dimension(lines, whole.select("recipe_id"), "recipe_id", "left_semi").groupBy("recipe_id", "section", chunk).agg(F.count(F.lit(1)).alias("n"))
+        before = Window.partitionBy("recipe_id").orderBy("section", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+        part = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / lines_per_part).cast("long")
+        placed = counts.select("recipe_id", "section", "chunk", part.alias("part"))
+        dealt = join_dimension(lines.withColumn("chunk", chunk), placed, ["recipe_id", "section", "chunk"], "left")
     # The first line of a section has seq 0; an empty line sets it apart from what is before it.
     opens = (F.col("seq") == 0) & (F.col("section") > 0)
     piece = F.when(opens, F.concat(F.lit("\n"), F.col("line"))).otherwise(F.col("line"))

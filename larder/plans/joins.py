@@ -24,19 +24,20 @@ _WIDTH = 16
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """Count the rows (for a Parquet table Spark answers from the footers), then the bytes of few enough rows, and compare with the bounds."""
-    rows = df.count()
-    if rows > max_rows:
+    """Compare rows and bytes with the bounds.
+
+    The rows of a scan are counted first (for a Parquet table Spark answers from the footers), so that a large one is not read; what is
+    derived by joins or aggregation is computed once for both.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if not any(node in plan for node in ("Aggregate", "Join ", "Window ")) and df.count() > max_rows:
         return False
     wide = [f for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
     nested = [f for f in df.schema.fields if f.dataType.simpleString().startswith(("array", "map", "struct", "variant"))]
     sizes = [F.octet_length(F.col(f"`{f.name}`")) for f in wide] + [F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))) for f in nested]
-    fixed = rows * _WIDTH * max(1, len(df.columns))
-    if not sizes or rows == 0:
-        return fixed <= max_bytes
-    named = df.select(*[size.cast("long").alias(f"s{k}") for k, size in enumerate(sizes)])
-    measured = named.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in named.columns]).first()
-    return fixed + sum(measured) <= max_bytes
+    named = df.select(F.lit(1).alias("one"), *[size.cast("long").alias(f"s{k}") for k, size in enumerate(sizes)])
+    rows, *measured = named.agg(F.count("one"), *[F.coalesce(F.sum(c), F.lit(0)) for c in named.columns[1:]]).first()
+    return rows <= max_rows and rows * _WIDTH * max(1, len(df.columns)) + sum(measured) <= max_bytes
 
 
 def spread(scan: DataFrame) -> DataFrame:
