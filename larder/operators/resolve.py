@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from larder.functions import names as N
 from larder.functions import vocabulary as V
 from larder.functions.text import normalise_title
 from larder.plans.joins import join_dimension
+from larder.session import ensure_checkpoint_dir
 
 
 def alias_index(catalogue: DataFrame, order: str = "id") -> DataFrame:
@@ -79,6 +82,10 @@ def resolve_lines(lines: DataFrame, index: DataFrame, column: str = "ingredient"
     found = resolve_names(lines, index, column).select(
         F.col("name").alias(column), F.col("key").alias("ingredient_key"), F.col("id").alias("ingredient_id")
     )
+    # written once: their number decides on the join, and the join reads them again
+    folder = f"{ensure_checkpoint_dir(lines.sparkSession).rstrip('/')}/names-{uuid.uuid4().hex}"
+    found.write.parquet(folder)
+    found = lines.sparkSession.read.schema(found.schema).parquet(folder)
     base = lines.drop("ingredient_key", "ingredient_id")
     return join_dimension(base, found, column, "left")
 
