@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import vocabulary as V
@@ -66,8 +66,7 @@ def suggest_for_pantry(
     """Active recipes by the share of their parts that are at hand.
 
     Lines are first reduced to three counts per recipe (partial aggregation, so one huge recipe is
-    no hot spot). Names of missing parts are only gathered for the ranked winners, each of which
-    has at most ``missing_ok`` of them.
+    no hot spot). Of missing parts a task passes on the first ``missing_ok`` of a recipe, which is all that a winner has.
     """
     candidates = recipes.filter("status = 'active'")
     if max_total_minutes is not None:
@@ -90,12 +89,16 @@ def suggest_for_pantry(
     winners = scored if limit is None else top(scored, [F.col("score").desc(), F.col("recipe_id")], limit)
     winners = winners.checkpoint()
 
-    incomplete = winners.filter("missing > 0").select("recipe_id")
-    # Only lines of winners are read again; a small limit bounds the winners and with them the broadcast.
-    few = limit is not None and limit <= MAX_BROADCAST_ROWS
-    open_lines = lines.join(F.broadcast(incomplete) if few else incomplete, "recipe_id", "left_semi")
+    # Lines are read again for their missing parts alone. A small limit bounds the winners, and with them the broadcast; without one
+    # each task passes on the first missing parts of a recipe only, as many as a winner may have, so no recipe is a hot key.
+    open_lines = lines
+    if limit is not None and limit <= MAX_BROADCAST_ROWS:
+        open_lines = lines.join(F.broadcast(winners.filter("missing > 0").select("recipe_id")), "recipe_id", "left_semi")
+    first = Window.partitionBy("recipe_id").orderBy(*line_order, "key")
     gaps = (
         join_dimension(part_keys(open_lines, ingredients, few_keys), available, "key", "left_anti", fits=few_available)
+        .select("recipe_id", *line_order, "key", F.row_number().over(first).alias("_place"))
+        .filter(F.col("_place") <= missing_ok)
         .groupBy("recipe_id")
         .agg(F.array_sort(F.collect_list(F.struct(*line_order, "key"))).alias("_gaps"))
         .select("recipe_id", F.transform("_gaps", lambda g: g["key"]).alias("missing_ingredients"))

@@ -96,6 +96,26 @@ def test_pantry_coverage_against_brute_force(spark):
     assert [(r.id, r.ingredient_count, r.missing_ingredients) for r in got] == want
 
 
+def test_coverage_of_all_recipes_shuffles_few_lines_of_a_hot_one(spark):
+    keys = {i: f"key-{i}" for i in range(1, 6)}
+    # Recipe 1 has a third of all lines, all missing; recipe 2 as many, with two missing ones, and equal rows.
+    lines = [(1, s, 1, None) for s in range(3000)] + [(2, s, 3 if s in (5, 2999) else 2, None) for s in range(3000)]
+    lines += [(r, s, 2 + (r + s) % 3, "x") for r in range(3, 1003) for s in range(3)] + [(2000, 1, 2, None)] * 50
+    recipes = {r: ("active", 5) for r in [*range(1, 1003), 2000]}
+    frames = (
+        spark.createDataFrame([(r, f"t{r}", s, m) for r, (s, m) in recipes.items()], "id int, title string, status string, total_minutes int"),
+        spark.createDataFrame(lines, "recipe_id int, seq int, ingredient_id int, raw_text string"),
+        spark.createDataFrame(list(keys.items()), "id int, key string"),
+        spark.createDataFrame([(2,)], "ingredient_id int"),
+    )
+    for missing_ok in (0, 2):
+        got = R.suggest_for_pantry(*frames, missing_ok=missing_ok, limit=None)
+        want = brute_coverage(recipes, lines, keys, [2], [], missing_ok, None)
+        assert [(r.id, r.ingredient_count, r.missing_ingredients) for r in got.collect()] == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan[plan.index("WindowGroupLimit") :]
+
+
 def test_rotation_and_easy_order(spark):
     at = datetime(2024, 1, 1)
     rows = [
