@@ -10,6 +10,7 @@ executor sends and receives the same. All steps of an operator read one shuffle
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Text bytes of a block. At 100 TB use 512 MB, and executors with memory for ten times that.
+#: Text bytes of a block and hash values of a slice, at least.
 BLOCK_BYTES = 6 << 20
-#: Hash values of a slice.
 SLICE_VALUES = 1 << 20
+#: Both grow with the root of the corpus from the point where so many values would make up a message from a block to a slice (about
+#: 13 GB of text), so messages do not become smaller: 512 MB at 100 TB, for executors with memory for ten times that.
+MESSAGE_VALUES = 480
+WORD_BYTES = 6
 #: Stands for a missing id: such dossiers come after all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -29,22 +33,29 @@ MESSAGES = "slice int, block int, payload binary"
 _ARROW_MESSAGES = pa.schema([("slice", pa.int32()), ("block", pa.int32()), ("payload", pa.binary())])
 
 
+def block_size(text_bytes: int) -> int:
+    """Text bytes of a block of a corpus of so many."""
+    return max(BLOCK_BYTES, math.isqrt(text_bytes * MESSAGE_VALUES * BLOCK_BYTES // SLICE_VALUES))
+
+
+def slice_bits(values: int, least: int = 4, slice_values: int = SLICE_VALUES) -> int:
+    """Slices (as a power of two) for so many hash values."""
+    most = max(slice_values, math.isqrt(values * slice_values * WORD_BYTES * MESSAGE_VALUES // BLOCK_BYTES))
+    return max(least, math.ceil(math.log2(max(1, values / most))))
+
+
 class Blocks:
     """Dossiers as ``(block, recipe_id, text)``, dealt by block; other columns are left out unless ``carried``."""
 
-    def __init__(self, dossiers: DataFrame, block_bytes: int = BLOCK_BYTES, carried: Column | None = None):
+    def __init__(self, dossiers: DataFrame, block_bytes: int | None = None, carried: Column | None = None):
         more = [] if carried is None else [carried.alias("carried")]
         texts = dossiers.select(F.col("recipe_id").cast("long"), F.col("text").cast("string"), *more)
         size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
         self.rows, self.bytes = size["n"], size["b"] or 0
-        self.count = max(1, -(-(self.bytes + 16 * self.rows) // block_bytes))
+        self.count = max(1, -(-(self.bytes + 16 * self.rows) // (block_bytes or block_size(self.bytes))))
         block = F.pmod(F.xxhash64("recipe_id", "text"), F.lit(self.count)).cast("int")
         self.frame = texts.withColumn("block", block).repartition(self.count, "block")
 
-    def slice_bits(self, values: int, least: int = 4) -> int:
-        """Slices (as a power of two) for so many hash values."""
-        return max(least, int(np.ceil(np.log2(max(1, values / SLICE_VALUES)))))
-
     def send(self, fn, schema: str = MESSAGES) -> DataFrame:
         """``fn(block number, table of dossiers) -> table`` for each block."""
 
@@ -91,12 +102,11 @@ def messages(block: int, parts: Iterator[tuple[int, bytes]]) -> pa.Table:
 
 
 def cut(values: np.ndarray, bits: int, width: int = 64) -> Iterator[tuple[int, int, int]]:
-    """``(slice, low, high)`` of sorted values of ``width`` bits, sliced by their top ``bits`` bits."""
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits)
-    at = [0, *np.searchsorted(values, edges), len(values)]
-    for s in range(1 << bits):
-        if at[s] < at[s + 1]:
-            yield s, int(at[s]), int(at[s + 1])
+    """``(slice, low, high)`` of sorted values of ``width`` bits, sliced by their top ``bits`` bits; slices without values are passed over."""
+    top = values >> np.uint64(width - bits) if bits else np.zeros(len(values), dtype=np.uint64)
+    starts = np.flatnonzero(np.diff(top, prepend=~top[:1]))
+    for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(values)], strict=True) if len(values) else ():
+        yield int(top[low]), low, high
 
 
 def pack(*columns: np.ndarray) -> bytes:

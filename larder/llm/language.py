@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.blocks import BLOCK_BYTES, SLICE_VALUES, Blocks, cut, gather, lookup, messages, pack, unpack
+from larder.llm.blocks import Blocks, cut, gather, lookup, messages, pack, slice_bits, unpack
 from larder.llm.words import PLAIN, Words, distinct, mix
 from larder.session import ensure_checkpoint_dir
 
+#: Words of a gram of the highest level.
+ORDER = 3
 #: Tokens that a task counts before it sends.
 TASK_TOKENS = 1 << 22
 END, BEGIN = np.uint64(0), np.uint64(1)
@@ -52,7 +54,7 @@ class LanguageModel:
     word_backoff: float  # share of the word level left for words never seen
 
 
-def train_language_model(dossiers: DataFrame, order: int = 2) -> LanguageModel:
+def train_language_model(dossiers: DataFrame, order: int = ORDER) -> LanguageModel:
     """Count a model over whole dossiers and store it in the shared folder.
 
     ``dossiers``: ``recipe_id`` and ``text``; other columns are ignored. Tokens: words separated by blanks, A-Z in lower case, then one end; the first token
@@ -66,7 +68,7 @@ def train_language_model(dossiers: DataFrame, order: int = 2) -> LanguageModel:
     texts = dossiers.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     words = max(2, (size["b"] or 0) // 6 + size["n"])
-    gram_bits = max(4, math.ceil(math.log2(max(1, words / SLICE_VALUES))))
+    gram_bits = slice_bits(words)
     word_bits = max(4, gram_bits - 2)
 
     def store(level: int, sliced: DataFrame) -> DataFrame:
@@ -104,7 +106,7 @@ def train_language_model(dossiers: DataFrame, order: int = 2) -> LanguageModel:
     )
 
 
-def score_dossiers(dossiers: DataFrame, model: LanguageModel, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_dossiers(dossiers: DataFrame, model: LanguageModel, block_bytes: int | None = None) -> DataFrame:
     """Score whole dossiers: one row per input row.
 
     ``n_tokens`` (with the end), ``n_known`` (seen in training), ``base_score`` (log10 of the smoothed frequencies of the tokens, added up) and

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.blocks import BLOCK_BYTES, Blocks, combine, cut, gather, lookup, messages, pack, unpack
+from larder.llm.blocks import Blocks, combine, cut, gather, lookup, messages, pack, slice_bits, unpack
 from larder.llm.components import components
 from larder.llm.skew import with_group
 from larder.llm.words import Words, mix
@@ -46,7 +46,7 @@ _SIGNED = "recipe_id long, node binary, weight double, bands array<long>, shingl
 
 def near_copies(
     dossiers: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS,
-    band_samples: int = BAND_SAMPLES, block_bytes: int = BLOCK_BYTES,
+    band_samples: int = BAND_SAMPLES, block_bytes: int | None = None,
 ) -> DataFrame:
     """The class of near copies that each dossier belongs to.
 
@@ -66,7 +66,7 @@ def near_copies(
 
     blocks = Blocks(dossiers, block_bytes)
     width = min(64, int(np.ceil(np.log2(max(2, blocks.bytes / 6)))) + _SPARE_BITS)
-    bits = blocks.slice_bits(blocks.bytes // 6)
+    bits = slice_bits(blocks.bytes // 6)
     counted = combine(blocks.send(partial(_count, shingle, width, bits)), _total)
     signed = stored(
         blocks.receive(counted, partial(_sign, shingle, width, threshold, bands, band_samples, blocks.rows), _SIGNED), "signed"

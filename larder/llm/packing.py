@@ -2,7 +2,7 @@
 
 A dossier is cut into pieces of at most ``capacity`` tokens. A piece costs a linear and a quadratic share (attention looks
 within its own piece). In descending order of cost each piece goes to the sequence that has cost least so
-far and still has room. Pieces are dealt into groups of bounded size by a hash and each group is packed on its own; all that
+far and still has room. Pieces are dealt into groups of bounded size by a hash of their columns and place and each group is packed on its own; all that
 moves between tasks is a narrow row per piece.
 """
 
@@ -48,7 +48,7 @@ def pack_dossiers(
     """Pack all dossiers; one row per piece with its sequence and its place there.
 
     Returns the columns of :func:`cut_pieces` and ``sequence_id``, ``offset`` (gapless from 0) and the ``cost`` of the piece. Repeated rows
-    are packed once each. Ties are broken by id, start and checksum. The pieces are written to the shared folder first, so
+    are packed once each, in as many groups as others. An empty table gives an empty one. Ties are broken by id, start and checksum. The pieces are written to the shared folder first, so
     texts are tokenized once.
     """
     spark = dossiers.sparkSession
@@ -56,8 +56,9 @@ def pack_dossiers(
     cut_pieces(dossiers, tokenizer_path, capacity, end_id).write.parquet(folder)
     pieces = spark.read.schema(PIECES).parquet(folder)
     groups = max(1, -(-pieces.count() // group_pieces))
-    # repeated rows (all columns alike) meet in one group; pieces of one dossier do not
-    key = F.pmod(F.xxhash64(*_COLUMNS), F.lit(groups)).alias("pack_group")
+    # The place of a piece in the written files deals out pieces that are alike, too. Files do not change, so a task that runs again deals the same.
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1)
+    key = F.pmod(F.xxhash64(*_COLUMNS, part, F.col("_metadata.row_index")), F.lit(groups)).alias("pack_group")
 
     def pack(table):
         return _pack(capacity, table)

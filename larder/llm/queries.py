@@ -49,6 +49,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items whose windows of ten words occur in each document, and how many of its words they hit."""
     marks = mark_leaks(dossiers(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return marks.select(
         F.col("recipe_id").alias("doc_id"),
@@ -61,8 +62,9 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document under a model of order 3 learnt outside the held-out fold. A null or empty text is the end alone."""
     docs = dossiers(spark, sf_dir)
-    model = train_language_model(docs.filter(fold(5) != 1), order=3)
+    model = train_language_model(docs.filter(fold(5) != 1))
     return score_dossiers(docs, model).select(
         F.col("recipe_id").alias("doc_id"),
         (fold(5) == 1).alias("held_out"),
@@ -86,6 +88,7 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from the labels outside the held-out fold. Empty texts have a score, too."""
     docs = dossiers(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
         F.col("doc_id").alias("recipe_id"), F.col("quality").alias("good")
@@ -100,6 +103,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, compression ratios and verdict of every document. A null or empty text has no words and fails."""
     return judge_texts(dossiers(spark, sf_dir)).withColumnRenamed("recipe_id", "doc_id")
 
 
@@ -113,20 +117,24 @@ def tokenizer_path() -> str:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place; a null text is the end id alone."""
     return pack_dossiers(dossiers(spark, sf_dir), tokenizer_path()).withColumnRenamed("recipe_id", "doc_id")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of the address of every page; an address without ``://`` has neither host nor path."""
     return judge_urls(fetched_pages(spark, sf_dir))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages say of each page, after they were written and read again. A null page is an empty payload."""
     return archived_pages(fetched_pages(spark, sf_dir)).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages of 13 words that a document with a smaller id holds."""
     return drop_repeated_passages(dossiers(spark, sf_dir)).select(
         F.col("recipe_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )

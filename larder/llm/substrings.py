@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from larder.llm.blocks import BLOCK_BYTES, Blocks, combine, cut, gather, ids_of, lookup, messages, pack
+from larder.llm.blocks import Blocks, combine, cut, gather, ids_of, lookup, messages, pack, slice_bits
 from larder.llm.words import Words, covered, mix
 
 ROWS = 2
@@ -27,7 +27,7 @@ _ROW_SEEDS = np.array([0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47], dtype=np.uint64)
 RESULT = "recipe_id long, n_words long, n_removed long, kept_text string"
 
 
-def drop_repeated_passages(dossiers: DataFrame, words: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_repeated_passages(dossiers: DataFrame, words: int = 13, block_bytes: int | None = None) -> DataFrame:
     """Remove from each dossier what an earlier dossier has already said.
 
     ``dossiers``: ``recipe_id`` and ``text``; other columns are ignored. Words are separated by blanks
@@ -41,7 +41,7 @@ def drop_repeated_passages(dossiers: DataFrame, words: int = 13, block_bytes: in
     blocks = Blocks(dossiers, block_bytes)
     windows = max(1, blocks.bytes // 6)
     width = max(10, int(np.ceil(np.log2(CELLS_PER_WINDOW * windows))))
-    bits = min(width, blocks.slice_bits(windows))
+    bits = min(width, slice_bits(windows))
     heavy = combine(blocks.send(partial(_sketch, words, width, bits)), _merge)
     exact = blocks.receive(heavy, partial(_candidates, words, width, bits), "slice int, block int, payload binary")
     first = combine(exact, first_ids)

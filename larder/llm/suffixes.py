@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.blocks import BLOCK_BYTES, Blocks, combine, cut, gather, ids_of, lookup, messages, pack, unpack
+from larder.llm.blocks import Blocks, combine, cut, gather, ids_of, lookup, messages, pack, slice_bits, unpack
 from larder.llm.substrings import first_ids
 from larder.llm.words import Words, covered, distinct, mix, powers
 
@@ -42,7 +42,7 @@ RESULT = f"recipe_id long, n_words long, n_repeated long, spans {SPANS}, kept_te
 
 
 def repeated_passages(
-    dossiers: DataFrame, words: int = WORDS, gram: int = GRAM, hot: int = HOT_DOSSIERS, block_bytes: int = BLOCK_BYTES
+    dossiers: DataFrame, words: int = WORDS, gram: int = GRAM, hot: int = HOT_DOSSIERS, block_bytes: int | None = None
 ) -> DataFrame:
     """Find the passages of at least ``words`` words that a dossier with a smaller ``recipe_id`` holds too.
 
@@ -57,7 +57,7 @@ def repeated_passages(
 
 
 def without_repeated_passages(
-    dossiers: DataFrame, words: int = WORDS, gram: int = GRAM, hot: int = HOT_DOSSIERS, block_bytes: int = BLOCK_BYTES
+    dossiers: DataFrame, words: int = WORDS, gram: int = GRAM, hot: int = HOT_DOSSIERS, block_bytes: int | None = None
 ) -> DataFrame:
     """``dossiers`` with all their columns, ``text`` cut by the passages of :func:`repeated_passages`.
 
@@ -75,7 +75,7 @@ def without_repeated_passages(
 
 def _repeated(blocks: Blocks, words: int, gram: int, hot: int, schema: str) -> DataFrame:
     minimisers = max(1, blocks.bytes // 6 // ((words - gram + 2) // 2))
-    bits = max(4, int(np.ceil(np.log2(max(1, minimisers / SLICE_SUFFIXES)))))
+    bits = slice_bits(minimisers, slice_values=SLICE_SUFFIXES)
     shared = combine(blocks.send(partial(_anchors, words, gram, bits)), partial(_shared, hot))
     suffixes = blocks.receive(shared, partial(_suffixes, words, gram, bits), "slice int, block int, payload binary")
     answers = combine(suffixes, partial(_matches, words, gram, bits))

@@ -59,7 +59,7 @@ def test_scores_against_brute_force(spark):
     rows += [(200, None), (201, ""), (None, "wort1 neu"), (7, "Wort1"), (300, "wort1 wort2 " * 1500)]
     df = spark.createDataFrame(rows, "recipe_id long, text string")
     train = [t for i, t in rows if i is None or i % 5 != 1]
-    model = train_language_model(df.filter("recipe_id is null or recipe_id % 5 != 1"))
+    model = train_language_model(df.filter("recipe_id is null or recipe_id % 5 != 1"), order=2)
     brute = Brute(train)
     assert (model.tokens, model.distinct, model.pair_types) == (brute.n, brute.v, len(brute.pairs))
     got = sorted((tuple(r) for r in score_dossiers(df, model, block_bytes=3000).collect()), key=repr)

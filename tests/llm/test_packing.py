@@ -67,6 +67,20 @@ def test_pieces_cover_every_token_once(spark, reference):
     assert pack_dossiers(df.limit(0), PATH).count() == 0
 
 
+def test_equal_rows_and_a_very_long_text_are_dealt_to_all_groups(spark, reference):
+    rows = [(7, "Zwiebeln in Butter dünsten", 0, 0)] * 1500 + [(k, f"Schritt {k}", 1, 1) for k in range(1000, 1500)] + [(9000, "Lauch putzen. " * 20000, 2, 2)]
+    # names that the operator's own columns have
+    df = spark.createDataFrame(rows, "recipe_id long, text string, pack_group int, sequence_id int").repartition(3)
+    got = pack_dossiers(df, PATH, capacity=64, group_pieces=200)
+    assert got.columns == ["recipe_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "cost"]
+    got = got.collect()
+    sizes = np.unique([r.sequence_id >> 32 for r in got], return_counts=True)[1]
+    assert len(sizes) == -(-len(got) // 200) and sizes.max() < 300
+    assert sum(r.recipe_id == 7 for r in got) == 1500
+    ids = len(reference("Lauch putzen. " * 20000)) + 1
+    assert sum(r.length for r in got if r.recipe_id == 9000) == ids
+
+
 def test_costs_are_balanced_and_little_is_padded():
     rng = np.random.default_rng(7)
     lengths = np.sort(rng.integers(1, 2049, 3000))[::-1]

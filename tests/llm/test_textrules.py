@@ -22,7 +22,9 @@ def brute(text):
     failed = len(words) < 50 or 100 * len(again) > 50 * len(words)
     data = text.encode()
     ratio = lambda part: len(zstandard.ZstdCompressor(level=3).compress(part)) / len(part)
-    chunks = [ratio(data[k : k + CHUNK_BYTES]) for k in range(0, len(data) - CHUNK_BYTES + 1, CHUNK_BYTES)]
+    # full chunks that begin every quarter of a chunk, and the one that ends with the text
+    begins = [k for k in range(len(data) - CHUNK_BYTES + 1) if k % (CHUNK_BYTES // 4) == 0 or k == len(data) - CHUNK_BYTES]
+    chunks = [ratio(data[k : k + CHUNK_BYTES]) for k in begins]
     band = [b for b in BANDS if len(data) >= b.min_bytes][-1]
     fine = not data or band.whole_low <= ratio(data) <= band.whole_high
     fine = fine and all(band.chunk_low <= c <= band.chunk_high for c in chunks)
@@ -47,9 +49,18 @@ def test_counts_and_bands_against_brute_force(spark):
         " ".join(prose) + " und" * 6000, "\n".join(" ".join(rng.choices(prose, k=8)) for _ in range(40)),
     ]
     rows = [(k, t) for k, t in enumerate(texts)] + [(None, "a b"), (3, "a"), (3, "a")]
+    # noise that no chunk of a disjoint cut would be filled with, in prose; and texts of more than a megabyte
+    code = noise[:5000]
+    rows += [(20, " ".join(prose[:400]) + code[:4096] + " ".join(prose[:900])), (21, " ".join(prose) + " " + code[:3500]), (22, " ".join(prose * 60)), (23, "y" * 1500000)]
     got, full = run(spark, rows)
     assert sorted(got, key=repr) == sorted(((i, *brute(t)) for i, t in rows), key=repr)
     kept = {r.recipe_id: r.kept for r in full}
     assert kept[6] and kept[7] and not kept[13]
     assert not kept[11]  # incompressible, though no word repeats
+    assert not kept[20] and not kept[23]
     assert run(spark, [])[0] == []
+
+
+def test_columns_of_the_result_in_the_input_do_not_matter(spark):
+    df = spark.createDataFrame([(1, "a b", True, 5)], "recipe_id long, text string, kept boolean, n_words int")
+    assert [(r.recipe_id, r.n_words, r.kept) for r in judge_texts(df).collect()] == [(1, 2, False)]
