@@ -63,7 +63,11 @@ def _without(named: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier rejects. It learns from all labels of these documents."""
+    """Drop the documents that the classifier rejects. It learns from all labels of these documents.
+
+    Each text is judged by itself, also those that share an id or have none. Without labels every document scores 0.5 and stays.
+    An empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     labels = labels.select(F.col("doc_id").alias("recipe_id"), F.col("quality").alias("good"))
     return keep_good(docs, fit_quality(docs.select(F.col("doc_id").alias("recipe_id"), "text"), labels))
@@ -85,7 +89,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 50 words and more that an earlier document holds; drop documents of which nothing is left."""
+    """Cut passages of 50 words and more that an earlier document holds; drop documents of which nothing is left.
+
+    Null, empty and blank texts stay. A document without an id comes after all others. An empty table stays empty.
+    """
     named = docs.withColumnRenamed("recipe_id", "_given_recipe_id").withColumn("recipe_id", F.col("doc_id"))
     cut = without_repeated_passages(named).drop("recipe_id").withColumnRenamed("_given_recipe_id", "recipe_id")
     if "n_chars" in docs.columns:
@@ -104,7 +111,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document, with its sequence and place."""
+    """One row per piece of a document, with its sequence and place.
+
+    Rows that share an id, have none or are alike are packed each; a null text is the end id alone. An empty table gives an empty one.
+    """
     named = docs.select(F.col("doc_id").alias("recipe_id"), "text")
     return pack_dossiers(named, tokenizer_path()).withColumnRenamed("recipe_id", "doc_id")
 
