@@ -1,7 +1,8 @@
 """Recipe fields from page markup, and the preference of structured data over markup.
 
 Everything is a native column expression over ``pages(url, html)``; the rules below say where a
-field may stand, so that a new page source is a new rule and not new code.
+field may stand, so that a new page source is a new rule and not new code. A page is cut into tokens once (:class:`Page`), from which all
+selectors read; they take the markup alone as well.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from html.entities import name2codepoint
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,8 +90,8 @@ def _attribute(tag: Column, name: str) -> Column:
     return unescape(F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2)))
 
 
-def _tags(html: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(pattern), 0)
+def _tags(page: Column | Page, pattern: str) -> Column:
+    return F.regexp_extract_all(_html(page), F.lit(pattern), 0)
 
 
 def _opening(names: Sequence[str], tag: str = r"[a-z0-9]+") -> str:
@@ -102,44 +104,68 @@ _MARKUP = r"(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>|[^
 VOID_ELEMENTS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
 
-def elements(html: Column, opening: str) -> Column:
-    """Markup of the outermost elements whose opening tag matches, each up to its own end tag.
+class Page(NamedTuple):
+    """Markup of a page and the column of its :func:`page_tags`."""
 
-    Elements of the same name inside are counted, so the first end tag need not be the right one. An element without end
-    tag lasts to the end of the page.
+    html: Column
+    tags: Column
+
+
+def _html(page: Column | Page) -> Column:
+    return page.html if isinstance(page, Page) else page
+
+
+def page_tags(html: Column) -> Column:
+    """``struct<tokens, tags>``: the markup cut at its tags, and of those tags that open (``step`` 1) or end (-1) an element the place among the tokens
+    and the name. Comments, scripts, styles and elements that have no end tag open nothing.
     """
 
-    def place(token: Column) -> Column:
+    def tag(token: Column, at: Column) -> Column:
         name = F.lower(F.regexp_extract(token, r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
         alone = F.endswith(token, F.lit("/>")) | name.isin(VOID_ELEMENTS) | F.rlike(token, F.lit(r"(?is)^<(?:script|style)\b.*</"))
         step = F.when((name == "") | alone, 0).when(F.startswith(token, F.lit("</")), -1).otherwise(1)
-        return F.struct(name.alias("name"), step.alias("step"), ((step == 1) & F.rlike(token, F.lit(opening))).alias("hit"))
+        return F.when(F.startswith(token, F.lit("<")), F.struct((at + 1).alias("at"), name.alias("name"), step.alias("step")))
+
+    def read(tokens: Column) -> Column:
+        return F.struct(tokens.alias("tokens"), F.filter(F.transform(tokens, tag), lambda t: t["step"] != 0).alias("tags"))
+
+    return let(F.regexp_extract_all(html, F.lit(_MARKUP), 0), read)
+
+
+def elements(page: Column | Page, opening: str) -> Column:
+    """Markup of the outermost elements whose opening tag matches, each up to its own end tag.
+
+    Elements of the same name inside are counted, so the first end tag need not be the right one. An element without end
+    tag lasts to the end of the page.
+    """
 
     def state(name: Column, depth: Column, start: Column, found: Column) -> Column:
         return F.struct(name.alias("name"), depth.alias("depth"), start.alias("start"), found.alias("found"))
 
-    def read(tokens: Column) -> Column:
-        numbered = F.transform(tokens, lambda t, i: F.struct(place(t).alias("p"), (i + 1).alias("at")))
+    def read(cut: Column) -> Column:
+        tokens, tags = cut["tokens"], cut["tags"]
         zero = state(F.lit(""), F.lit(0), F.lit(0), F.array().cast("array<struct<start:int,size:int>>"))
 
-        def add(acc: Column, token: Column) -> Column:
-            p, at = token["p"], token["at"]
-            opened = state(p["name"], F.lit(1), at, acc["found"])
-            depth = acc["depth"] + F.when(p["name"] == acc["name"], p["step"]).otherwise(0)
-            whole = F.struct(acc["start"].alias("start"), (at - acc["start"] + 1).alias("size"))
+        def add(acc: Column, tag: Column) -> Column:
+            hit = (tag["step"] == 1) & F.rlike(F.get(tokens, tag["at"] - 1), F.lit(opening))
+            opened = state(tag["name"], F.lit(1), tag["at"], acc["found"])
+            depth = acc["depth"] + tag["step"]
+            whole = F.struct(acc["start"].alias("start"), (tag["at"] - acc["start"] + 1).alias("size"))
             closed = state(F.lit(""), F.lit(0), F.lit(0), F.array_append(acc["found"], whole))
             within = F.when(depth == 0, closed).otherwise(state(acc["name"], depth, acc["start"], acc["found"]))
-            return F.when(acc["depth"] > 0, within).when(p["hit"], opened).otherwise(acc)
+            inside = F.when(tag["name"] == acc["name"], within).otherwise(acc)
+            return F.when(acc["depth"] > 0, inside).when(hit, opened).otherwise(acc)
 
         def finish(acc: Column) -> Column:
             rest = F.struct(acc["start"].alias("start"), (F.size(tokens) - acc["start"] + 1).alias("size"))
             return F.when(acc["depth"] > 0, F.array_append(acc["found"], rest)).otherwise(acc["found"])
 
-        places = F.aggregate(numbered, zero, add, finish)
+        places = F.aggregate(tags, zero, add, finish)
         return F.transform(places, lambda r: F.array_join(F.slice(tokens, r["start"], r["size"]), ""))
 
-    none = F.array().cast("array<string>")
-    return F.when(F.rlike(html, F.lit(opening)), let(F.regexp_extract_all(html, F.lit(_MARKUP), 0), read)).otherwise(none)
+    html = _html(page)
+    found = read(page.tags) if isinstance(page, Page) else let(page_tags(html), read)
+    return F.when(F.rlike(html, F.lit(opening)), found).otherwise(F.array().cast("array<string>"))
 
 
 def title(html: Column) -> Column:
@@ -147,30 +173,30 @@ def title(html: Column) -> Column:
     return inner_text(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))
 
 
-def meta(html: Column, key: str) -> Column:
+def meta(page: Column | Page, key: str) -> Column:
     """Content of the first ``meta`` tag with the given name or property; empty when absent."""
-    tag = F.regexp_extract(html, rf"(?is)<meta\b[^>]*\b(?:name|property)\s*=\s*[\"']{key}[\"'][^>]*>", 0)
+    tag = F.regexp_extract(_html(page), rf"(?is)<meta\b[^>]*\b(?:name|property)\s*=\s*[\"']{key}[\"'][^>]*>", 0)
     return strip(_attribute(tag, "content"))
 
 
-def meta_keywords(html: Column) -> Column:
+def meta_keywords(html: Column | Page) -> Column:
     return split_keywords(meta(html, "keywords"))
 
 
-def _links_in(html: Column, classes: Sequence[str]) -> Column:
+def _links_in(html: Column | Page, classes: Sequence[str]) -> Column:
     blocks = F.array_join(elements(html, _opening(classes, "nav|ul|ol|div|li|p|span")), " ")
     return non_empty(F.transform(_tags(blocks, r"(?is)<a\b[^>]*>.*?</a>"), inner_text))
 
 
-def breadcrumbs(html: Column) -> Column:
+def breadcrumbs(html: Column | Page) -> Column:
     """Distinct breadcrumb texts without the generic ones."""
     found = _links_in(html, ["breadcrumb", "breadcrumbs", "breadcrumb-item", "Breadcrumb"])
     return F.array_distinct(F.filter(found, lambda x: ~x.isin(GENERIC_BREADCRUMBS)))
 
 
-def category(html: Column) -> Column:
+def category(html: Column | Page) -> Column:
     """Section meta tag, category link, else first specific breadcrumb."""
-    link = F.regexp_extract(html, r"(?is)<a\b[^>]*href\s*=\s*[\"'][^\"']*/(?:kategorie|catégorie)/[^>]*>(.*?)</a>", 1)
+    link = F.regexp_extract(_html(html), r"(?is)<a\b[^>]*href\s*=\s*[\"'][^\"']*/(?:kategorie|catégorie)/[^>]*>(.*?)</a>", 1)
     return F.coalesce(
         empty_to_null(meta(html, "article:section")),
         empty_to_null(inner_text(link)),
@@ -179,7 +205,7 @@ def category(html: Column) -> Column:
     )
 
 
-def tag_links(html: Column) -> Column:
+def tag_links(html: Column | Page) -> Column:
     """Texts of the links in tag lists and of keyword links."""
     keyed = F.transform(
         _tags(html, r"(?is)<a\b[^>]*href\s*=\s*[\"'][^\"']*/schlagwort/[^>]*>.*?</a>"), inner_text
@@ -187,24 +213,24 @@ def tag_links(html: Column) -> Column:
     return F.array_distinct(F.concat(_links_in(html, ["recipe-tags", "RecipeTags", "tag"]), non_empty(keyed)))
 
 
-def keywords(html: Column) -> Column:
-    """Keywords of the meta tag, else tag links."""
+def keywords(html: Column | Page, links: Column | None = None) -> Column:
+    """Keywords of the meta tag, else tag links (``links``, where they are known)."""
     from_meta = meta_keywords(html)
-    return F.when(F.size(from_meta) > 0, from_meta).otherwise(tag_links(html))
+    return F.when(F.size(from_meta) > 0, from_meta).otherwise(tag_links(html) if links is None else links)
 
 
-def cuisine(html: Column) -> Column:
+def cuisine(html: Column | Page, links: Column | None = None) -> Column:
     """First known cuisine among tag links, then meta keywords; empty when there is none."""
-    lowered = F.transform(F.concat(tag_links(html), meta_keywords(html)), F.lower)
+    lowered = F.transform(F.concat(tag_links(html) if links is None else links, meta_keywords(html)), F.lower)
     return F.coalesce(first_mapped(lowered, PAGE_CUISINES), F.lit(""))
 
 
-def difficulty(html: Column) -> Column:
+def difficulty(html: Column | Page, links: Column | None = None) -> Column:
     """First difficulty word among tag links and the info boxes of a page; empty when there is none."""
     boxes = F.array_join(elements(html, _opening(["RecipeFacts", "recipe-meta", "recipe-info"], "div|ul|section")), " ")
     spans = F.transform(_tags(boxes, r"(?is)<(span|div|li)\b[^>]*>[^<]*</\1>"), inner_text)
     own = F.transform(elements(html, _opening(["recipe-difficulty"])), inner_text)
-    found = F.filter(F.concat(tag_links(html), spans, own), lambda x: F.lower(x).isin(DIFFICULTY_WORDS))
+    found = F.filter(F.concat(tag_links(html) if links is None else links, spans, own), lambda x: F.lower(x).isin(DIFFICULTY_WORDS))
     return F.coalesce(F.get(found, 0), F.lit(""))
 
 
@@ -231,19 +257,19 @@ def valid_lines(lines: Column, navigation: Column | None = None) -> Column:
     return F.filter(lines, lambda x: _is_line(x, F.lit(False) if navigation is None else navigation))
 
 
-def _items(html: Column, opening: str) -> Column:
+def _items(html: Column | Page, opening: str) -> Column:
     """Markup of list items whose opening tag matches; an item that holds a list goes up to its own end tag."""
     short = _tags(html, rf"{opening}.*?</li>")
     nested = F.exists(short, lambda m: m.rlike(r"(?is)^<li\b[^>]*>.*<li\b"))
     return F.when(nested, elements(html, opening)).otherwise(short)
 
 
-def list_items(html: Column) -> Column:
+def list_items(html: Column | Page) -> Column:
     """Texts of all list items; the text of an item takes in the lists inside it."""
     return F.transform(_items(html, r"(?is)<li\b[^>]*>"), inner_text)
 
 
-def ingredient_lines(html: Column, navigation: Column | None = None) -> Column:
+def ingredient_lines(html: Column | Page, navigation: Column | None = None) -> Column:
     """Marked ingredient items, ingredient table rows, else list items that name a unit."""
     marked = _items(html, r"(?is)<li\b[^>]*\bitemprop\s*=\s*[\"']recipeIngredient[\"'][^>]*>")
     classed = elements(html, _opening(["ingredient-item", "ingredient", "Ingredient"], "li|div|tr|p"))
@@ -255,7 +281,7 @@ def ingredient_lines(html: Column, navigation: Column | None = None) -> Column:
     )
 
 
-def ingredient_groups(html: Column, navigation: Column | None = None) -> Column:
+def ingredient_groups(html: Column | Page, navigation: Column | None = None) -> Column:
     """Groups ``array<struct<label, items>>`` of headed lists in all ingredient sections, in page order."""
     sections = elements(
         html,
@@ -294,7 +320,7 @@ def _section_groups(section: Column, navigation: Column) -> Column:
     return F.filter(F.aggregate(parts, start, add), lambda g: F.size(g["items"]) > 0)
 
 
-def steps(html: Column) -> Column:
+def steps(html: Column | Page) -> Column:
     """Preparation steps without leading numbers and repetitions."""
     marked = elements(html, r"(?is)<[a-z0-9]+\b[^>]*\bitemprop\s*=\s*[\"']text[\"'][^>]*>")
     classed = elements(
@@ -311,7 +337,7 @@ def labelled_time(html: Column, label: str) -> Column:
     return strip(F.regexp_extract(text, r"(\d+\s*(?:h|min|Std)[\s\d]*(?:min)?)", 1))
 
 
-def image_urls(html: Column, base: str = "") -> Column:
+def image_urls(html: Column | Page, base: str = "") -> Column:
     """Main image, then gallery images (lazy source, first of a source set, plain source)."""
     gallery = F.array_join(
         elements(
@@ -384,13 +410,15 @@ def props_groups(props: Column) -> Column:
 def from_markup(pages: DataFrame, language: str = "language", base: str = "") -> DataFrame:
     """Raw records from markup alone; ``error`` is set where a page has no title."""
     html, navigation = F.col("html"), mixes_navigation(F.col("url"))
-    staged = pages.withColumn("_props", component_props(html)).withColumn("_groups", props_groups(F.col("_props")))
+    page, links = Page(html, F.col("_tags")), F.col("_links")
+    staged = pages.withColumn("_tags", page_tags(html)).withColumn("_links", tag_links(page))
+    staged = staged.withColumn("_props", component_props(html)).withColumn("_groups", props_groups(F.col("_props")))
     staged = staged.withColumn(
-        "_groups", F.when(F.size("_groups") > 0, F.col("_groups")).otherwise(ingredient_groups(html, navigation))
+        "_groups", F.when(F.size("_groups") > 0, F.col("_groups")).otherwise(ingredient_groups(page, navigation))
     )
     staged = staged.withColumn("_flat", F.flatten(F.transform("_groups", lambda g: g["items"])))
-    staged = staged.withColumn("_flat", F.when(F.size("_flat") > 0, F.col("_flat")).otherwise(ingredient_lines(html, navigation)))
-    staged = staged.withColumn("_title", title(html)).withColumn("_images", image_urls(html, base))
+    staged = staged.withColumn("_flat", F.when(F.size("_flat") > 0, F.col("_flat")).otherwise(ingredient_lines(page, navigation)))
+    staged = staged.withColumn("_title", title(html)).withColumn("_images", image_urls(page, base))
     persons = F.regexp_extract(html, r"(?s)>[^<]*?(\d+)\s*(?:Personen|Portionen)[^<]*<", 1)
     serves = F.coalesce(
         F.concat(F.col("_props.numberOfPersons"), F.lit(" Portionen")),
@@ -405,19 +433,19 @@ def from_markup(pages: DataFrame, language: str = "language", base: str = "") ->
         meta(html, "description").alias("description"),
         F.col("_flat").alias("ingredients_raw"),
         F.col("_groups").alias("ingredient_groups"),
-        steps(html).alias("steps_raw"),
+        steps(page).alias("steps_raw"),
         serves.alias("yield_amount"),
         F.coalesce(empty_to_null(item_property(html, "prepTime")), labelled_time(html, "Aktivzeit")).alias("prep_time"),
         F.coalesce(empty_to_null(item_property(html, "cookTime")), labelled_time(html, "Gesamtzeit")).alias("cook_time"),
         item_property(html, "totalTime").alias("total_time"),
         F.col("_images").alias("image_urls"),
         F.transform("_images", lambda _: F.col("_title")).alias("image_captions"),
-        keywords(html).alias("keywords"),
+        keywords(page, links).alias("keywords"),
         F.col("url").alias("source_url"),
         F.col(language),
-        category(html).alias("category"),
-        cuisine(html).alias("cuisine"),
-        difficulty(html).alias("difficulty"),
+        category(page).alias("category"),
+        cuisine(page, links).alias("cuisine"),
+        difficulty(page, links).alias("difficulty"),
         F.when(F.col("_title") == "", "no recipe title").alias("error"),
     )
 
@@ -443,17 +471,19 @@ def complete_with_markup(records: DataFrame) -> DataFrame:
 
     Lines lose brand prefixes and equipment; labelled groups of the page replace the flat list.
     """
-    html = F.col("html")
+    page, links = Page(F.col("html"), F.col("_html_tags")), F.col("_html_links")
     navigation = mixes_navigation(F.col("source_url")) if "source_url" in records.columns else None
     groups = F.col("_html_groups")
     labelled = F.exists(groups, lambda g: g["label"].isNotNull())
     filled = (
-        records.withColumn("_html_groups", ingredient_groups(html, navigation))
+        records.withColumn("_html_tags", page_tags(page.html))
+        .withColumn("_html_links", tag_links(page))
+        .withColumn("_html_groups", ingredient_groups(page, navigation))
         .withColumn("ingredients_raw", food_only(F.col("ingredients_raw")))
-        .withColumn("keywords", prefer_list(F.col("keywords"), keywords(html)))
-        .withColumn("category", prefer(F.col("category"), category(html)))
-        .withColumn("cuisine", prefer(F.col("cuisine"), cuisine(html)))
-        .withColumn("difficulty", prefer(F.col("difficulty"), difficulty(html)))
+        .withColumn("keywords", prefer_list(F.col("keywords"), keywords(page, links)))
+        .withColumn("category", prefer(F.col("category"), category(page)))
+        .withColumn("cuisine", prefer(F.col("cuisine"), cuisine(page, links)))
+        .withColumn("difficulty", prefer(F.col("difficulty"), difficulty(page, links)))
         .withColumn(
             "ingredient_groups",
             F.when((F.size("ingredients_raw") == 0) | labelled, groups).otherwise(F.col("ingredient_groups")),
@@ -466,6 +496,6 @@ def complete_with_markup(records: DataFrame) -> DataFrame:
             ),
         )
     )
-    return filled.drop("html", "_html_groups")
+    return filled.drop("html", "_html_groups", "_html_tags", "_html_links")
 
 
